@@ -162,7 +162,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name, SCHEMAS[name])
+        return read_table(self.spark, self.sf_dir, name, SCHEMAS[name], spread=name in ("documents", "embeddings"))
 
     @cached_property
     def lib_documents(self) -> DataFrame:

@@ -9,6 +9,7 @@ from checks.inputs import Inputs
 from checks.registry import query
 from ledgerloom.operators import citations, evaluation, search
 from ledgerloom.plans import answer_contexts, ingest_documents
+from ledgerloom.session import cut_lineage
 
 DIM = 64
 # Two fixed directions made by rule, the same in SQL.
@@ -237,4 +238,5 @@ def flow_answers(t: Inputs) -> DataFrame:
         "concat(conv_id, '-', turn) as qid", "concat('u', conv_id % 20) as user_id", "text",
         "cast(null as array<string>) as document_ids",
     )
-    return answer_contexts(questions, ingest_documents(t.lib_documents))
+    # The index is stored once, as in a library, and then ranked and read.
+    return answer_contexts(questions, cut_lineage(ingest_documents(t.lib_documents)))

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.core import as_column
 
-# The Unicode characters that separate words.
-WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+# Every character that separates words; none lies above U+3000.
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def words(text: Column | str) -> Column:
-    """Whitespace-separated words, without empty ones at either end."""
-    return F.filter(F.split(as_column(text), WHITESPACE), lambda w: w != "")
+    """Whitespace-separated words, without empty ones.
+
+    All separators are first mapped to a blank: splitting at one plain character needs no regex.
+    """
+    blanks = F.translate(as_column(text), WHITESPACE, " " * len(WHITESPACE))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def token_count(text: Column | str) -> Column:
     """Number of words; null text has 0."""
-    return F.coalesce(F.size(words(F.coalesce(as_column(text), F.lit("")))), F.lit(0))
+    return F.coalesce(F.size(words(text)), F.lit(0))

@@ -11,16 +11,16 @@ slice, or the short summaries of a bounded number of slices.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.grouped import sorted_groups
 from ledgerloom.session import cut_lineage
 
 # Window length, limits per window, and which paths are stricter.
@@ -44,17 +44,26 @@ def _chain_ends(t: np.ndarray, first: np.ndarray, ttl: int) -> np.ndarray:
         at = np.where(more, following, at)
 
 
-def _summary(t: np.ndarray, start: int, length: int, ttl: int) -> pd.DataFrame:
+def _distinct_runs(upto: np.ndarray, exits: np.ndarray, held: np.ndarray) -> tuple:
+    """Neighbouring entries with the same exit become one, named by the later ``upto``."""
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return upto[keep], exits[keep], held[keep]
+
+
+def _summary(t: np.ndarray, start: int, length: int, ttl: int) -> tuple:
     """The slice as a function: an open window that expires at or before ``upto`` (and after the
     previous ``upto``) leads to ``exit``, the start of the window open at the end, holding ``held``."""
-    early = np.searchsorted(t, start + ttl, "left")
-    heads = np.unique(t[: early + 1], return_index=True)[1]
-    ends = _chain_ends(t, heads, ttl)
+    end = start + length
+    if t[-1] < t[0] + ttl and t[-1] < start + ttl:
+        heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))  # every entry opens the last window
+        ends = heads
+    else:
+        early = np.searchsorted(t, start + ttl, "left")
+        heads = np.unique(t[: early + 1], return_index=True)[1]
+        ends = _chain_ends(t, heads, ttl)
     exits, held = t[ends], len(t) - ends
-    open_at_end = exits + ttl > start + length
-    exits, held = np.where(open_at_end, exits, _CLOSED), np.where(open_at_end, held, 0)
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return pd.DataFrame({"upto": t[heads][keep], "exit": exits[keep], "held": held[keep]})
+    closed = exits + ttl <= end
+    return _distinct_runs(t[heads], np.where(closed, _CLOSED, exits), np.where(closed, 0, held))
 
 
 def _step(part: tuple, expiry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +75,14 @@ def _step(part: tuple, expiry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, exits[i], _CLOSED), np.where(inside, held[i], 0)
 
 
-def _parts(pdf: pd.DataFrame) -> list[tuple[int, tuple]]:
-    pdf = pdf.sort_values(["slice", "upto"])
-    return [
-        (int(no), (g["upto"].to_numpy(), g["exit"].to_numpy(), g["held"].to_numpy()))
-        for no, g in pdf.groupby("slice", sort=True)
-    ]
+def _parts(slices: np.ndarray, upto: np.ndarray, exits: np.ndarray, held: np.ndarray) -> list[tuple[int, tuple]]:
+    cuts = np.flatnonzero(np.append(True, slices[1:] != slices[:-1]))
+    stops = np.append(cuts[1:], len(slices))
+    return [(int(slices[a]), (upto[a:b], exits[a:b], held[a:b])) for a, b in zip(cuts, stops)]
 
 
-def _compose(pdf: pd.DataFrame, first_slice: int, start: int, ttl: int) -> pd.DataFrame:
+def _compose(parts: list[tuple[int, tuple]], first_slice: int, start: int, ttl: int) -> tuple:
     """One function for a run of slices, of the same form as a single slice's."""
-    parts = _parts(pdf)
     before = first_slice - 1
     upto = np.array([start + ttl], dtype=np.int64)  # nothing that is open on entry expires later
     if parts[0][0] == first_slice:
@@ -89,20 +95,19 @@ def _compose(pdf: pd.DataFrame, first_slice: int, start: int, ttl: int) -> pd.Da
         before = no
     if before != first_slice + FAN - 1:
         exits, held = np.full(len(upto), _CLOSED), np.zeros(len(upto), dtype=np.int64)
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return pd.DataFrame({"upto": upto[keep], "exit": exits[keep], "held": held[keep]})
+    return _distinct_runs(upto, exits, held)
 
 
-def _entries(pdf: pd.DataFrame, exit_: int, held: int, before: int | None, ttl: int) -> pd.DataFrame:
-    """The window each slice starts with, following the slices in order."""
+def _entries(parts: list[tuple[int, tuple]], exit_: int, held: int, before: int, ttl: int) -> list[tuple[int, int, int]]:
+    """(slice, start and count of the window it begins with), following the slices in order."""
     rows = []
-    for no, part in _parts(pdf):
-        if before is None or no != before + 1:
+    for no, part in parts:
+        if no != before + 1:
             exit_, held = _CLOSED, 0
         rows.append((no, exit_, held))
         e, h = _step(part, np.array([exit_ + ttl]))
         exit_, held, before = int(e[0]), int(h[0]), no
-    return pd.DataFrame(rows, columns=["slice", "in_start", "in_held"])
+    return rows
 
 
 def _count(t: np.ndarray, in_start: int, in_held: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +122,15 @@ def _count(t: np.ndarray, in_start: int, in_held: int, ttl: int) -> tuple[np.nda
     return starts, counts
 
 
+def _ints(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of whole numbers; null (a column of the other kind of row) becomes 0."""
+    return [pc.fill_null(table.column(n), 0).to_numpy() for n in names]
+
+
+def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), n])
+
+
 def fixed_window(
     requests: DataFrame,
     keys: Sequence[str],
@@ -132,70 +146,105 @@ def fixed_window(
     A key's window opens at its first request and lasts ``ttl_s``; the first request at or after
     its end opens the next. Rejected requests count too. Requests at one instant are counted in
     ``tie`` order. Each level composes 64 slices into one; with the default two levels the last
-    step holds one summary per key and ``64 * slice_windows`` windows of time.
+    step holds one summary per key and ``64 * slice_windows`` windows of time. The requests
+    themselves are shuffled once, their times once more.
     """
     keys, ttl = list(keys), int(ttl_s * 1_000_000)
     length = slice_windows * ttl
     key_fields = [requests.schema[k] for k in keys]
     long = T.LongType()
-    map_schema = T.StructType([*key_fields, *[T.StructField(c, long) for c in ("slice", "upto", "exit", "held")]])
-    entry_schema = T.StructType([*key_fields, *[T.StructField(c, long) for c in ("slice", "in_start", "in_held")]])
+
+    def schema_of(*names: str) -> T.StructType:
+        return T.StructType([*key_fields, *[T.StructField(c, long) for c in names]])
+
+    map_schema, entry_schema = schema_of("slice", "upto", "exit", "held"), schema_of("slice", "in_start", "in_held")
     timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     timed = timed.withColumn("slice", F.floor(F.col("_us") / length).cast("bigint"))
 
-    def with_key(out: pd.DataFrame, key: tuple, **extra: int) -> pd.DataFrame:
-        for i, k in enumerate(keys):
-            out[k] = pd.Series([key[i]] * len(out), index=out.index, dtype=object)
-        return out.assign(**extra)
+    def rebuilt(table: pa.Table, source: np.ndarray, names: Sequence[str], columns: Sequence[np.ndarray]) -> pa.Table:
+        """Key values of the rows in ``source`` next to new whole-number columns."""
+        taken = table.select(keys).take(pa.array(source, pa.int64()))
+        for name, column in zip(names, columns):
+            taken = taken.append_column(name, pa.array(column, pa.int64()))
+        return taken
+
+    def maps_of(table: pa.Table, starts: np.ndarray, one: Callable[[int, int], tuple], numbers: np.ndarray) -> pa.Table:
+        found = [one(a, b) for a, b in _spans(starts, table.num_rows)]
+        sizes = [len(f[0]) for f in found]
+        cols = [np.concatenate([f[i] for f in found]) for i in range(3)]
+        return rebuilt(table, np.repeat(starts, sizes), map_schema.names[-4:], [np.repeat(numbers[starts], sizes), *cols])
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        no = int(key[-1])
-        out = _summary(np.sort(pdf["_us"].to_numpy()), no * length, length, ttl)
-        return with_key(out, key, slice=no)
+    def summarise(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, no = _ints(table, "_us", "slice")
+        return maps_of(table, starts, lambda a, b: _summary(t[a:b], int(no[a]) * length, length, ttl), no)
 
-    def summary_of_many(span: int):
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            no = int(key[-1])
-            return with_key(_compose(pdf, no * FAN, no * span, ttl), key, slice=no)
+    def compose(span: int) -> Callable[[pa.Table, np.ndarray], pa.Table]:
+        def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+            parent, *part = _ints(table, "_parent", "slice", "upto", "exit", "held")
+
+            def one(a: int, b: int) -> tuple:
+                no = int(parent[a])
+                return _compose(_parts(*(c[a:b] for c in part)), no * FAN, no * span, ttl)
+
+            return maps_of(table, starts, one, parent)
 
         return run
 
-    maps = [timed.select(*keys, "slice", "_us").groupBy(*keys, "slice").applyInPandas(summarise, map_schema)]
+    def with_parent(df: DataFrame) -> DataFrame:
+        return df.withColumn("_parent", F.floor(F.col("slice") / FAN).cast("bigint"))
+
+    maps = [sorted_groups(timed.select(*keys, "slice", "_us"), [*keys, "slice"], ["_us"], summarise, map_schema)]
     for level in range(1, levels):
-        parent = F.floor(F.col("slice") / FAN).cast("bigint")
-        grouped = maps[-1].withColumn("_parent", parent).groupBy(*keys, "_parent")
-        maps.append(grouped.applyInPandas(summary_of_many(length * FAN**level), map_schema))
+        maps.append(
+            sorted_groups(with_parent(maps[-1]), [*keys, "_parent"], ["slice", "upto"], compose(length * FAN**level), map_schema)
+        )
 
-    def from_closed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return with_key(_entries(pdf, _CLOSED, 0, None, ttl), key)
+    def entries_of(table: pa.Table, starts: np.ndarray, one: Callable[[int, int], list]) -> pa.Table:
+        found = [one(a, b) for a, b in _spans(starts, table.num_rows)]
+        rows = np.array([r for f in found for r in f], dtype=np.int64).reshape(-1, 3)
+        return rebuilt(table, np.repeat(starts, [len(f) for f in found]), entry_schema.names[-3:], list(rows.T))
 
-    def from_parent(key: tuple, entry: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=entry_schema.names)
-        start, held = int(entry["in_start"].iloc[0]), int(entry["in_held"].iloc[0])
-        return with_key(_entries(pdf, start, held, int(key[-1]) * FAN - 1, ttl), key)
+    def from_closed(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        part = _ints(table, "slice", "upto", "exit", "held")
+        return entries_of(
+            table, starts, lambda a, b: _entries(_parts(*(c[a:b] for c in part)), _CLOSED, 0, _CLOSED, ttl)
+        )
 
-    entries = maps[-1].groupBy(*keys).applyInPandas(from_closed, entry_schema)
-    for finer in reversed(maps[:-1]):
-        children = finer.withColumn("_parent", F.floor(F.col("slice") / FAN).cast("bigint"))
-        parents = entries.withColumnRenamed("slice", "_parent")
-        entries = (
-            parents.groupBy(*keys, "_parent")
-            .cogroup(children.groupBy(*keys, "_parent"))
-            .applyInPandas(from_parent, entry_schema)
+    def from_parent(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        """The parent's own entry sorts before its slices."""
+        parent, in_start, in_held, *part = _ints(
+            table, "_parent", "in_start", "in_held", "slice", "upto", "exit", "held"
         )
 
-    out_schema = T.StructType([*timed.schema.fields, T.StructField("_start", long), T.StructField("count", long)])
+        def one(a: int, b: int) -> list:
+            parts = _parts(*(c[a + 1 : b] for c in part))
+            return _entries(parts, int(in_start[a]), int(in_held[a]), int(parent[a]) * FAN - 1, ttl)
 
-    def count(rows: pa.Table, entry: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("_us", "ascending"), (tie, "ascending")]))
-        times = rows.column("_us").to_numpy()
-        starts, counts = _count(times, entry.column("in_start")[0].as_py(), entry.column("in_held")[0].as_py(), ttl)
-        return rows.append_column("_start", pa.array(starts)).append_column("count", pa.array(counts))
+        return entries_of(table, starts, one)
 
-    counted = (
-        timed.groupBy(*keys, "slice").cogroup(entries.groupBy(*keys, "slice")).applyInArrow(count, out_schema)
-    )
+    entries = sorted_groups(maps[-1], keys, ["slice", "upto"], from_closed, entry_schema)
+    for finer in reversed(maps[:-1]):
+        parents = entries.withColumnRenamed("slice", "_parent").withColumn("_kind", F.lit(0))
+        children = with_parent(finer).withColumn("_kind", F.lit(1))
+        both = parents.unionByName(children, allowMissingColumns=True)
+        entries = sorted_groups(both, [*keys, "_parent"], ["_kind", "slice", "upto"], from_parent, entry_schema)
+
+    out_schema = T.StructType([*requests.schema.fields, T.StructField("_start", long), T.StructField("count", long)])
+
+    def count(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, in_start, in_held = _ints(table, "_us", "in_start", "in_held")
+        opened, counts = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        for a, b in _spans(starts, len(t)):
+            opened[a + 1 : b], counts[a + 1 : b] = _count(t[a + 1 : b], int(in_start[a]), int(in_held[a]), ttl)
+        rows = table.select(requests_columns).append_column("_start", pa.array(opened)).append_column("count", pa.array(counts))
+        own = np.ones(len(t), dtype=bool)
+        own[starts] = False  # the slice's entry, which sorts first
+        return rows.filter(pa.array(own))
+
+    requests_columns = requests.columns
+    heads = entries.withColumn("_kind", F.lit(0))
+    both = heads.unionByName(timed.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    counted = sorted_groups(both, [*keys, "slice"], ["_kind", "_us", tie], count, out_schema)
     result = counted.withColumn("window_start", F.timestamp_micros("_start")).select(
         *requests.columns, "window_start", "count"
     )

@@ -93,41 +93,41 @@ def _cut(lines: Column, starts: Column, target: int, overlap: int) -> Column:
     if not 0 <= overlap < target:
         raise ValueError("need 0 <= overlap < target")
 
-    def windows(section: Column, tokens: Column) -> Column:
-        begin = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - overlap - 1), F.lit(target - overlap))
+    step = target - overlap
 
-        def chunk(part: Column) -> Column:
-            pages = F.transform(part, lambda t: t["page_no"])
+    def windows(section: Column, tokens: Column, pages: Column) -> Column:
+        """``pages`` names the page of every token; it never falls, so a window's ends tell its range."""
+        last = F.greatest(F.lit(0), F.size(tokens) - overlap - 1)
+        begin = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), last, F.lit(step)))
+
+        def chunk(s: Column) -> Column:
+            stop = F.least(s + target, F.size(tokens))
             return F.struct(
                 section.alias("section"),
-                F.array_min(pages).alias("page_start"),
-                F.array_max(pages).alias("page_end"),
-                F.array_join(F.transform(part, lambda t: t["word"]), " ").alias("text"),
-                F.size(part).alias("token_count"),
+                F.get(pages, s).alias("page_start"),
+                F.get(pages, stop - 1).alias("page_end"),
+                F.array_join(F.slice(tokens, s + 1, F.lit(target)), " ").alias("text"),
+                (stop - s).alias("token_count"),
             )
 
-        parts = F.transform(begin, lambda s: F.slice(tokens, s + 1, F.lit(target)))
-        return F.transform(F.filter(parts, lambda p: F.size(p) > 0), chunk)
+        return F.coalesce(F.transform(begin, chunk), F.array())
 
     def section_chunks(start: Column, j: Column, all_lines: Column, all_starts: Column) -> Column:
         stop = F.coalesce(F.get(all_starts, j + 1), F.size(all_lines))
         body = F.slice(all_lines, start + 1, stop - start)
-        tokens = F.flatten(
-            F.transform(
-                body,
-                lambda line: F.transform(
-                    words(line["line"]), lambda w: F.struct(w.alias("word"), line["page_no"].alias("page_no"))
-                ),
-            )
-        )
-        return bind(tokens, lambda t: windows(F.get(all_lines, start)["section"], t))
+        split = F.transform(body, lambda ln: F.struct(words(ln["line"]).alias("words"), ln["page_no"].alias("page_no")))
+
+        def with_pages(by_line: Column) -> Column:
+            tokens = F.flatten(F.transform(by_line, lambda b: b["words"]))
+            pages = F.flatten(F.transform(by_line, lambda b: F.array_repeat(b["page_no"], F.size(b["words"]))))
+            section = F.get(all_lines, start)["section"]
+            return bind(F.struct(tokens.alias("t"), pages.alias("p")), lambda tp: windows(section, tp["t"], tp["p"]))
+
+        return bind(split, with_pages)
 
     return bind(
         lines,
-        lambda ls: bind(
-            starts if starts is not None else F.array(F.lit(0)),
-            lambda ss: F.flatten(F.transform(ss, lambda s, j: section_chunks(s, j, ls, ss))),
-        ),
+        lambda ls: bind(starts, lambda ss: F.flatten(F.transform(ss, lambda s, j: section_chunks(s, j, ls, ss)))),
     )
 
 
