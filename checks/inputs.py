@@ -209,18 +209,20 @@ class Inputs:
 
     @cached_property
     def report_figures(self) -> DataFrame:
-        def money(expr: str) -> str:
-            return f"cast({expr} as decimal(18,4))"
+        # Amounts have four decimals; they are added as whole ten-thousandths.
+        def parts(expr: str) -> str:
+            return f"cast(round(({expr}) * 10000) as bigint)"
 
         lines = self.table("lineitem").selectExpr(
             "l_suppkey",
-            "concat(year(l_shipdate), 'Q', quarter(l_shipdate)) as fiscal_period",
-            f"{money('l_extendedprice * (1 - l_discount)')} as revenue",
-            f"{money('l_extendedprice * (0.5D + l_tax)')} as cost",
-            f"{money('l_extendedprice * l_tax')} as tax",
-            f"case when l_returnflag = 'R' then {money('l_extendedprice')} end as ret",
+            "year(l_shipdate) as y",
+            "quarter(l_shipdate) as q",
+            f"{parts('l_extendedprice * (1 - l_discount)')} as revenue",
+            f"{parts('l_extendedprice * (0.5D + l_tax)')} as cost",
+            f"{parts('l_extendedprice * l_tax')} as tax",
+            f"case when l_returnflag = 'R' then {parts('l_extendedprice')} end as ret",
         )
-        grouped = lines.groupBy("l_suppkey", "fiscal_period").agg(
+        grouped = lines.groupBy("l_suppkey", "y", "q").agg(
             F.sum("revenue").alias("revenue"),
             F.sum("cost").alias("cost_of_revenue"),
             F.sum("tax").alias("taxes"),
@@ -228,13 +230,15 @@ class Inputs:
             F.sum("ret").alias("returned_any"),
             F.count(F.lit(1)).alias("lines"),
         )
+        amounts = ("revenue", "cost_of_revenue", "taxes", "returned", "returned_any")
         return grouped.filter("lines >= 15").selectExpr(
-            "concat('s', l_suppkey, '-', fiscal_period) as document_id",
+            "concat('s', l_suppkey, '-', y, 'Q', q) as document_id",
             "concat('s', l_suppkey) as company",
-            "fiscal_period",
+            "concat(y, 'Q', q) as fiscal_period",
             "case l_suppkey % 2 when 0 then 'units' else 'thousands' end as unit",
             "case l_suppkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'JPY' end as currency",
-            "revenue", "cost_of_revenue", "taxes", "returned", "returned_any", "lines",
+            *[f"cast({a} * 0.0001BD as decimal(28,4)) as {a}" for a in amounts],
+            "lines",
         )
 
     @cached_property
@@ -259,13 +263,18 @@ class Inputs:
             self.table("lineitem")
             .selectExpr(
                 "l_partkey",
-                "concat('s', l_suppkey) as company",
-                "concat(year(l_shipdate), 'Q', quarter(l_shipdate)) as fiscal_period",
-                "cast(l_extendedprice * (1 - l_discount) as decimal(18,4)) as amount",
+                "l_suppkey",
+                "year(l_shipdate) as y",
+                "quarter(l_shipdate) as q",
+                "cast(round(l_extendedprice * (1 - l_discount) * 10000) as bigint) as amount",
             )
             .join(brand, "l_partkey")
-            .groupBy("company", "fiscal_period", "segment")
-            .agg(F.sum("amount").cast("decimal(28,4)").alias("value"))
+            .groupBy("l_suppkey", "y", "q", "segment")
+            .agg(F.sum("amount").alias("amount"))
+            .selectExpr(
+                "concat('s', l_suppkey) as company", "concat(y, 'Q', q) as fiscal_period", "segment",
+                "cast(amount * 0.0001BD as decimal(28,4)) as value",
+            )
         )
         reports = self.report_figures.selectExpr(
             "document_id", "company", "fiscal_period", "unit", "currency", "cast(lines as int) as source_page"

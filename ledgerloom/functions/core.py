@@ -18,3 +18,9 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def floor_div(c: Column | str, n: int) -> Column:
+    """Whole part of ``c / n`` for whole numbers, rounded down, without loss for large values."""
+    value = as_column(c)
+    return ((value - F.pmod(value, F.lit(n))) / n).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import bind
+from ledgerloom.functions.core import floor_div
 
 # How a marker looks, and how one role is named for the model.
 MARKER = r"\[(\d+)\]"
@@ -53,7 +54,7 @@ def conversation_context(messages: DataFrame, max_turns: int, run_length: int =
     runs of turns, and each run starts from the tail of the runs before it, so one very long
     conversation spreads over many tasks.
     """
-    run = F.floor(F.col("turn") / run_length)
+    run = floor_div("turn", run_length)
     role = F.col("role")
     for ours, theirs in MODEL_ROLES.items():
         role = F.when(role == ours, theirs).otherwise(role)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.grouped import sorted_groups
 from ledgerloom.session import cut_lineage
 
@@ -159,7 +160,7 @@ def fixed_window(
 
     map_schema, entry_schema = schema_of("slice", "upto", "exit", "held"), schema_of("slice", "in_start", "in_held")
     timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    timed = timed.withColumn("slice", F.floor(F.col("_us") / length).cast("bigint"))
+    timed = timed.withColumn("slice", floor_div("_us", length))
 
     def rebuilt(table: pa.Table, source: np.ndarray, names: Sequence[str], columns: Sequence[np.ndarray]) -> pa.Table:
         """Key values of the rows in ``source`` next to new whole-number columns."""
@@ -191,7 +192,7 @@ def fixed_window(
         return run
 
     def with_parent(df: DataFrame) -> DataFrame:
-        return df.withColumn("_parent", F.floor(F.col("slice") / FAN).cast("bigint"))
+        return df.withColumn("_parent", floor_div("slice", FAN))
 
     maps = [sorted_groups(timed.select(*keys, "slice", "_us"), [*keys, "slice"], ["_us"], summarise, map_schema)]
     for level in range(1, levels):

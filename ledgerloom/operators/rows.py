@@ -23,20 +23,8 @@ def with_earlier(
 ) -> DataFrame:
     """Add the values found exactly ``lag`` ordinals earlier under the same keys; a gap gives null.
 
-    ``values`` maps new column names to existing ones. Each row is sent once as itself and once to
-    the ordinal it is the predecessor of; one aggregation on (keys, ordinal) brings both together,
-    so a key with a long history spreads over its ordinals. (keys, ordinal) must be unique.
+    ``values`` maps new column names to existing ones. (keys, ordinal) must be unique, so the rows
+    of one key are bounded by the number of ordinals.
     """
-    own = F.struct(*[c for c in df.columns if c not in (*keys, ordinal)])
-    lent = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    own_type, lent_type = df.select(own.alias("x")).schema[0].dataType, df.select(lent.alias("x")).schema[0].dataType
-    sides = F.array(
-        F.struct(F.col(ordinal).alias("_at"), own.alias("_own"), F.lit(None).cast(lent_type).alias("_lent")),
-        F.struct((F.col(ordinal) + lag).alias("_at"), F.lit(None).cast(own_type).alias("_own"), lent.alias("_lent")),
-    )
-    both = df.select(*keys, F.inline(sides))
-    joined = both.groupBy(*keys, F.col("_at").alias(ordinal)).agg(
-        F.any_value("_own", ignoreNulls=True).alias("_own"),
-        F.any_value("_lent", ignoreNulls=True).alias("_lent"),
-    )
-    return joined.filter("_own is not null").select(*keys, ordinal, "_own.*", "_lent.*")
+    there = Window.partitionBy(*keys).orderBy(ordinal).rangeBetween(-lag, -lag)
+    return df.withColumns({new: F.last(src).over(there) for new, src in values.items()})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.quantiles import exact_percentiles
 from ledgerloom.schemas import STAGE_ORDER
 
@@ -35,7 +36,7 @@ def stage_times(stage_events: DataFrame, slice_s: int = 86_400) -> DataFrame:
     A document's log is worked on in time slices; what follows a slice's last event is looked up
     in a table with one row per document and slice.
     """
-    sliced = stage_events.withColumn("_slice", F.floor(F.unix_micros("ts") / (slice_s * 1_000_000)))
+    sliced = stage_events.withColumn("_slice", floor_div(F.unix_micros("ts"), slice_s * 1_000_000))
     in_slice = Window.partitionBy("document_id", "_slice").orderBy("ts", "event_id")
     own = sliced.withColumn("_next", F.lead("ts").over(in_slice))
     per_doc = Window.partitionBy("document_id").orderBy("_slice")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.core import floor_div
+
 SALTS = 16
 
 
@@ -29,7 +31,7 @@ def asof_ttl(
     columns = [c for c in reads.columns if c not in (key, "ts")]
     asked = reads.select(key, "ts", F.lit(1).alias("_side"), F.struct(*(columns or [key])).alias("_r"))
     both = log.unionByName(asked, allowMissingColumns=True).withColumn(
-        "_slice", F.floor(F.unix_micros("ts") / (slice_s * 1_000_000))
+        "_slice", floor_div(F.unix_micros("ts"), slice_s * 1_000_000)
     )
     so_far = Window.partitionBy(key, "_slice").orderBy("ts", "_side", F.col("_w.seq"))
     seen = F.last("_w", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
