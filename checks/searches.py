@@ -162,10 +162,12 @@ def e10_found(t: Inputs) -> DataFrame:
     return evaluation.audit_leaks(hits, t.vec_questions, t.vec_chunks).select("qid", "id", "problem")
 
 
-# Expected: what the question's own document holds. Given: the five best hits, citing two of them.
+# Expected: the three chunks of the question's own document that fit best. Given: the five best hits
+# within the question's scope, citing two of them.
 @query(
     "e11_evaluate",
-    """WITH want AS (SELECT q.qid, list(CAST(c.id AS VARCHAR)) AS want FROM vec_chunks c JOIN (SELECT vec_id AS qid, 'd' || CAST(label AS VARCHAR) AS document_id FROM embeddings) q ON q.document_id = c.document_id GROUP BY q.qid),
+    """WITH want AS (SELECT qid, list(CAST(id AS VARCHAR)) AS want FROM (SELECT q.id AS qid, c.id FROM vec_chunks c JOIN vec_chunks q ON q.document_id = c.document_id
+      QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.embedding, c.embedding), 6) DESC, c.id) <= 3) GROUP BY qid),
     got AS (SELECT qid, list(CAST(id AS VARCHAR) ORDER BY rank) AS got FROM vec_ranked WHERE rank <= 5 GROUP BY qid),
     j AS (SELECT w.qid, want, COALESCE(got, []) AS got, COALESCE(len(document_ids) = 0, false) AS must_refuse, got IS NULL AS refused, list_slice(COALESCE(got, []), 1, 2) AS cited
       FROM want w JOIN vec_questions q ON q.qid = w.qid LEFT JOIN got g ON g.qid = w.qid),
@@ -192,9 +194,10 @@ def e11(t: Inputs) -> DataFrame:
         "qid", F.expr("cast(array() as array<string>)").alias("chunk_ids"), F.expr("cast(array() as array<string>)").alias("cited_ids"),
         F.lit(True).alias("refused"),
     )
-    own = t.vec_chunks.groupBy("document_id").agg(F.collect_list(F.col("id").cast("string")).alias("chunk_ids"))
-    about = t.vec_chunks.select(F.col("id").alias("qid"), "document_id")
-    expected = about.join(own, "document_id").join(asked, "qid").select("qid", "chunk_ids", "must_refuse")
+    about = t.vec_chunks.selectExpr("id as qid", "user_id", "embedding", "array(document_id) as document_ids")
+    best = search.batch_vector_search(about, t.vec_chunks, 3, payload=False)
+    own = best.groupBy("qid").agg(F.collect_list(F.col("id").cast("string")).alias("chunk_ids"))
+    expected = own.join(asked, "qid").select("qid", "chunk_ids", "must_refuse")
     report = evaluation.evaluate(results.unionByName(no_hit), expected, 5)
     return report.select("qid", "is_total", *[F.round(c, 6).alias(c) for c in report.columns if c not in ("qid", "is_total")])
 

@@ -41,11 +41,11 @@ def sorted_groups(
 ) -> DataFrame:
     """Run ``fn(rows, starts)`` over whole groups of ``keys``, rows sorted by ``order`` within a group.
 
-    ``starts`` holds the position of each group's first row. One shuffle on the keys.
+    ``starts`` holds the position of each group's first row. One shuffle on the keys; adaptive
+    execution may merge small partitions of it but never splits one, so groups stay whole.
     """
     keys = list(keys)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []

@@ -31,7 +31,7 @@ AUTH_PREFIX = "/api/v1/auth"
 
 SLICE_WINDOWS = 64
 FAN = 64
-_CLOSED = np.iinfo(np.int64).min // 2  # "no window is open", far before any time
+NO_WINDOW = np.iinfo(np.int64).min // 2  # "no window is open", far before any time
 
 
 def _chain_ends(t: np.ndarray, first: np.ndarray, ttl: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def _summary(t: np.ndarray, start: int, length: int, ttl: int) -> tuple:
         ends = _chain_ends(t, heads, ttl)
     exits, held = t[ends], len(t) - ends
     closed = exits + ttl <= end
-    return _distinct_runs(t[heads], np.where(closed, _CLOSED, exits), np.where(closed, 0, held))
+    return _distinct_runs(t[heads], np.where(closed, NO_WINDOW, exits), np.where(closed, 0, held))
 
 
 def _step(part: tuple, expiry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def _step(part: tuple, expiry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i = np.searchsorted(upto, expiry, "left")
     inside = i < len(upto)
     i = np.where(inside, i, 0)
-    return np.where(inside, exits[i], _CLOSED), np.where(inside, held[i], 0)
+    return np.where(inside, exits[i], NO_WINDOW), np.where(inside, held[i], 0)
 
 
 def _parts(slices: np.ndarray, upto: np.ndarray, exits: np.ndarray, held: np.ndarray) -> list[tuple[int, tuple]]:
@@ -91,11 +91,11 @@ def _compose(parts: list[tuple[int, tuple]], first_slice: int, start: int, ttl:
     exits, held = upto - ttl, np.zeros(len(upto), dtype=np.int64)
     for no, part in parts:
         if no != before + 1:
-            exits = np.full(len(upto), _CLOSED)
+            exits = np.full(len(upto), NO_WINDOW)
         exits, held = _step(part, exits + ttl)
         before = no
     if before != first_slice + FAN - 1:
-        exits, held = np.full(len(upto), _CLOSED), np.zeros(len(upto), dtype=np.int64)
+        exits, held = np.full(len(upto), NO_WINDOW), np.zeros(len(upto), dtype=np.int64)
     return _distinct_runs(upto, exits, held)
 
 
@@ -104,14 +104,14 @@ def _entries(parts: list[tuple[int, tuple]], exit_: int, held: int, before: int,
     rows = []
     for no, part in parts:
         if no != before + 1:
-            exit_, held = _CLOSED, 0
+            exit_, held = NO_WINDOW, 0
         rows.append((no, exit_, held))
         e, h = _step(part, np.array([exit_ + ttl]))
         exit_, held, before = int(e[0]), int(h[0]), no
     return rows
 
 
-def _count(t: np.ndarray, in_start: int, in_held: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+def count_windows(t: np.ndarray, in_start: int, in_held: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """Window start and running count for the sorted times of one slice."""
     starts, counts = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
     at = int(np.searchsorted(t, in_start + ttl, "left"))
@@ -208,7 +208,7 @@ def fixed_window(
     def from_closed(table: pa.Table, starts: np.ndarray) -> pa.Table:
         part = _ints(table, "slice", "upto", "exit", "held")
         return entries_of(
-            table, starts, lambda a, b: _entries(_parts(*(c[a:b] for c in part)), _CLOSED, 0, _CLOSED, ttl)
+            table, starts, lambda a, b: _entries(_parts(*(c[a:b] for c in part)), NO_WINDOW, 0, NO_WINDOW, ttl)
         )
 
     def from_parent(table: pa.Table, starts: np.ndarray) -> pa.Table:
@@ -236,7 +236,7 @@ def fixed_window(
         t, in_start, in_held = _ints(table, "_us", "in_start", "in_held")
         opened, counts = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
         for a, b in _spans(starts, len(t)):
-            opened[a + 1 : b], counts[a + 1 : b] = _count(t[a + 1 : b], int(in_start[a]), int(in_held[a]), ttl)
+            opened[a + 1 : b], counts[a + 1 : b] = count_windows(t[a + 1 : b], int(in_start[a]), int(in_held[a]), ttl)
         rows = table.select(requests_columns).append_column("_start", pa.array(opened)).append_column("count", pa.array(counts))
         own = np.ones(len(t), dtype=bool)
         own[starts] = False  # the slice's entry, which sorts first

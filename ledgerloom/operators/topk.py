@@ -9,7 +9,7 @@ Two ways to bring the blocks together:
   vector table is scanned once, with no shuffle of vectors at all;
 * many questions: both sides are shuffled on (group, vector block, question block). The number of
   blocks of a group follows from its row count, so a group that holds a third of all rows becomes
-  many blocks of the same size as everybody else's.
+  many blocks of the same size as everybody else's. The row counts read the group columns only.
 """
 
 from __future__ import annotations
@@ -140,6 +140,7 @@ def _scan_with_sent_questions(
         if len(values) <= 200:
             chunks = chunks.filter(F.col(c).isin(sorted(values)))
     on_cols = list(on)
+    most_held = max(200_000, 4 * k * len(qids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, names = sent.value
@@ -161,7 +162,7 @@ def _scan_with_sent_questions(
                     piece["q"] += first
                     found.append(piece)
                     held += len(piece)
-            if held > 200_000:
+            if held > most_held:
                 found = [_keep_best(found, k)]
                 held = len(found[0])
         if found:
@@ -177,13 +178,15 @@ def _block_join(
     schema, arrow_schema = _out_schemas(questions, chunks)
     on = list(on)
 
+    def small_if_few(df: DataFrame) -> DataFrame:
+        """Broadcast a list of groups that turns out short; a long one is joined like any table."""
+        rows = rows_if_bounded(df)
+        return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
     def big_groups(df: DataFrame, size: int, name: str) -> DataFrame:
         """Groups that need more than one block; at most (rows / size) of them exist."""
-        return (
-            df.groupBy(*on)
-            .agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-            .filter(F.col(name) > 1)
-        )
+        blocks = F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)
+        return small_if_few(df.groupBy(*on).agg(blocks).filter(F.col(name) > 1))
 
     v_blocks, q_blocks = big_groups(chunks, v_block, "_nv"), big_groups(questions, q_block, "_nq")
 
@@ -196,7 +199,7 @@ def _block_join(
             .drop("_nv", "_nq")
         )
 
-    asked = questions.select(*on).distinct()
+    asked = small_if_few(questions.select(*on).distinct())
     q_side = placed(questions.select("qid", *on, "embedding", "document_ids"), "qid", "q", "v")
     columns = ["id", *on, *([] if "document_id" in on else ["document_id"]), "embedding"]
     v_side = placed(chunks.select(*columns).join(asked, on, "left_semi"), "id", "v", "q")

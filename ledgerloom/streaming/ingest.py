@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.maintenance import latest
 from ledgerloom.operators.models import hash_embed
 from ledgerloom.operators.text import chunk_documents
+from ledgerloom.session import rows_if_bounded
 
 
 def stream_ingest(
@@ -52,7 +53,20 @@ def stream_ingest(
 
 
 def read_stream_index(spark: SparkSession, index_dir: str) -> DataFrame:
-    """The index: for every chunk id the row of the newest batch that wrote it."""
-    rows = spark.read.parquet(f"{index_dir}/chunks")
-    return latest(rows, "id", ["batch_id"]).drop("batch_id")
+    """The index: for every chunk id the row of the newest batch that wrote it.
 
+    Ids written more than once are found from the id column alone. When they are few (one bounded
+    job finds out) they are broadcast, so texts and vectors are read without a shuffle.
+    """
+    rows = spark.read.parquet(f"{index_dir}/chunks")
+    again = (
+        rows.groupBy("id")
+        .agg(F.max("batch_id").alias("_newest"), F.count(F.lit(1)).alias("_times"))
+        .filter("_times > 1")
+        .drop("_times")
+    )
+    few = rows_if_bounded(again)
+    if few is not None:
+        again = F.broadcast(spark.createDataFrame(few, again.schema))
+    joined = rows.join(again, "id", "left")
+    return joined.filter(F.col("_newest").isNull() | (F.col("batch_id") == F.col("_newest"))).drop("batch_id", "_newest")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerloom.operators.limits import NO_WINDOW, count_windows
+
 
 def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
@@ -29,18 +31,12 @@ class _WindowCounter(StatefulProcessor):
         batch["_us"] = _micros(batch["ts"])
         batch = batch.sort_values(["_us", self.tie])
         held = self.open.get()
-        start, count = held if held is not None else (None, 0)
-        starts, counts = [], []
-        for t in batch["_us"]:
-            if start is None or t >= start + self.ttl:
-                start, count = int(t), 0
-            count += 1
-            starts.append(start)
-            counts.append(count)
-        self.open.update((start, count))
+        start, count = held if held is not None else (NO_WINDOW, 0)
+        starts, counts = count_windows(batch["_us"].to_numpy(), start, count, self.ttl)
+        self.open.update((int(starts[-1]), int(counts[-1])))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((start + self.ttl) // 1000 + 1)
+        self.handle.registerTimer((int(starts[-1]) + self.ttl) // 1000 + 1)
         out = batch[self.columns].copy()
         out["window_start"] = pd.to_datetime(pd.Series(starts, index=out.index), unit="us")
         out["count"] = counts

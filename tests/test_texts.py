@@ -160,9 +160,9 @@ def test_embedding_space_guard(spark, at):
     empty = spark.createDataFrame([], schema)
     fresh = models.check_embedding_space(empty, "fake", "fake-embedding", 16)
     assert tuple(fresh.first())[1:4] == ("fake", "fake-embedding", 16)
-    stored = spark.createDataFrame([(1, "gemini", "gemini-embedding-001", 3072, at(9)), (2, "fake", "fake-embedding", 16, at(1))], schema)
+    stored = spark.createDataFrame([(1, "other", "other-embedding", 3072, at(9)), (2, "fake", "fake-embedding", 16, at(1))], schema)
     assert models.check_embedding_space(stored, "fake", "fake-embedding", 16).count() == 1
-    for wrong in (("fake", "fake-embedding", 32), ("fake", "other", 16), ("gemini", "gemini-embedding-001", 3072)):
+    for wrong in (("fake", "fake-embedding", 32), ("fake", "other", 16), ("other", "other-embedding", 3072)):
         with pytest.raises(ValueError, match="embedding configuration changed"):
             models.check_embedding_space(stored, *wrong)
     with pytest.raises(Exception, match="does not fit"):
