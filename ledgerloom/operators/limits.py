@@ -34,15 +34,68 @@ FAN = 64
 NO_WINDOW = np.iinfo(np.int64).min // 2  # "no window is open", far before any time
 
 
-def _chain_ends(t: np.ndarray, first: np.ndarray, ttl: int) -> np.ndarray:
-    """Index of the last window start of the chain that begins at each index in ``first``."""
-    at = first.copy()
-    while True:
-        following = np.searchsorted(t, t[at] + ttl, "left")
-        more = following < len(t)
-        if not more.any():
-            return at
-        at = np.where(more, following, at)
+class _Slices:
+    """The sorted times of many slices, worked on together.
+
+    Times are counted from each slice's start and slices are laid out one after the other with a
+    gap wider than a window, so one search finds for every request where the next window would
+    open, and a search never leaves its own slice.
+    """
+
+    def __init__(self, since: np.ndarray, first: np.ndarray, length: int, ttl: int):
+        n = len(since)
+        self.first, self.stop = first, np.append(first[1:], n)
+        self.owner = np.repeat(np.arange(len(first)), self.stop - first)
+        self.gap = length + 2 * ttl
+        self.line = self.owner * self.gap + since
+        self.since, self.ttl, self.length = since, ttl, length
+        self.following = np.searchsorted(self.line, self.line + ttl, "left")
+        self.goes_on = self.following < self.stop[self.owner]
+
+    @staticmethod
+    def most(length: int, ttl: int) -> int:
+        """How many slices fit on one line of 64-bit numbers."""
+        return 2**62 // (length + 2 * ttl)
+
+    def last_starts(self) -> np.ndarray:
+        """For a window opening at each request: where the last window of its slice then opens."""
+        at = np.arange(len(self.line))
+        while (more := self.goes_on[at]).any():
+            at = np.where(more, self.following[at], at)
+        return at
+
+    def summaries(self) -> tuple:
+        """Every slice as a function: (owner, upto, exit, held) with times from the slice's start.
+
+        A window that is open at the start and expires at or before ``upto`` (and after the previous
+        ``upto``) leads to ``exit``, the start of the window open at the end, which holds ``held``.
+        """
+        new_time = np.append(True, self.line[1:] != self.line[:-1])
+        early = self.since < self.ttl
+        after_early = np.append(True, (self.owner[1:] != self.owner[:-1]) | early[:-1])
+        heads = np.flatnonzero(new_time & (early | after_early))
+        ends, owner = self.last_starts()[heads], self.owner[heads]
+        closed = self.since[ends] + self.ttl <= self.length
+        exits = np.where(closed, NO_WINDOW, self.since[ends])
+        held = np.where(closed, 0, self.stop[owner] - ends)
+        keep = np.append((exits[1:] != exits[:-1]) | (owner[1:] != owner[:-1]), True)
+        return owner[keep], self.since[heads][keep], exits[keep], held[keep]
+
+    def counts(self, in_start: np.ndarray, in_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window start (from the slice's start) and running count of every request."""
+        expiry = np.clip(in_start + self.ttl, 0, self.length + self.ttl)
+        at = np.searchsorted(self.line, np.arange(len(self.first)) * self.gap + expiry, "left")
+        opens = np.zeros(len(self.line), dtype=bool)
+        at = at[at < self.stop]
+        while len(at):
+            opens[at] = True
+            at = self.following[at][self.goes_on[at]]
+        here = np.arange(len(self.line))
+        begun = np.maximum.accumulate(np.where(opens, here, -1))
+        carried = begun < self.first[self.owner]
+        starts = np.where(carried, in_start[self.owner], self.since[begun])
+        counts = np.where(carried, in_held[self.owner] + here - self.first[self.owner] + 1, here - begun + 1)
+        return starts, counts
 
 
 def _distinct_runs(upto: np.ndarray, exits: np.ndarray, held: np.ndarray) -> tuple:
@@ -51,22 +104,6 @@ def _distinct_runs(upto: np.ndarray, exits: np.ndarray, held: np.ndarray) -> tup
     return upto[keep], exits[keep], held[keep]
 
 
-def _summary(t: np.ndarray, start: int, length: int, ttl: int) -> tuple:
-    """The slice as a function: an open window that expires at or before ``upto`` (and after the
-    previous ``upto``) leads to ``exit``, the start of the window open at the end, holding ``held``."""
-    end = start + length
-    if t[-1] < t[0] + ttl and t[-1] < start + ttl:
-        heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))  # every entry opens the last window
-        ends = heads
-    else:
-        early = np.searchsorted(t, start + ttl, "left")
-        heads = np.unique(t[: early + 1], return_index=True)[1]
-        ends = _chain_ends(t, heads, ttl)
-    exits, held = t[ends], len(t) - ends
-    closed = exits + ttl <= end
-    return _distinct_runs(t[heads], np.where(closed, NO_WINDOW, exits), np.where(closed, 0, held))
-
-
 def _step(part: tuple, expiry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Apply one slice's function to many expiries at once."""
     upto, exits, held = part
@@ -169,15 +206,24 @@ def fixed_window(
             taken = taken.append_column(name, pa.array(column, pa.int64()))
         return taken
 
-    def maps_of(table: pa.Table, starts: np.ndarray, one: Callable[[int, int], tuple], numbers: np.ndarray) -> pa.Table:
-        found = [one(a, b) for a, b in _spans(starts, table.num_rows)]
-        sizes = [len(f[0]) for f in found]
-        cols = [np.concatenate([f[i] for f in found]) for i in range(3)]
-        return rebuilt(table, np.repeat(starts, sizes), map_schema.names[-4:], [np.repeat(numbers[starts], sizes), *cols])
+    def blocks(starts: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Runs of whole slices that fit on one line: rows from, rows to, and the slices' starts."""
+        most = _Slices.most(length, ttl)
+        for i in range(0, len(starts), most):
+            mine = starts[i : i + most]
+            stop = int(starts[i + most]) if i + most < len(starts) else n
+            yield int(mine[0]), stop, mine - mine[0]
 
     def summarise(table: pa.Table, starts: np.ndarray) -> pa.Table:
         t, no = _ints(table, "_us", "slice")
-        return maps_of(table, starts, lambda a, b: _summary(t[a:b], int(no[a]) * length, length, ttl), no)
+        begin, found = no * length, []
+        for a, b, first in blocks(starts, len(t)):
+            owner, *parts = _Slices(t[a:b] - begin[a:b], first, length, ttl).summaries()
+            found.append((first[owner] + a, *parts))
+        source, upto, exits, held = (np.concatenate(c) for c in zip(*found))
+        shift = begin[source]
+        exits = np.where(exits == NO_WINDOW, NO_WINDOW, exits + shift)
+        return rebuilt(table, source, map_schema.names[-4:], [no[source], upto + shift, exits, held])
 
     def compose(span: int) -> Callable[[pa.Table, np.ndarray], pa.Table]:
         def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
@@ -187,7 +233,10 @@ def fixed_window(
                 no = int(parent[a])
                 return _compose(_parts(*(c[a:b] for c in part)), no * FAN, no * span, ttl)
 
-            return maps_of(table, starts, one, parent)
+            found = [one(a, b) for a, b in _spans(starts, table.num_rows)]
+            source = np.repeat(starts, [len(f[0]) for f in found])
+            columns = [np.concatenate([f[i] for f in found]) for i in range(3)]
+            return rebuilt(table, source, map_schema.names[-4:], [parent[source], *columns])
 
         return run
 
@@ -233,14 +282,24 @@ def fixed_window(
     out_schema = T.StructType([*requests.schema.fields, T.StructField("_start", long), T.StructField("count", long)])
 
     def count(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        t, in_start, in_held = _ints(table, "_us", "in_start", "in_held")
-        opened, counts = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        for a, b in _spans(starts, len(t)):
-            opened[a + 1 : b], counts[a + 1 : b] = count_windows(t[a + 1 : b], int(in_start[a]), int(in_held[a]), ttl)
-        rows = table.select(requests_columns).append_column("_start", pa.array(opened)).append_column("count", pa.array(counts))
-        own = np.ones(len(t), dtype=bool)
-        own[starts] = False  # the slice's entry, which sorts first
-        return rows.filter(pa.array(own))
+        """The slice's entry sorts before its requests; every slice has one of each at least."""
+        own = np.ones(table.num_rows, dtype=bool)
+        own[starts] = False
+        no, in_start, in_held = (c[starts] for c in _ints(table, "slice", "in_start", "in_held"))
+        rows = table.filter(pa.array(own))
+        (t,) = _ints(rows, "_us")
+        starts = starts - np.arange(len(starts))
+        found = []
+        for a, b, first in blocks(starts, len(t)):
+            one, many = slice(np.searchsorted(starts, a), np.searchsorted(starts, b)), slice(a, b)
+            begin = no[one] * length
+            since = t[many] - np.repeat(begin, np.diff(np.append(first, b - a)))
+            carried = np.where(in_start[one] == NO_WINDOW, NO_WINDOW, in_start[one] - begin)
+            line = _Slices(since, first, length, ttl)
+            opened, counts = line.counts(carried, in_held[one])
+            found.append((opened + begin[line.owner], counts))
+        opened, counts = (np.concatenate(c) for c in zip(*found))
+        return rows.select(requests_columns).append_column("_start", pa.array(opened)).append_column("count", pa.array(counts))
 
     requests_columns = requests.columns
     heads = entries.withColumn("_kind", F.lit(0))
