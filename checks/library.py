@@ -139,10 +139,10 @@ def a7(t: Inputs) -> DataFrame:
     docs = t.lib_documents.select("id", "text")
     for version, dim in ((1, 8), (2, 16)):
         index.reindex(docs, lambda df, d=dim: hash_embed(df, dim=d), out, version, "fake", "fake-embedding", dim)
-    newest = index.read_index_meta(t.spark, out).agg(F.max("id").cast("int").alias("version"))
+    newest = index.read_index_meta(t.spark, out).agg(F.max("id")).first()[0]
     return index.read_published(t.spark, out).select(
-        "id", F.length("text").alias("chars"), F.size("embedding").alias("size")
-    ).join(F.broadcast(newest))
+        "id", F.length("text").alias("chars"), F.size("embedding").alias("size"), F.lit(newest).cast("int").alias("version")
+    )
 
 
 @query(
@@ -177,10 +177,12 @@ def b2(t: Inputs) -> DataFrame:
     return access.apply_filters(t.vec_chunks, filters).select("id", "document_id", "user_id")
 
 
-@query("b2_empty_filter", "SELECT 0 AS kept, COUNT(*) AS chunks FROM vec_chunks")
+@query("b2_empty_filter", "SELECT 'kept' AS what, 0 AS n UNION ALL SELECT 'chunks', COUNT(*) FROM vec_chunks")
 def b2_empty(t: Inputs) -> DataFrame:
-    kept = access.apply_filters(t.vec_chunks, {"document_ids": []}).agg(F.count(F.lit(1)).alias("kept"))
-    return kept.join(F.broadcast(t.vec_chunks.agg(F.count(F.lit(1)).alias("chunks"))))
+    kept = access.apply_filters(t.vec_chunks, {"document_ids": []})
+    return kept.agg(F.lit("kept").alias("what"), F.count(F.lit(1)).alias("n")).unionByName(
+        t.vec_chunks.agg(F.lit("chunks").alias("what"), F.count(F.lit(1)).alias("n"))
+    )
 
 
 @query(

@@ -138,11 +138,13 @@ def e9(t: Inputs) -> DataFrame:
 
 
 # The search must leak nothing; a second search that ignores owners and scopes must be caught.
-@query("e10_audit_leaks_none", "SELECT 0 AS leaks, COUNT(*) AS hits FROM vec_ranked WHERE rank <= 8")
+@query("e10_audit_leaks_none", "SELECT 'leaks' AS what, 0 AS n UNION ALL SELECT 'hits', COUNT(*) FROM vec_ranked WHERE rank <= 8")
 def e10(t: Inputs) -> DataFrame:
     hits = search.batch_vector_search(t.vec_questions, t.vec_chunks, 8, payload=False)
-    leaks = evaluation.audit_leaks(hits, t.vec_questions, t.vec_chunks).agg(F.count(F.lit(1)).alias("leaks"))
-    return leaks.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("hits"))))
+    leaks = evaluation.audit_leaks(hits, t.vec_questions, t.vec_chunks)
+    return leaks.agg(F.lit("leaks").alias("what"), F.count(F.lit(1)).alias("n")).unionByName(
+        hits.agg(F.lit("hits").alias("what"), F.count(F.lit(1)).alias("n"))
+    )
 
 
 @query(

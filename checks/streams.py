@@ -23,15 +23,17 @@ def _stream(t: Inputs, name: str) -> DataFrame:
 def i1(t: Inputs) -> DataFrame:
     out = shared_dir(t.spark, "ingest")
     session = streaming.stream_session(t.spark)
-    for glob in ("documents.parquet",):
-        streaming.stream_ingest(
-            session, t.sf_dir, out, SCHEMAS["documents"], prepare=Inputs.as_library, glob=glob
-        ).awaitTermination()
+    streaming.stream_ingest(
+        session, t.sf_dir, out, SCHEMAS["documents"], prepare=Inputs.as_library, glob="documents.parquet"
+    ).awaitTermination()
     index = streaming.read_stream_index(t.spark, out)
-    # Windows of 800 words overlap by 100, so the words of a document follow from its chunks.
-    return index.groupBy("document_id", "user_id", "company").agg(
+    # Windows of 800 words overlap by 100 within a group of five pages, so the words of a document
+    # follow from its chunks.
+    document = ["document_id", "user_id", "company"]
+    per_group = index.groupBy(*document, F.floor((F.col("page_start") - 1) / 5)).agg(
         (F.sum("token_count") - 100 * (F.count(F.lit(1)) - 1)).alias("words")
     )
+    return per_group.groupBy(*document).agg(F.sum("words").alias("words"))
 
 
 @query(
