@@ -148,13 +148,14 @@ def build_ivf(
     if not 2 <= n_lists <= MAX_LISTS:
         raise ValueError(f"need 2 to {MAX_LISTS} lists")
     zero = l2_norm("embedding") == 0
-    points = vectors.filter(~zero).withColumn("_point", array_to_vector(F.col("embedding").cast("array<double>")))
+    # Directions only: a zero vector has none, gets a stand-in and is labelled apart afterwards.
+    point = F.when(zero, F.transform("embedding", lambda _: F.lit(1.0))).otherwise(F.col("embedding").cast("array<double>"))
+    points = vectors.filter("embedding is not null").withColumn("_point", array_to_vector(point))
     model = KMeans(
         k=n_lists, seed=seed, maxIter=max_iter, distanceMeasure="cosine", featuresCol="_point", predictionCol="list_id"
-    ).fit(points)
-    labelled = model.transform(points).drop("_point").unionByName(
-        vectors.filter(zero).withColumn("list_id", F.lit(-1))
-    )
+    ).fit(points.filter(~zero))
+    labelled = model.transform(points).drop("_point")
+    labelled = labelled.withColumn("list_id", F.when(zero, F.lit(-1)).otherwise(F.col("list_id")))
     if out_dir is not None:
         labelled.write.mode("errorifexists").partitionBy("list_id").parquet(out_dir)
         labelled = vectors.sparkSession.read.parquet(out_dir)

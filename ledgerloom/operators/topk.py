@@ -5,8 +5,8 @@ questions with one matrix product and keeps k candidates per question; only thos
 
 Two ways to bring the blocks together:
 
-* few questions (at most ``BROADCAST_ROWS``, counted first): they are sent to all tasks and the
-  vector table is scanned once, with no shuffle of vectors at all;
+* few questions (at most ``BROADCAST_ROWS`` and ``MAX_SENT_NUMBERS``, measured first): they are sent
+  to all tasks and the vector table is scanned once, with no shuffle of vectors at all;
 * many questions: both sides are shuffled on (group, vector block, question block). The number of
   blocks of a group follows from its row count, so a group that holds a third of all rows becomes
   many blocks of the same size as everybody else's. The row counts read the group columns only.
@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +31,18 @@ VECTOR_BLOCK = 20_000
 QUESTION_BLOCK = 2_000
 _TILE_ROWS = 4_096
 _TILE_QUESTIONS = 512
+MAX_SENT_NUMBERS = 2**22  # vector elements sent to every task: 32 MB as doubles
 _NO_SCORE = -2.0  # below every cosine: a zero vector ranks last
 
 
 class _Questions:
     """The questions of one group as a matrix, with their scopes."""
 
-    def __init__(self, qids: list, vectors: list, scopes: list):
-        self.qids = qids
-        self.unit, self.zero = _unit_rows(np.asarray([np.asarray(v, dtype=np.float64) for v in vectors]))
-        self.scopes = [None if s is None else set(s) for s in scopes]
+    def __init__(self, rows: pa.Table):
+        vectors = _column(rows, "embedding")
+        self.qids = rows.column("qid").to_pylist()
+        self.unit, self.zero = _unit_rows(_matrix(vectors, len(vectors[0])))
+        self.scopes = [None if s is None else set(s) for s in rows.column("document_ids").to_pylist()]
         self.scoped = [i for i, s in enumerate(self.scopes) if s is not None]
 
 
@@ -52,8 +55,8 @@ def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as doubles; another size than the questions' is an error."""
     flat = column.flatten()
-    if len(flat) != len(column) * width or flat.null_count:
-        raise ValueError(f"stored vectors must have {width} elements and no nulls")
+    if flat.null_count or not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+        raise ValueError(f"vectors must have {width} elements and no nulls")
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
@@ -118,22 +121,26 @@ def _out_schemas(questions: DataFrame, chunks: DataFrame) -> tuple[T.StructType,
     return spark_schema, pa.schema([("qid", _arrow_type(q)), ("id", _arrow_type(c)), ("score", pa.float64())])
 
 
+def _fetch_if_few(questions: DataFrame, max_rows: int) -> pa.Table | None:
+    """The questions if they are few enough to send to every task, by number and by size."""
+    rows = questions.limit(max_rows + 1).toArrow()
+    few = rows.num_rows <= max_rows and len(_column(rows, "embedding").flatten()) <= MAX_SENT_NUMBERS
+    return rows if few else None
+
+
 def _scan_with_sent_questions(
-    rows: list, questions: DataFrame, chunks: DataFrame, on: Sequence[str], k: int, digits: int
+    rows: pa.Table, questions: DataFrame, chunks: DataFrame, on: Sequence[str], k: int, digits: int
 ) -> DataFrame:
     spark = chunks.sparkSession
     schema, arrow_schema = _out_schemas(questions, chunks)
-    by_group: dict[tuple, list] = {}
-    for r in rows:
-        by_group.setdefault(tuple(r[c] for c in on), []).append(r)
+    by_group: dict[tuple, list[int]] = {}
+    for i, group in enumerate(zip(*(rows.column(c).to_pylist() for c in on)) if on else [()] * rows.num_rows):
+        by_group.setdefault(group, []).append(i)
     qids: list = []
     packed: dict[tuple, tuple[int, _Questions]] = {}
     for group, members in by_group.items():
-        packed[group] = (
-            len(qids),
-            _Questions([m["qid"] for m in members], [m["embedding"] for m in members], [m["document_ids"] for m in members]),
-        )
-        qids.extend(m["qid"] for m in members)
+        packed[group] = (len(qids), _Questions(rows.take(pa.array(members))))
+        qids.extend(packed[group][1].qids)
     sent = spark.sparkContext.broadcast((packed, qids))
     for c in on:  # prunes partitions and row groups when the groups asked about are few
         values = {g[on.index(c)] for g in by_group}
@@ -208,11 +215,7 @@ def _block_join(
     def score(q_rows: pa.Table, v_rows: pa.Table) -> pa.Table:
         if q_rows.num_rows == 0 or v_rows.num_rows == 0:
             return arrow_schema.empty_table()
-        q = _Questions(
-            q_rows.column("qid").to_pylist(),
-            q_rows.column("embedding").to_pylist(),
-            q_rows.column("document_ids").to_pylist(),
-        )
+        q = _Questions(q_rows)
         ids = v_rows.column("id").to_pandas().to_numpy()
         docs = v_rows.column("document_id").to_pandas().to_numpy() if q.scoped else None
         vectors = _matrix(_column(v_rows, "embedding"), q.unit.shape[1])
@@ -248,9 +251,9 @@ def topk_join_sized(
     once per group. Counts the questions first (one bounded job); the second value returned tells
     whether they are few, and the result therefore at most ``max_sent * k`` rows.
     """
-    questions = questions.select("qid", *on, "embedding", "document_ids").filter("embedding is not null")
-    chunks = chunks.filter("embedding is not null")
-    rows = rows_if_bounded(questions, max_sent) if max_sent > 0 else None
+    questions = questions.select("qid", *on, "embedding", "document_ids").dropna(subset=["embedding", *on])
+    chunks = chunks.dropna(subset=["embedding", *on])
+    rows = _fetch_if_few(questions, max_sent) if max_sent > 0 else None
     if rows is not None:
         partial = _scan_with_sent_questions(rows, questions, chunks, on, k, digits)
     else:

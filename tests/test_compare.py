@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import compare
+from ledgerloom.plans import compare_reports
 
 METRICS = "document_id string, company string, fiscal_period string, metric string, value decimal(28,4), unit string, currency string"
 
@@ -101,6 +102,16 @@ def test_record(spark):
     assert json.loads(rows["y"]["result"])["evidence"][0]["chunk_id"] == "c2"
 
 
+def test_flow_compares_each_report_with_its_predecessor(spark, chunk):
+    m = metrics(spark, ("d1", "c", "2024Q4", "revenue", "2", "thousands", "USD"), ("d2", "c", "2025Q1", "revenue", "3000", "units", "USD"))
+    rates = spark.createDataFrame([], "currency string, fiscal_period string, rate decimal(18,8)")
+    chunks = chunk(("k1", "d2", "u", [1.0, 0.0]), ("k2", "d2", "u", [0.0, 1.0]))
+    rows = compare_reports(m, rates, chunks, {"risk": [1.0, 0.0]}, compare.quarter_ordinal(F.col("fiscal_period")), n=1)
+    record = json.loads({r["comparison_id"]: r["result"] for r in rows.collect()}["d2"])
+    assert record["table"][0]["delta"] == 1000.0 and record["table"][0]["growth"] == 0.5
+    assert [e["chunk_id"] for e in record["evidence"]] == ["k1"]
+
+
 def test_missing(spark):
     docs = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "id string")
     analyses = spark.createDataFrame([("metrics", ["d1", "d9"]), ("insights", ["d2"])], "type string, document_ids array<string>")

@@ -70,6 +70,15 @@ def test_wrong_vector_size_fails(spark, chunk):
         search.batch_vector_search(asked, store, 1).collect()
 
 
+def test_rows_without_owner_or_vector_take_no_part(spark, chunk):
+    store = chunk(("a", "d", "u1", [1.0, 0.0]), ("b", "d", None, [1.0, 0.0]), ("c", "d", "u1", None))
+    asked = spark.createDataFrame([(1, "u1", [1.0, 0.0], None), (2, None, [1.0, 0.0], None), (3, "u1", None, None)], QUESTIONS)
+    for options in ({}, {"max_sent": 0}):
+        hits = search.batch_vector_search(asked, store, 5, **options)
+        assert [(h["qid"], h["id"]) for h in hits.collect()] == [(1, "a")]
+    assert search.batch_vector_search(asked.limit(0), store, 5).count() == 0
+
+
 def test_all_lists_give_the_exact_answer(spark, chunk):
     questions, chunks = random_case(3, False)
     store = chunk(*chunks).select("id", "document_id", "user_id", "embedding")
@@ -77,8 +86,9 @@ def test_all_lists_give_the_exact_answer(spark, chunk):
     index = search.build_ivf(store, 4, max_iter=3)
     exact = search.batch_vector_search(asked, store, 5, payload=False)
     hits = search.ann_search(asked, index, 5, n_probe=4)
-    score = {(r["qid"], r["id"]) for r in exact.filter("score is not null").collect()}
-    assert score <= {(r["qid"], r["id"]) for r in hits.collect()} | {(q[0], None) for q in questions}
+    scored = lambda df: {(r["qid"], r["id"], r["score"]) for r in df.filter("score is not null").collect()}
+    assert scored(exact) == scored(hits)
+    assert index.vectors.filter("list_id = -1").count() == sum(not any(c[3]) for c in chunks)
     recall = search.recall_at_k(search.ann_search(asked, index, 5, n_probe=1), exact).first()
     assert 0 < recall["recall"] <= 1
 
