@@ -57,7 +57,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    _, hit = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
     same = docs["doc_id"].eqNullSafe(hit["hit_doc"]) & (decontamination.content_of("text") == hit["hit_content"])
     return docs.join(hit.select("hit_doc", "hit_content"), same, "left_anti")
 

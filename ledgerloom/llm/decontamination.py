@@ -17,6 +17,9 @@ from ledgerloom.llm.licenses import SEPARATORS
 SHINGLE = 3
 # The filter that tasks get is a bit table of this many bits, whatever the benchmark's size.
 FILTER_BITS = 1 << 24
+PLACES = pa.list_(
+    pa.struct([("token", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("context", pa.string())])
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -101,7 +104,7 @@ def token_filter(tokens: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def contaminated(
+def judged(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
@@ -109,10 +112,10 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-) -> DataFrame:
-    """The documents that hold a window: hit_doc, hit_content (hash of the text), n_hit and items.
+) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc, content, n_words), and those that hold a window (hit_doc, hit_content, n_hit, items).
 
-    See :func:`decontaminate` for the method and its terms.
+    ``content`` is a hash of the text (:func:`content_of`). See :func:`decontaminate` for the method.
     """
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
@@ -124,49 +127,49 @@ def contaminated(
     texts = docs.select(
         F.col(id_col).alias("doc"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text")
     )
-    counted_filter = spark.sparkContext.broadcast(token_filter(every).tobytes())
-
-    def places(kept, around: int):
-        """Per document its words, and the places of tokens in the filter ``kept``, with ``around`` words on both sides."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(np.frombuffer(kept.value, dtype=np.uint8)).view(bool)
-            known = WordHashes()
-            for batch in batches:
-                for rows in text_slices(batch, 2):
-                    row, token, at, before, context, total = [], [], [], [], [], []
-                    for i, text in enumerate(rows.column(2).to_pylist()):
-                        words = words_of(text)
-                        for size in parts:
-                            hashes = shingle_hashes(words, size, known)
-                            hits = np.flatnonzero(bits[hashes % np.uint64(FILTER_BITS)])
-                            if not around:
-                                found = np.unique(hashes[hits])
-                                row += [i] * len(found)
-                                token += as_long(found).tolist()
-                                continue
-                            token += as_long(hashes[hits]).tolist()
-                            for p in hits.tolist():
-                                low = max(0, p - around)
-                                row.append(i)
-                                at.append(p)
-                                before.append(p - low)
-                                total.append(len(words))
-                                context.append(b" ".join(words[low : p + around]).decode())
-                    columns = [pa.array(token, pa.int64())]
-                    if around:
-                        which = pa.array(row, pa.int64())
-                        columns += [rows.column(0).take(which), rows.column(1).take(which)]
-                        columns += [pa.array(v, pa.int32()) for v in (at, before, total)]
-                        columns.append(pa.array(context, pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        names = ["token", "doc", "content", "at", "before", "total", "context"] if around else ["token"]
-        schema = f"token bigint, doc {kind}, content bigint, at int, before int, total int, context string"
-        return texts.mapInArrow(run, schema if around else "token bigint")
+    every_filter = spark.sparkContext.broadcast(token_filter(every).tobytes())
+
+    def hashed(words: list[bytes], bits: np.ndarray, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per shingle size the hashes of all places, and the places whose hash is in the filter."""
+        for size in parts:
+            hashes = shingle_hashes(words, size, known)
+            yield hashes, np.flatnonzero(bits[hashes % np.uint64(FILTER_BITS)])
+
+    def as_bits(sent) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8)).view(bool)
+
+    def tokens_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every document's distinct tokens that pass the filter of all windows."""
+        bits, known = as_bits(every_filter), WordHashes()
+        for batch in batches:
+            for rows in text_slices(batch, 2):
+                held = [np.empty(0, dtype=np.int64)]
+                for text in rows.column(2).to_pylist():
+                    held += [as_long(np.unique(h[hits])) for h, hits in hashed(words_of(text), bits, known) if len(hits)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["token"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every document's word count, and its places of prefix tokens with the words around."""
+        bits, known = as_bits(prefix_filter), WordHashes()
+        for batch in batches:
+            for rows in text_slices(batch, 2):
+                counts, found = [], []
+                for text in rows.column(2).to_pylist():
+                    words, mine = words_of(text), []
+                    for hashes, hits in hashed(words, bits, known):
+                        for p, token in zip(hits.tolist(), as_long(hashes[hits]).tolist(), strict=True):
+                            low = max(0, p - window)
+                            context = b" ".join(words[low : p + window]).decode()
+                            mine.append({"token": token, "at": p, "before": p - low, "context": context})
+                    counts.append(len(words))
+                    found.append(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(found, PLACES)],
+                    names=["doc", "content", "n_words", "places"],
+                )
 
     # Document frequencies of all shingles of windows, then the rarest shingle of every window.
-    frequency = places(counted_filter, 0).groupBy("token").count()
+    frequency = texts.mapInArrow(tokens_held, "token bigint").groupBy("token").count()
     ranked = (
         distinct.select("window", F.posexplode("tokens").alias("inside", "token"))
         .join(frequency, "token", "left")
@@ -180,7 +183,12 @@ def contaminated(
         "prefixes",
     )
     prefix_filter = spark.sparkContext.broadcast(token_filter(prefixes).tobytes())
-    found = places(prefix_filter, max(window, SHINGLE))
+    place = "struct<token: bigint, at: int, before: int, context: string>"
+    placed = written(
+        texts.mapInArrow(places, f"doc {kind}, content bigint, n_words bigint, places array<{place}>"), "places"
+    )
+    found = placed.select("doc", "content", F.col("n_words").alias("total"), F.explode("places").alias("place"))
+    found = found.select("doc", "content", "total", "place.*")
     start = F.col("before") - F.col("inside")
     fits = (start >= 0) & (F.col("at") - F.col("inside") + F.col("words") <= F.col("total"))
     same = F.concat_ws(" ", F.slice(F.split("context", " "), F.greatest(start, F.lit(0)) + 1, F.col("words")))
@@ -202,7 +210,8 @@ def contaminated(
     hit = spans.join(items, [spans["doc"].eqNullSafe(items["doc"]), spans["content"] == items["content"]]).select(
         spans["doc"].alias("hit_doc"), spans["content"].alias("hit_content"), "spans", "items"
     )
-    return written(hit.select("hit_doc", "hit_content", covered("spans").alias("n_hit"), "items"), "contaminated")
+    hit = hit.select("hit_doc", "hit_content", covered("spans").alias("n_hit"), "items")
+    return placed.select("doc", "content", "n_words"), written(hit, "contaminated")
 
 
 def decontaminate(
@@ -233,8 +242,7 @@ def decontaminate(
     A null text has no words. Rows without an id are judged too; rows that share id and text share
     their result. Items without id or words have no windows. An empty benchmark hits nothing.
     """
-    hit = contaminated(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
-    counted = docs.select(F.col(id_col).alias("doc"), content_of(text_col).alias("content"), word_count(text_col).alias("n_words"))
+    counted, hit = judged(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     joined = counted.join(
         hit, counted["doc"].eqNullSafe(hit["hit_doc"]) & (counted["content"] == hit["hit_content"]), "left"
     )
@@ -250,12 +258,6 @@ def decontaminate(
     )
 
 
-def word_count(column: str) -> F.Column:
-    """Number of words of a text, upper or lower case."""
-    found = F.regexp_count(F.col(column).cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    return F.coalesce(found, F.lit(0)).cast("bigint")
-
-
 def covered(column: str) -> F.Column:
     """Number of words that the spans (first, words) cover together."""
     ordered = F.array_sort(column)
