@@ -15,10 +15,10 @@ from ledgerloom.llm.common import text_slices, written
 from ledgerloom.llm.components import connected_components
 from ledgerloom.operators.grouped import sorted_groups
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
-# Members of a bucket that are compared with one another in one task.
-BLOCK = 256
+# Members of a bucket, and shingles of their sets, that one block holds; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 # Sets are hashed in runs of this many shingles.
 RUN = 1 << 15
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -174,9 +174,8 @@ class Forest:
 def linking(cut: float, percent: int):
     """Function for :func:`sorted_groups`: links between members of a block that are not connected yet."""
 
-    def links_of(ids: list, roots: list, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links_of(ids: list, roots: list, sets: list[np.ndarray], low: np.ndarray) -> Iterator[tuple[int, int]]:
         forest = Forest(roots)
-        low = (signatures(sets) & np.uint32(255)).astype(np.uint8)
         sizes = [len(s) for s in sets]
         for i in range(len(ids) - 1):
             for j in (np.flatnonzero(agreement(low[i], low[i + 1 :]) >= cut) + i + 1).tolist():
@@ -195,7 +194,8 @@ def linking(cut: float, percent: int):
             if len(set(roots)) < 2:
                 continue
             sets = [np.asarray(s.values, dtype=np.int64).view(np.uint64) for s in part.column("shingles")]
-            for x, y in links_of(ids, roots, sets):
+            low = np.frombuffer(b"".join(part.column("low").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            for x, y in links_of(ids, roots, sets, low):
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -216,14 +216,14 @@ def near_duplicates(
     ``100 * intersection >= percent * union`` of the full sets; ``component_id`` is the smallest id
     that links reach, ``kept`` marks the document that has it.
 
-    1. Each text gets 160 minima of strongly universal hashes, cut into 32 bands of 5. At 85 % two
-       texts share no band with a chance below 1e-8, at 80 % below 4e-6.
+    1. Each text gets 240 minima of strongly universal hashes, cut into 40 bands of 6. At 85 % two
+       texts share no band with a chance below 1e-8, at 80 % below 6e-6.
     2. Texts with the same words are one node, named by their smallest id.
     3. In every band's buckets all members are paired with the smallest one only; pairs whose
        signatures can agree are confirmed on full sets, and components are built from them.
-    4. Buckets that still hold several components compare their members in blocks: only pairs across
-       components, signatures first, then full sets, and only links that connect are returned. So a
-       group of copies costs links in proportion to its size, and no link between components is lost.
+    4. Buckets whose other members still lie in several components compare these in blocks: only pairs
+       across components, signatures first, then full sets, and only links that connect are returned. So
+       a group of copies costs links in proportion to its size, and no link between components is lost.
     5. Components of all links.
 
     Ids must be whole numbers. Rows that share an id are one document. A null id is linked with
@@ -236,11 +236,16 @@ def near_duplicates(
         sketch.where("words IS NOT NULL").groupBy("words").agg(F.min("doc").alias("rep")).where("rep IS NOT NULL"), "reps"
     )
     nodes = sketch.join(reps, [sketch["words"] == reps["words"], sketch["doc"] == reps["rep"]], "left_semi")
-    banded = nodes.select("doc", F.explode("bands").alias("band"))
+    banded = nodes.select("doc", "n_shingles", F.explode("bands").alias("band"))
     shared = written(
-        banded.groupBy("band").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets"
+        banded.groupBy("band")
+        .agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+        .where("n > 1"),
+        "buckets",
     )
-    members = written(banded.join(shared, "band").select("band", "doc", "least", "n").distinct(), "members")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    members = banded.join(shared, "band").select("band", "doc", "least", blocks.alias("blocks"))
+    members = written(members.distinct(), "members")
     low = written(nodes.select("doc", "low"), "signatures")
     pairs = members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
     pairs = pairs.join(low.select(F.col("doc").alias("a"), F.col("low").alias("low_a")), "a")
@@ -259,23 +264,24 @@ def near_duplicates(
     )
     stars = written(connected_components(first), "first-components")
 
-    placed = members.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "band", "doc", "n", F.coalesce("component", "doc").alias("root")
+    # Pairs with the smallest member are settled, so what is left of a bucket are its other members.
+    others = members.where("doc <> least")
+    placed = others.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "band", "doc", "blocks", F.coalesce("component", "doc").alias("root")
     )
     open_bands = written(
         placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"),
         "open-buckets",
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     cells = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
+        F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")),
     )
     waiting = placed.join(open_bands, "band").withColumn("cell", F.explode(cells))
-    waiting = waiting.select("band", "cell.i", "cell.j", "doc", "root").join(sets, "doc")
+    waiting = waiting.select("band", "cell.i", "cell.j", "doc", "root").join(low, "doc").join(sets, "doc")
     second = sorted_groups(
-        waiting.select("band", "i", "j", "doc", "root", "shingles"), ["band", "i", "j"], ["doc"], linking(cut, percent), LINK
+        waiting.select("band", "i", "j", "doc", "root", "low", "shingles"), ["band", "i", "j"], ["doc"], linking(cut, percent), LINK
     )
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     final = written(connected_components(links), "components")
