@@ -71,13 +71,11 @@ def write_archive(
     names.select(
         F.col("record").alias(id_col), header.cast("binary").alias("header"), F.col("digest").alias("payload_digest")
     ).write.parquet(f"{path}/headers")
-    # Copies of the first row go before the shuffle, as the pair of digest and id keys it.
-    stored = rows.select("record", "digest", "payload").join(
-        firsts.hint("shuffle_hash"),
-        (rows["digest"] == firsts["digest"]) & rows["record"].eqNullSafe(firsts["first"]),
-        "left_semi",
-    )
-    stored.select(F.col("digest").alias("payload_digest"), "payload").dropDuplicates(["payload_digest"]).write.parquet(
+    # Both the join and the removal of repeated rows go by digest and id, so payloads move once.
+    key = F.coalesce(F.col("record").cast("string"), F.lit("")).alias("key")
+    wanted = firsts.select("digest", F.coalesce(F.col("first").cast("string"), F.lit("")).alias("key"))
+    stored = rows.select("digest", key, "payload").join(wanted, ["digest", "key"], "left_semi")
+    stored.dropDuplicates(["digest", "key"]).select(F.col("digest").alias("payload_digest"), "payload").write.parquet(
         f"{path}/payloads"
     )
 
