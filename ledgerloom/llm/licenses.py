@@ -234,7 +234,7 @@ def license_rules() -> list[Rule]:
     """All rules in order of priority: exact identifiers, then the families, each from specific to general."""
     found: list[tuple[str, str, str]] = []
     for name in SPDX:
-        found.append((name.replace(" ", "-"), "spdx", f"spdx license identifier {name}(?: only| or later)?"))
+        found.append((re.sub(r"(?<=\d) (?=\d)", ".", name).replace(" ", "-"), "spdx", f"spdx license identifier {name}(?: only| or later)?"))
     for label, short, long in CC_ELEMENTS:
         for version in CC_VERSIONS:
             dashed = f"cc-{label}-{version.replace(' ', '.')}"
