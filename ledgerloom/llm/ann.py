@@ -216,7 +216,7 @@ def in_blocks(members: DataFrame, questions: DataFrame, keep: int) -> DataFrame:
     return sorted_groups(own.union(asked), ["key", "row", "col"], ["kind", "node"], meet(keep), FOUND)
 
 
-def keyed(vectors: DataFrame, index, question: bool) -> DataFrame:
+def keyed(vectors: DataFrame, index: Index, question: bool) -> DataFrame:
     """(key, node, vector) for every bucket of every table that a vector is in, or that a question visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def keyed(vectors: DataFrame, index, question: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 data = as_vectors(part.column(1))
-                keys = index.value.probe_keys(data) if question else index.value.keys(data)
+                keys = index.probe_keys(data) if question else index.keys(data)
                 which = pa.array(np.repeat(np.arange(len(data)), [len(k) for k in keys]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys)), part.column(0).take(which), part.column(1).take(which)],
@@ -311,8 +311,7 @@ def nearest(
     fitted = fit_index(
         np.array([np.frombuffer(r["vector"], dtype=np.float32) for r in sample]), longest, tables, probes, k, target, seed
     )
-    index = spark.sparkContext.broadcast(fitted)
-    met = in_blocks(keyed(nodes, index, False), keyed(questions, index, True), k + 1)
+    met = in_blocks(keyed(nodes, fitted, False), keyed(questions, fitted, True), k + 1)
     found = written(best(met.distinct(), k + 1), "found")
     # Exact answers for those that found too few.
     held = nodes.select(F.col("node"), F.size("ids").alias("n"))

@@ -229,11 +229,10 @@ def identify(
     is null or has no letter, or a model without languages, gives ``und`` with score 0; ties go to
     the first language by name. Columns in ``keep`` are carried along; others are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = model
         words, table, letters = Words(), np.zeros((0, len(names)), np.float32), np.zeros(0, np.int64)
         for batch in batches:
             if len(words) > WORDS_KEPT:

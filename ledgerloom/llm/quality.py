@@ -165,13 +165,12 @@ def score_quality(
     A narrow pass. Null and empty texts, and texts that are like no labelled one, get the share of
     label 1 in the sample (0.5 without any). Columns in ``keep`` are carried along.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
         for batch in batches:
             for rows in text_slices(batch, 0):
-                score = sent.value.score(featurizer.of(rows.column(0).to_pylist()))
+                score = model.score(featurizer.of(rows.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out_names
                 )
