@@ -187,13 +187,23 @@ def compare_matrix(
 def compare_many(metrics: DataFrame, comparisons: DataFrame) -> DataFrame:
     """:func:`compare_matrix` for many comparisons: (comparison_id, metric, value_1.., rank_1..).
 
-    ``comparisons`` is (comparison_id, slot 1 to 5, document_id); a slot nobody fills stays null.
+    ``comparisons`` is (comparison_id, slot 1 to 5, document_id); a slot nobody fills stays null. Another
+    slot, or two documents with the same metric in one slot, fail the job.
     """
     slots = range(1, MAX_COMPARED + 1)
-    placed = metrics.select("document_id", "metric", "value").join(comparisons, "document_id")
-    wide = placed.groupBy("comparison_id", "metric").agg(
-        *[F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"value_{s}") for s in slots]
+    known = F.when(F.col("slot").between(1, MAX_COMPARED), F.col("slot")).otherwise(
+        F.raise_error(F.lit(f"a comparison's slot is not between 1 and {MAX_COMPARED}")).cast("int")
     )
+    placed = metrics.select("document_id", "metric", "value").join(comparisons.withColumn("slot", known), "document_id")
+
+    def alone(s: int) -> Column:
+        here = F.when(F.col("slot") == s, F.col("document_id"))
+        value = F.max(F.when(F.col("slot") == s, F.col("value")))
+        clash = F.raise_error(F.lit("two documents share a comparison's slot")).cast("double")
+        return F.when(F.min(here) < F.max(here), clash.cast(value_type)).otherwise(value).alias(f"value_{s}")
+
+    value_type = dict(metrics.dtypes)["value"]
+    wide = placed.groupBy("comparison_id", "metric").agg(*[alone(s) for s in slots])
     values = F.array_compact(F.array_distinct(F.array(*[f"value_{s}" for s in slots])))
 
     def rank(s: int) -> Column:
@@ -243,8 +253,11 @@ def segment_mix(segments: DataFrame, reported: DataFrame | None = None, lag_peri
 
 
 def missing_metrics(documents: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Documents without a stored metrics analysis."""
-    done = analyses.filter("type = 'metrics'").select(F.explode("document_ids").alias("id")).distinct()
+    """Documents without a stored metrics analysis that can be read; one with broken JSON does not count."""
+    stored = analyses.filter("type = 'metrics'")
+    if "result" in stored.columns:
+        stored = stored.filter(F.try_parse_json("result").isNotNull())
+    done = stored.select(F.explode("document_ids").alias("id")).distinct()
     return documents.join(done, "id", "left_anti")
 
 

@@ -68,9 +68,17 @@ def cascade_delete(
 
     ``users`` and ``documents`` hold the ids to delete in their first column. A deleted user takes
     along documents, analyses, conversations, messages and usage; a deleted document takes chunks,
-    vectors and the analyses that refer to nothing else. Returns the tables that were given.
+    vectors and the analyses that refer to nothing else. Returns the tables that were given. A deleted
+    user's rows are found through ``conversations`` (for messages) and ``documents`` or a ``user_id``
+    (for chunks and vectors); if these are missing, the call fails rather than leave such rows behind.
     """
     out = dict(tables)
+    if users is not None:
+        if "messages" in tables and "conversations" not in tables:
+            raise ValueError("messages of deleted users cannot be found without conversations")
+        for name in ("chunks", "chunk_embeddings"):
+            if name in tables and "documents" not in tables and "user_id" not in tables[name].columns:
+                raise ValueError(f"{name} of deleted users cannot be found without documents")
     gone_docs = None
     if documents is not None:
         gone_docs = documents.select(F.col(documents.columns[0]).alias("id")).distinct()
@@ -88,8 +96,8 @@ def cascade_delete(
             out["messages"] = _without(tables["messages"], talks, "conversation_id")
         if "users" in tables:
             out["users"] = _without(tables["users"], gone_users, "id")
-        for name in ("documents", "analyses", "conversations", "usage"):
-            if name in tables:
+        for name in ("documents", "analyses", "conversations", "usage", "chunks", "chunk_embeddings"):
+            if name in tables and "user_id" in tables[name].columns:
                 out[name] = _without(tables[name], gone_users, "user_id")
     if gone_docs is not None:
         if "documents" in out:

@@ -206,6 +206,8 @@ def _call(
                 return None, e.outcome, str(e), attempt + 1
             delay = e.retry_after if e.retry_after > 0 else min(MAX_DELAY_S, BASE_DELAY_S * 2**attempt)
             sleep(delay * (1 + random.uniform(0, 0.1)))
+        except Exception as e:  # whatever a model client raises is that row's outcome, not the job's end
+            return None, "error", f"{type(e).__name__}: {e}", attempt + 1
     raise AssertionError("unreachable")
 
 

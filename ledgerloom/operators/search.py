@@ -90,7 +90,7 @@ def retrieve_with_policy(
     The best score decides: at least ``min_score`` is ok, below ``floor`` or no hit is not found.
     Every question appears; one without hits has a single row with null hit columns.
     """
-    wide = topk_join(questions, chunks, ["user_id"], k_wide, **options)
+    wide = topk_join(questions, chunks, ["user_id"], max(k, k_wide), **options)
     best = F.max("score").over(Window.partitionBy("qid"))
     verdict = F.when(F.col("_best") >= min_score, "ok").when(F.col("_best") >= floor, "weak")
     kept = (

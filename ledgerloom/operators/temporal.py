@@ -33,7 +33,7 @@ def asof_ttl(
     both = log.unionByName(asked, allowMissingColumns=True).withColumn(
         "_slice", floor_div(F.unix_micros("ts"), slice_s * 1_000_000)
     )
-    so_far = Window.partitionBy(key, "_slice").orderBy("ts", "_side", F.col("_w.seq"))
+    so_far = Window.partitionBy(key, "_slice").orderBy("ts", "_side", "_w")
     seen = F.last("_w", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
     answered = both.withColumn("_seen", seen).filter("_side = 1")
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -199,13 +199,17 @@ def chunk_documents(
 def tables_to_markdown(cells: DataFrame) -> DataFrame:
     """Cells (document_id, page_no, table_no, row_no, col_no, value) to one Markdown text per table.
 
-    The first row is the header; pipes are escaped, null gives an empty cell.
+    The first row is the header. Every row has a place for each ``col_no`` of the table, so an absent cell
+    is empty and moves no other. Pipes are escaped, line breaks become blanks, null gives an empty cell;
+    values of cells with the same place stand side by side.
     """
     table = ["document_id", "page_no", "table_no"]
     value = F.replace(F.coalesce(F.col("value"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    value = F.regexp_replace(value, r"[\r\n]+", " ")
     entry = F.struct("row_no", "col_no", value.alias("value"))
     grouped = cells.groupBy(*table).agg(F.array_sort(F.collect_list(entry)).alias("_cells"))
     at = F.col("_cells")
+    columns = F.array_sort(F.array_distinct(F.transform(at, lambda c: c["col_no"])))
     row_starts = F.filter(
         F.sequence(F.lit(0), F.size(at) - 1),
         lambda i: (i == 0) | (F.get(at, i)["row_no"] != F.get(at, i - 1)["row_no"]),
@@ -216,7 +220,10 @@ def tables_to_markdown(cells: DataFrame) -> DataFrame:
 
     def row(starts: Column, s: Column, j: Column) -> Column:
         stop = F.coalesce(F.get(starts, j + 1), F.size(at))
-        return F.transform(F.slice(at, s + 1, stop - s), lambda c: c["value"])
+        mine = F.slice(at, s + 1, stop - s)
+        return F.transform(
+            columns, lambda n: F.array_join(F.transform(F.filter(mine, lambda c: c["col_no"] == n), lambda c: c["value"]), " ")
+        )
 
     def render(starts: Column) -> Column:
         rows = F.transform(starts, lambda s, j: row(starts, s, j))

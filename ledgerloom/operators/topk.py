@@ -137,10 +137,11 @@ def _scan_with_sent_questions(
     for i, group in enumerate(zip(*(rows.column(c).to_pylist() for c in on)) if on else [()] * rows.num_rows):
         by_group.setdefault(group, []).append(i)
     qids: list = []
-    packed: dict[tuple, tuple[int, _Questions]] = {}
+    packed: dict[tuple, tuple[int, pa.Table]] = {}
     for group, members in by_group.items():
-        packed[group] = (len(qids), _Questions(rows.take(pa.array(members))))
-        qids.extend(packed[group][1].qids)
+        # Plain tables are sent, as a broadcast of own classes would need the package on every executor.
+        packed[group] = (len(qids), rows.take(pa.array(members)))
+        qids.extend(_Questions(packed[group][1]).qids)
     sent = spark.sparkContext.broadcast((packed, qids))
     for c in on:  # prunes partitions and row groups when the groups asked about are few
         values = {g[on.index(c)] for g in by_group}
@@ -150,7 +151,8 @@ def _scan_with_sent_questions(
     most_held = max(200_000, 4 * k * len(qids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, names = sent.value
+        tables, names = sent.value
+        groups = {group: (first, _Questions(table)) for group, (first, table) in tables.items()}
         found: list[pd.DataFrame] = []
         held = 0
         for batch in batches:

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.quantiles import exact_percentiles
 
+DAY_MICROS = 86_400_000_000
 # Default quotas per user.
 DEFAULT_QUOTAS = {"documents": 100, "uploads_per_day": 20, "questions_per_day": 200}
 
@@ -21,7 +23,8 @@ def usage_summary(
     ``totals`` is None, ``"rollup"`` or ``"cube"``; then ``grouping_id`` tells the subtotal rows.
     """
     if "day" in by:
-        usage = usage.withColumn("day", F.to_date("created_at"))
+        days = floor_div(F.unix_micros("created_at"), DAY_MICROS).cast("int")
+        usage = usage.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), days))
     group = {None: usage.groupBy, "rollup": usage.rollup, "cube": usage.cube}[totals]
     sums = [
         F.count(F.lit(1)).alias("calls"),
@@ -72,7 +75,8 @@ def quota_status(
     refused. Users without any activity are kept.
     """
     now = F.lit(as_of).cast("timestamp")
-    today, tomorrow = F.date_trunc("day", now), F.date_trunc("day", now) + F.expr("interval 1 day")
+    day = floor_div(F.unix_micros(now), DAY_MICROS)
+    today, tomorrow = F.timestamp_micros(day * DAY_MICROS), F.timestamp_micros((day + 1) * DAY_MICROS)
 
     def is_today(c: str) -> Column:
         return (F.col(c) >= today) & (F.col(c) < tomorrow)
