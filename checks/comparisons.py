@@ -16,6 +16,17 @@ SELECT o.company, o.metric, o.document_id, o.period_no, o.value AS other_value,
   o.unit AS other_unit, b.unit AS base_unit, o.currency AS other_currency, b.currency AS base_currency
 FROM (SELECT *, {ORDINAL} AS period_no FROM report_metrics) o
 LEFT JOIN (SELECT *, {ORDINAL} AS period_no FROM report_metrics) b ON b.company = o.company AND b.metric = o.metric AND b.period_no = o.period_no - 1"""
+SQL_VIEWS["all_figures"] = f"""
+SELECT *, {ORDINAL} AS period_no FROM (
+  SELECT document_id, company, fiscal_period, metric, CAST(NULL AS VARCHAR) AS segment, value, unit, currency FROM report_metrics
+  UNION ALL SELECT document_id, company, fiscal_period, 'segment_revenue', segment, value, unit, currency FROM report_segments)"""
+SQL_VIEWS["all_pairs"] = """
+SELECT COALESCE(o.company, b.company) AS company, COALESCE(o.metric, b.metric) AS metric, COALESCE(o.segment, b.segment) AS segment,
+  COALESCE(o.document_id, b.later) AS document_id, o.value AS other_value, b.value AS base_value
+FROM all_figures o FULL JOIN (
+  SELECT f.*, r.document_id AS later FROM all_figures f
+  JOIN (SELECT DISTINCT company, period_no, document_id FROM all_figures) r ON r.company = f.company AND r.period_no = f.period_no + 1) b
+ON b.later = o.document_id AND b.metric = o.metric AND COALESCE(b.segment, '') = COALESCE(o.segment, '')"""
 SQL_VIEWS["matrix_slots"] = """
 SELECT company || '-' || substr(fiscal_period, 1, 4) AS comparison_id, CAST(substr(fiscal_period, 6, 1) AS INTEGER) AS slot, document_id FROM report_figures"""
 SQL_VIEWS["mix"] = f"""
@@ -30,7 +41,7 @@ def money(c: str) -> F.Column:
 # Every report is stored as a JSON analysis, next to an older one that must not be used.
 def analyses(t: Inputs) -> DataFrame:
     def figure(value: str) -> F.Column:
-        return F.struct(F.expr(value).cast("decimal(28,4)").alias("value"), "unit", "currency", F.col("lines").cast("int").alias("source_page"))
+        return F.struct(F.expr(value).cast("decimal(28,4)").alias("value"), "unit", "currency", F.col("first_line").cast("int").alias("source_page"))
 
     segment = F.struct(F.col("segment").alias("name"), "value", "unit", "currency", "source_page")
     segments = t.report_segments.groupBy("document_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
@@ -79,15 +90,18 @@ def f2(t: Inputs) -> DataFrame:
 
 @query(
     "f3_metric_deltas",
-    """SELECT company, metric, document_id, round(CAST(base_value AS DOUBLE), 4) AS base_value, round(CAST(other_value AS DOUBLE), 4) AS other_value,
+    """SELECT company, metric, segment, document_id, round(CAST(base_value AS DOUBLE), 4) AS base_value, round(CAST(other_value AS DOUBLE), 4) AS other_value,
       CASE WHEN base_value IS NULL AND other_value IS NULL THEN 'missing_both' WHEN base_value IS NULL THEN 'missing_base' WHEN other_value IS NULL THEN 'missing_other' END AS flag,
       round(CAST(other_value - base_value AS DOUBLE), 4) AS delta,
-      CASE WHEN base_value <> 0 THEN round(CAST(other_value - base_value AS DOUBLE) / abs(CAST(base_value AS DOUBLE)), 6) END AS growth FROM pairs""",
+      CASE WHEN base_value <> 0 THEN round(CAST(other_value - base_value AS DOUBLE) / abs(CAST(base_value AS DOUBLE)), 6) END AS growth FROM all_pairs""",
 )
 def f3(t: Inputs) -> DataFrame:
-    rows = compare.period_deltas(t.report_metrics, compare.quarter_ordinal(F.col("fiscal_period")))
+    figures = t.report_metrics.withColumn("segment", F.lit(None).cast("string")).unionByName(
+        t.report_segments.withColumn("metric", F.lit("segment_revenue"))
+    )
+    rows = compare.period_deltas(figures, compare.quarter_ordinal(F.col("fiscal_period")))
     return rows.select(
-        "company", "metric", "document_id", money("base_value"), money("other_value"), "flag", money("delta"),
+        "company", "metric", "segment", "document_id", money("base_value"), money("other_value"), "flag", money("delta"),
         F.round("growth", 6).alias("growth"),
     )
 

@@ -251,17 +251,18 @@ def b6(t: Inputs) -> DataFrame:
 
 @query(
     "b7_validate_metrics",
-    """WITH m AS (SELECT document_id, metric, value, CASE WHEN source_page % 7 = 0 THEN NULL ELSE source_page - 16 END AS source_page, source_page AS lines FROM report_metrics),
-    d AS (SELECT document_id, lines - 20 AS page_count FROM report_figures WHERE lines <> 18)
+    """WITH m AS (SELECT document_id, metric, value, CASE WHEN source_page > 1 THEN source_page - 1 END AS source_page FROM report_metrics),
+    d AS (SELECT document_id, return_lines AS page_count FROM report_figures WHERE return_lines > 0)
     SELECT m.document_id, m.metric, CASE WHEN d.page_count IS NULL THEN 'unknown_document' WHEN m.source_page IS NULL THEN 'missing_page' ELSE 'page_out_of_range' END AS reason
     FROM m LEFT JOIN d ON d.document_id = m.document_id
     WHERE m.value IS NOT NULL AND (d.page_count IS NULL OR m.source_page IS NULL OR m.source_page < 1 OR m.source_page > d.page_count)""",
 )
 def b7(t: Inputs) -> DataFrame:
+    # The library holds the reports of parts that came back, with a page per returned line.
     metrics = t.report_metrics.withColumn(
-        "source_page", F.when(F.col("source_page") % 7 == 0, None).otherwise(F.col("source_page") - 16)
+        "source_page", F.when(F.col("source_page") > 1, F.col("source_page") - 1)
     )
-    documents = t.report_figures.filter("lines <> 18").selectExpr("document_id as id", "lines - 20 as page_count")
+    documents = t.report_figures.filter("return_lines > 0").selectExpr("document_id as id", "return_lines as page_count")
     return access.validate_metrics(metrics, documents).select("document_id", "metric", "reason")
 
 

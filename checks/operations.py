@@ -193,8 +193,13 @@ def g9(t: Inputs) -> DataFrame:
 @query(
     "g10_queue_depth",
     """WITH i AS (SELECT ts, SUM(CASE WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type IN ('click', 'purchase') THEN -1 ELSE 0 END) AS net FROM events GROUP BY ts),
-    d AS (SELECT ts, SUM(net) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS depth FROM i)
-    SELECT epoch_us(date_trunc('hour', ts)) AS bucket_us, CAST(MAX(depth) AS BIGINT) AS max_depth, CAST(arg_max(depth, ts) AS BIGINT) AS end_depth FROM d GROUP BY 1""",
+    d AS (SELECT ts, SUM(net) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS depth FROM i),
+    h AS (SELECT unnest(generate_series(date_trunc('hour', MIN(ts)), date_trunc('hour', MAX(ts)), INTERVAL 1 HOUR)) AS s FROM i),
+    p AS (SELECT date_trunc('hour', ts) AS s, MAX(depth) AS peak FROM d GROUP BY 1),
+    o AS (SELECT h.s, COALESCE(d.depth, 0) AS opening FROM h ASOF LEFT JOIN d ON h.s > d.ts),
+    e AS (SELECT x.s, d.depth AS ending FROM (SELECT s, s + INTERVAL 1 HOUR AS upto FROM h) x ASOF LEFT JOIN d ON x.upto > d.ts)
+    SELECT epoch_us(o.s) AS bucket_us, CAST(greatest(opening, peak) AS BIGINT) AS max_depth, CAST(ending AS BIGINT) AS end_depth
+    FROM o JOIN e ON e.s = o.s LEFT JOIN p ON p.s = o.s""",
 )
 def g10(t: Inputs) -> DataFrame:
     jobs = t.table("events").selectExpr(

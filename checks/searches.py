@@ -204,13 +204,14 @@ def e11(t: Inputs) -> DataFrame:
     return report.select("qid", "is_total", *[F.round(c, 6).alias(c) for c in report.columns if c not in ("qid", "is_total")])
 
 
-# Extracted figures come from lines rounded to whole units; small reports were not extracted.
+# Extracted figures are rounded to whole units and take accepted lines for returned ones; revenue is
+# extracted from reports with returns.
 @query(
     "e12_evaluate_metrics",
-    """WITH x AS (SELECT document_id, revenue, cost_of_revenue, returned, returned_any, lines FROM report_figures),
-    got AS (SELECT document_id, 'revenue' AS metric, CAST(round(revenue, 0) AS DECIMAL(28,4)) AS value FROM x WHERE lines >= 18
-      UNION ALL SELECT document_id, 'cost_of_revenue', CAST(CASE WHEN lines % 5 = 0 THEN cost_of_revenue * 2 ELSE cost_of_revenue END AS DECIMAL(28,4)) FROM x
-      UNION ALL SELECT document_id, 'returned', CAST(returned_any AS DECIMAL(28,4)) FROM x),
+    """WITH x AS (SELECT document_id, revenue, cost_of_revenue, returned, returned_or_accepted, return_lines, lines FROM report_figures),
+    got AS (SELECT document_id, 'revenue' AS metric, CAST(round(revenue, 0) AS DECIMAL(28,4)) AS value FROM x WHERE return_lines > 0
+      UNION ALL SELECT document_id, 'cost_of_revenue', CAST(CASE WHEN lines % 3 = 0 THEN cost_of_revenue * 2 ELSE cost_of_revenue END AS DECIMAL(28,4)) FROM x
+      UNION ALL SELECT document_id, 'returned', CAST(returned_or_accepted AS DECIMAL(28,4)) FROM x),
     gold AS (SELECT document_id, 'revenue' AS metric, CAST(revenue AS DECIMAL(28,4)) AS value FROM x
       UNION ALL SELECT document_id, 'cost_of_revenue', CAST(cost_of_revenue AS DECIMAL(28,4)) FROM x
       UNION ALL SELECT document_id, 'returned', CAST(returned AS DECIMAL(28,4)) FROM x),
@@ -229,11 +230,11 @@ def e12(t: Inputs) -> DataFrame:
         "'returned', cast(returned as decimal(28,4))) as (metric, value)",
     )
     got = figures.selectExpr(
-        "document_id", "lines",
+        "document_id", "return_lines",
         "stack(3, 'revenue', cast(round(revenue, 0) as decimal(28,4)), "
-        "'cost_of_revenue', cast(case when lines % 5 = 0 then cost_of_revenue * 2 else cost_of_revenue end as decimal(28,4)), "
-        "'returned', cast(returned_any as decimal(28,4))) as (metric, value)",
-    ).filter("metric <> 'revenue' or lines >= 18")
+        "'cost_of_revenue', cast(case when lines % 3 = 0 then cost_of_revenue * 2 else cost_of_revenue end as decimal(28,4)), "
+        "'returned', cast(returned_or_accepted as decimal(28,4))) as (metric, value)",
+    ).filter("metric <> 'revenue' or return_lines > 0")
     return evaluation.evaluate_metrics(got, gold, 0.01)
 
 

@@ -18,14 +18,23 @@ def _stream(t: Inputs, name: str) -> DataFrame:
 
 @query(
     "i1_stream_ingest",
-    """SELECT id AS document_id, user_id, company, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM lib_documents""",
+    """SELECT id AS document_id, user_id, company, words FROM (
+      SELECT id, user_id, company, CAST(len(list_filter(regexp_split_to_array(
+        CASE WHEN id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) THEN left(text, (length(text) + 1) // 2) ELSE text END, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words
+      FROM lib_documents) WHERE words > 0""",
 )
 def i1(t: Inputs) -> DataFrame:
-    out = shared_dir(t.spark, "ingest")
+    arriving, out = shared_dir(t.spark, "arriving"), shared_dir(t.spark, "ingest")
     session = streaming.stream_session(t.spark)
-    streaming.stream_ingest(
-        session, t.sf_dir, out, SCHEMAS["documents"], prepare=Inputs.as_library, glob="documents.parquet"
-    ).awaitTermination()
+    # All documents arrive first; then the labelled ones come again, cut to half their length.
+    documents = t.table("documents")
+    labelled = documents.join(t.table("labels").select("doc_id"), "doc_id", "left_semi")
+    shorter = labelled.withColumn("text", F.expr("left(text, int((length(text) + 1) div 2))"))
+    for version in (documents, shorter):
+        version.write.mode("append").parquet(arriving)
+        streaming.stream_ingest(
+            session, arriving, out, SCHEMAS["documents"], prepare=Inputs.as_library
+        ).awaitTermination()
     index = streaming.read_stream_index(t.spark, out)
     # Windows of 800 words overlap by 100 within a group of five pages, so the words of a document
     # follow from its chunks.

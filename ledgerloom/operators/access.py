@@ -138,16 +138,24 @@ def validate_metrics(metrics: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def _missing_required(struct: Column, schema: T.StructType) -> Column:
-    """True when a field declared NOT NULL is null, at any struct depth."""
-    missing = F.lit(False)
-    for f in schema.fields:
-        value = struct[f.name]
-        if not f.nullable:
-            missing = missing | value.isNull()
-        if isinstance(f.dataType, T.StructType):
-            missing = missing | (value.isNotNull() & _missing_required(value, f.dataType))
-    return missing
+def _missing_required(value: Column, kind: T.DataType) -> Column:
+    """True when a field or array element declared NOT NULL is null, at any depth of a value that is there."""
+    if isinstance(kind, T.StructType):
+        missing = F.lit(False)
+        for f in kind.fields:
+            inner = value[f.name]
+            if not f.nullable:
+                missing = missing | inner.isNull()
+            missing = missing | (inner.isNotNull() & _missing_required(inner, f.dataType))
+        return missing
+    if isinstance(kind, T.ArrayType):
+
+        def lacks(x: Column) -> Column:
+            inside = x.isNotNull() & _missing_required(x, kind.elementType)
+            return inside if kind.containsNull else x.isNull() | inside
+
+        return F.coalesce(F.exists(value, lacks), F.lit(False))
+    return F.lit(False)
 
 
 def parse_structured(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:

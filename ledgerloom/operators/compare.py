@@ -101,35 +101,52 @@ def compare_values(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _segment(metrics: DataFrame) -> list[str]:
+    """A figure is named by its metric, and by its segment where the rows have one."""
+    return [c for c in metrics.columns if c == "segment"]
+
+
+def _side_by_side(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join in which null keys meet, with each key once."""
+    left = base.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    return left.join(other, same, "full_outer").select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in keys],
+        *[c for df in (base, other) for c in df.columns if c not in keys],
+    )
+
+
 def metric_deltas(metrics: DataFrame, base_doc: object, other_docs: Sequence[object]) -> DataFrame:
-    """Per metric and other document: base and other value, delta and growth.
+    """Per metric (and segment) and other document: base and other value, delta and growth.
 
     A metric missing on one side keeps its row with a flag; so does one in another unit or currency.
     """
     cols = ("value", "unit", "currency")
+    named = ["metric", *_segment(metrics)]
     base = metrics.filter(F.col("document_id") == F.lit(base_doc)).select(
-        "metric", *[F.col(c).alias(f"base_{c}") for c in cols]
+        *named, *[F.col(c).alias(f"base_{c}") for c in cols]
     )
     # One copy of the base per other document, so that a metric missing over there still shows.
     base = base.withColumn("document_id", F.explode(F.lit(list(other_docs))))
     other = metrics.filter(F.col("document_id").isin(list(other_docs))).select(
-        "metric", "document_id", *[F.col(c).alias(f"other_{c}") for c in cols]
+        *named, "document_id", *[F.col(c).alias(f"other_{c}") for c in cols]
     )
-    return compare_values(base.join(other, ["metric", "document_id"], "full_outer"))
+    return compare_values(_side_by_side(base, other, [*named, "document_id"]))
 
 
 def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1) -> DataFrame:
-    """:func:`metric_deltas` of every report against its own company's report ``lag_periods`` earlier."""
-    rows = metrics.select(
-        "company", "metric", ordinal.alias("period_no"), "document_id", "value", "unit", "currency"
-    )
-    paired = with_earlier(
-        rows, ["company", "metric"], "period_no", lag_periods,
-        {"base_value": "value", "base_unit": "unit", "base_currency": "currency"},
-    )
-    for c in ("value", "unit", "currency"):
-        paired = paired.withColumnRenamed(c, f"other_{c}")
-    return compare_values(paired)
+    """:func:`metric_deltas` of every report against its own company's report ``lag_periods`` earlier.
+
+    A figure of the earlier report that the later one lacks keeps a row under the later document.
+    """
+    cols = ("value", "unit", "currency")
+    keys = ["company", "metric", *_segment(metrics), "period_no", "document_id"]
+    rows = metrics.withColumn("period_no", ordinal)
+    later = rows.select("company", "period_no", "document_id").distinct()
+    base = rows.drop("document_id").withColumn("period_no", F.col("period_no") + lag_periods)
+    base = base.join(later, ["company", "period_no"]).select(*keys, *[F.col(c).alias(f"base_{c}") for c in cols])
+    other = rows.select(*keys, *[F.col(c).alias(f"other_{c}") for c in cols])
+    return compare_values(_side_by_side(base, other, keys))
 
 
 def quarter_ordinal(period: Column) -> Column:
@@ -145,16 +162,15 @@ def year_ordinal(period: Column) -> Column:
 
 
 def growth_series(metrics: DataFrame, lag_periods: int = 1, ordinal: Column | None = None) -> DataFrame:
-    """Per company and metric: value, value ``lag_periods`` earlier, delta, growth.
+    """Per company and metric (and segment): value, value ``lag_periods`` earlier, delta, growth.
 
     A gap in the periods gives null rather than the nearest report. Periods are spread over tasks,
     a company with a long history is no hot key. Year on year over quarters is a lag of 4.
     """
     position = quarter_ordinal(F.col("fiscal_period")) if ordinal is None else ordinal
-    rows = metrics.select("company", "metric", position.alias("period_no"), "fiscal_period", "value").filter(
-        "period_no is not null"
-    )
-    paired = with_earlier(rows, ["company", "metric"], "period_no", lag_periods, {"previous": "value"})
+    named = ["company", "metric", *_segment(metrics)]
+    rows = metrics.select(*named, position.alias("period_no"), "fiscal_period", "value").filter("period_no is not null")
+    paired = with_earlier(rows, named, "period_no", lag_periods, {"previous": "value"})
     now, before = F.col("value"), F.col("previous")
     return paired.withColumn("delta", now - before).withColumn("growth", growth(before, now))
 

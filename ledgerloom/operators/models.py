@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,7 +225,8 @@ def batch_generate(
     ``generate_fn`` gets the prompt columns as strings, returns text and may raise
     :class:`ModelError`; it must be picklable. With ``schema`` the response must be JSON of that
     shape; one more call is made when it is not, then the outcome is ``invalid_response``. Without
-    a function the deterministic model answers. Rows never fail the job.
+    a function the deterministic model answers. Rows never fail the job. Input columns pass through
+    as Arrow columns, untouched; a null prompt is sent as an empty string.
     """
     if generate_fn is None:
         fixed = FAKE_ANSWER if schema is None else json.dumps(fabricate(schema))
@@ -254,10 +256,18 @@ def batch_generate(
         words_out = len(text.split()) if text and schema is None else 0
         return text, outcome, error, calls, words_in, words_out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept, names = len(df.columns), [*df.columns, *[f.name for f in added]]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prompts = batch[list(prompt_cols)].fillna("").astype(str).itertuples(index=False, name=None)
-            results = pd.DataFrame([one(p) for p in prompts], columns=[f.name for f in added], index=batch.index)
-            yield pd.concat([batch, results], axis=1)
+            results = [one(tuple(sent.values())) for sent in batch.column(kept).to_pylist()]
+            columns = [pa.array([r[i] for r in results], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names=names)
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
+    # The prompts ride in one more column, at the end, which does not come back.
+    prompts = F.struct(
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"p{i}") for i, c in enumerate(prompt_cols)]
+    )
+    sent = df.select("*", prompts.alias("_prompts"))
+    return sent.mapInArrow(run, T.StructType([*df.schema.fields, *added]))

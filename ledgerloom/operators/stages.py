@@ -87,11 +87,14 @@ def resume_plan(
 
 
 def queue_depth(job_events: DataFrame, bucket: str = "1 hour", fine: str = "1 minute") -> DataFrame:
-    """Open jobs over time: per bucket the highest depth, and the depth at its end.
+    """Open jobs over time: per bucket the highest depth, with that it opens with, and the depth at its end.
+
+    Every bucket from the first event's to the last event's has a row, also one without events.
 
     Running sums are kept within fine slices, then over the slices of a bucket, then over buckets;
     each level hands one row per slice to the next, so no task orders more than one slice's
-    instants or one row per bucket. Events at one instant count together.
+    instants or one run of 1,000 buckets; the last window has one row per such run. Events at one
+    instant count together; events without a time are left out.
     """
     change = F.when(F.col("op") == "enqueue", 1).when(F.col("op") == "finish", -1).otherwise(0)
 
@@ -108,12 +111,36 @@ def queue_depth(job_events: DataFrame, bucket: str = "1 hour", fine: str = "1 mi
         "_fine", F.window("ts", fine)["start"]
     )
     per_bucket = fold(fold(tagged, ["_bucket", "_fine"], "ts"), ["_bucket"], "_fine")
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    at_start = F.coalesce(F.sum("_net").over(earlier), F.lit(0))
-    return per_bucket.withColumn("_start", at_start).select(
-        F.col("_bucket").alias("bucket_start"),
-        (F.col("_start") + F.col("_peak")).alias("max_depth"),
-        (F.col("_start") + F.col("_net")).alias("end_depth"),
+    step = F.expr(f"unix_micros(timestamp_micros(0L) + interval {bucket})")
+    runs = per_bucket.withColumn("_us", F.unix_micros("_bucket"))
+    runs = runs.withColumn("_run", floor_div(F.col("_us"), step * 1000))
+    order = Window.orderBy("_run")
+    carried = (
+        runs.groupBy("_run")
+        .agg(F.sum("_net").alias("_total"), F.min("_us").alias("_first"))
+        .select(
+            "_run",
+            F.coalesce(F.sum("_total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"),
+            F.lead("_first").over(order).alias("_next_run"),
+        )
+    )
+    within = Window.partitionBy("_run").orderBy("_us")
+    before = F.coalesce(F.sum("_net").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = runs.join(carried, "_run").select(
+        "_us",
+        (F.col("_carry") + before).alias("_start"),
+        "_peak",
+        "_net",
+        F.coalesce(F.lead("_us").over(within), "_next_run", F.col("_us") + step).alias("_following"),
+    )
+    at_end = F.col("_start") + F.col("_net")
+    # After its own bucket a depth lasts until the next bucket with events.
+    filled = known.withColumn("_at", F.explode(F.sequence("_us", F.col("_following") - step, step)))
+    highest = F.greatest("_start", F.col("_start") + F.col("_peak"))
+    return filled.select(
+        F.timestamp_micros("_at").alias("bucket_start"),
+        F.when(F.col("_at") == F.col("_us"), highest).otherwise(at_end).alias("max_depth"),
+        at_end.alias("end_depth"),
     )
 
 
