@@ -183,7 +183,7 @@ def fixed_window(
 
     A key's window opens at its first request and lasts ``ttl_s``; the first request at or after
     its end opens the next. Rejected requests count too. Requests at one instant are counted in
-    ``tie`` order. Each level composes 64 slices into one; with the default two levels the last
+    ``tie`` order; one without a time is in no window and gets nulls. Each level composes 64 slices into one; with the default two levels the last
     step holds one summary per key and ``64 * slice_windows`` windows of time. The requests
     themselves are shuffled once, their times once more.
     """
@@ -196,6 +196,8 @@ def fixed_window(
         return T.StructType([*key_fields, *[T.StructField(c, long) for c in names]])
 
     map_schema, entry_schema = schema_of("slice", "upto", "exit", "held"), schema_of("slice", "in_start", "in_held")
+    untimed = requests.filter(F.col(ts).cast("timestamp").isNull())
+    requests = requests.filter(F.col(ts).cast("timestamp").isNotNull())
     timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     timed = timed.withColumn("slice", floor_div("_us", length))
 
@@ -308,6 +310,7 @@ def fixed_window(
     result = counted.withColumn("window_start", F.timestamp_micros("_start")).select(
         *requests.columns, "window_start", "count"
     )
+    result = result.unionByName(untimed, allowMissingColumns=True)
     if limit is not None:
         result = result.withColumn("allowed", F.col("count") <= limit)
     return result
@@ -320,7 +323,8 @@ def rate_limit(
 
     Paths of the sign-in area have an address window of their own with a stricter limit. A request
     refused by address does not count for its user; without a user only the address decides. Adds
-    ip_count, user_count (null when not reached), decision ``allowed``/``rejected_ip``/``rejected_user``.
+    ip_count, user_count (null when not reached), decision ``allowed``/``rejected_ip``/``rejected_user``;
+    a request without a time is undecided (null) and counts for nobody.
     The result of the first level is checkpointed, since the second reads it several times.
     """
     is_auth = F.coalesce(F.col("path").startswith(auth_prefix), F.lit(False))
@@ -332,7 +336,7 @@ def rate_limit(
     by_ip = cut_lineage(
         by_ip.withColumnRenamed("count", "ip_count").withColumnRenamed("allowed", "_ip_ok").drop("window_start")
     )
-    reaches_user = F.col("_ip_ok") & F.col("user_id").isNotNull()
+    reaches_user = F.coalesce("_ip_ok", F.lit(False)) & F.col("user_id").isNotNull()
     by_user = fixed_window(by_ip.filter(reaches_user), ["user_id"], ttl_s=ttl_s, limit=limits["user"])
     shown = [*requests.columns, "ip_count"]
     decided = by_user.select(
@@ -341,6 +345,6 @@ def rate_limit(
     early = by_ip.filter(~reaches_user).select(
         *shown,
         F.lit(None).cast("bigint").alias("user_count"),
-        F.when(F.col("_ip_ok"), "allowed").otherwise("rejected_ip").alias("decision"),
+        F.when(F.col("_ip_ok"), "allowed").when(~F.col("_ip_ok"), "rejected_ip").alias("decision"),
     )
     return decided.unionByName(early)

@@ -23,10 +23,12 @@ def upsert(
     """Insert new ids and replace every other column of existing ones; one row per id results.
 
     Several updates of one id: the highest ``order_by`` wins (columns of ``updates``, which may
-    hold more columns than ``target``). Target rows are only probed against the updated ids, so
+    hold more columns than ``target``); among equals, and without ``order_by``, a hash of the row
+    decides, so that every run keeps the same one. Target rows are only probed against the updated ids, so
     with few updates the target is not shuffled.
     """
-    newest = latest(updates, key, order_by or [F.lit(0)]).select(*target.columns)
+    settled = F.xxhash64(*(c for c, kind in updates.dtypes if "map<" not in kind))
+    newest = latest(updates, key, [*order_by, settled]).select(*target.columns)
     untouched = target.join(updates.select(key).distinct(), key, "left_anti").select(*target.columns)
     return untouched.unionByName(newest)
 

@@ -25,12 +25,14 @@ MAX_LISTS = 4096
 
 
 def _score(column: str, vector: Sequence[float], digits: int) -> F.Column:
-    """Cosine with a fixed vector, rounded; null when either length is zero."""
+    """Cosine with a fixed vector, rounded; null when either length is zero. Another size is an error."""
     fixed = np.asarray(vector, dtype=np.float64)
     length = float(np.sqrt((fixed * fixed).sum()))
     unit = F.lit([float(x) for x in (fixed / length if length else fixed)])
     cosine = F.try_divide(dot(column, unit), l2_norm(column)) if length else F.lit(None).cast("double")
-    return F.round(cosine, digits) + 0.0
+    same = F.col(column).isNull() | (F.size(column) == len(fixed))
+    wrong = F.raise_error(F.lit(f"vectors must have {len(fixed)} elements")).cast("double")
+    return F.when(same, F.round(cosine, digits) + 0.0).otherwise(wrong)
 
 
 def _without_vector(df: DataFrame) -> list[str]:

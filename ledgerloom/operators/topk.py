@@ -63,7 +63,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _candidates(
     q: _Questions, ids: np.ndarray, docs: np.ndarray | None, vectors: np.ndarray, k: int, digits: int
 ) -> Iterator[pd.DataFrame]:
-    """At least the k best vectors per question of every tile (more when scores tie at the k-th)."""
+    """The k best vectors per question of every tile, ties to the smaller id."""
     unit, zero = _unit_rows(vectors)
     for r in range(0, len(ids), _TILE_ROWS):
         rows = slice(r, r + _TILE_ROWS)
@@ -79,11 +79,24 @@ def _candidates(
                     scores[i - b, ~inside[codes]] = -np.inf
             n = scores.shape[1]
             floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
-            qi, vi = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            kept = (scores >= floor[:, None]) & (scores > -np.inf)
+            if np.count_nonzero(kept) > k * len(scores):
+                _cut_ties(kept, scores == floor[:, None], k, np.argsort(ids[rows], kind="stable"))
+            qi, vi = np.nonzero(kept)
             if len(qi):
                 yield pd.DataFrame({"q": qi + b, "id": ids[rows][vi], "score": scores[qi, vi]})
 
 
+def _cut_ties(kept: np.ndarray, tied: np.ndarray, k: int, by_id: np.ndarray) -> None:
+    """Keep as many of each question's vectors tied at the k-th place as there is room for, by id."""
+    tied &= kept
+    room = k - (kept & ~tied).sum(axis=1)
+    first = tied[:, by_id]
+    first &= np.cumsum(first, axis=1, dtype=np.int32) <= room[:, None]
+    kept &= ~tied
+    kept[:, by_id] |= first
+
+
 def _keep_best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
     both = pd.concat(found, ignore_index=True)
     ranked = both.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")

@@ -11,11 +11,13 @@ PDF_MAGIC = b"%PDF-"
 
 
 def scan_objects(
-    spark: SparkSession, root: str, glob: str = "*.pdf", with_content: bool = False
+    spark: SparkSession, root: str, glob: str = "*.pdf", with_content: bool = False, max_bytes: int | None = None
 ) -> DataFrame:
     """List stored objects below ``root``: key, owner, document, size, modification time.
 
-    Without ``with_content`` the content column is pruned, so no object is opened.
+    Without ``with_content`` the content column is pruned, so no object is opened. Objects of more
+    than ``max_bytes`` are listed with a null content and not opened either: the reader checks sizes
+    from the listing.
     """
     files = (
         spark.read.format("binaryFile")
@@ -33,7 +35,13 @@ def scan_objects(
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
     ]
-    return files.select(*columns, *(["content"] if with_content else []))
+    if not with_content:
+        return files.select(*columns)
+    if max_bytes is None:
+        return files.select(*columns, "content")
+    opened = files.filter(F.col("length") <= max_bytes).select(*columns, "content")
+    listed = files.filter(F.col("length") > max_bytes).select(*columns, F.lit(None).cast("binary").alias("content"))
+    return opened.unionByName(listed)
 
 
 def validate_uploads(
@@ -46,7 +54,8 @@ def validate_uploads(
     """Check every object; adds ``ok`` and ``reasons`` (an array, empty when all is well).
 
     ``objects`` needs ``key``, ``size`` and ``content``; ``page_counts`` is (key, page_count).
-    A key that leaves its root or does not name an owner and a document is rejected.
+    A key that leaves its root or does not name an owner and a document is rejected. The content of
+    an object that is too big may be null (``scan_objects`` with ``max_bytes``) and is not judged then.
     """
     if page_counts is not None:
         objects = objects.join(page_counts.select("key", "page_count"), "key", "left")
@@ -57,10 +66,11 @@ def validate_uploads(
     bad_key = (
         key.isNull() | ~key.rlike(KEY_PATTERN) | F.array_contains(F.split(key, "/"), "..") | key.startswith("/")
     )
+    too_big = F.col("size") > max_mb * 1024 * 1024
     checks = {
         "bad_key": bad_key,
-        "bad_magic": F.coalesce(head != F.unhex(F.lit(magic.hex())), F.lit(True)),
-        "too_big": F.col("size") > max_mb * 1024 * 1024,
+        "bad_magic": F.coalesce(head != F.unhex(F.lit(magic.hex())), ~too_big, F.lit(True)),
+        "too_big": too_big,
         "too_many_pages": F.coalesce(F.col("page_count") > max_pages, F.lit(False)),
     }
     reasons = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))

@@ -96,7 +96,7 @@ class _Progress(StatefulProcessor):
             ended = status in self.terminal
             if new != stage or ended:
                 seconds = None if since is None else (int(at) - since) / 1e6
-                changes.append((key[0], int(event_id), pd.Timestamp(int(at), unit="us"), new, status, stage, seconds))
+                changes.append((key[0], event_id, pd.Timestamp(int(at), unit="us"), new, status, stage, seconds))
                 stage, since = new, int(at)
             if ended:
                 stage, since = None, None
