@@ -277,8 +277,10 @@ class Scanner:
         out = []
         for phrase, label, words in self.phrases:
             at = joined.find(phrase)
+            first = seen = 0
             while at >= 0:
-                first = joined.count(b" ", 0, at)
+                first += joined.count(b" ", seen, at)
+                seen = at
                 out.append((first, first + words - 1, label))
                 at = joined.find(phrase, at + 1)
         return out
@@ -291,8 +293,10 @@ class Scanner:
         found = []
         for i in live:
             rule, pattern = self.rules[i]
+            first, seen = -1, 0
             for m in pattern.finditer(text):
-                first = text.count(" ", 0, m.start()) - 1
+                first += text.count(" ", seen, m.start())
+                seen = m.start()
                 found.append(Detection(rule.label, rule.priority, first, first + m.group().count(" ")))
         return suppressed(found)
 
@@ -320,7 +324,7 @@ def suppressed(found: list[Detection]) -> list[Detection]:
             reach = max(reach, d.last)
     kept: list[Detection] = []
     for d in sorted(free, key=lambda d: (d.priority, d.first)):
-        at = bisect([k.first for k in kept], d.first)
+        at = bisect(kept, d.first, key=lambda k: k.first)
         if (at == 0 or kept[at - 1].last < d.first) and (at == len(kept) or d.last < kept[at].first):
             kept.insert(at, d)
     return kept
