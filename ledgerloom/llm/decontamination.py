@@ -92,16 +92,16 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
 
 def token_filter(tokens: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which every token of the frame is set."""
+    """A bit table of fixed size in which every token of the frame is set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = np.unique(batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bit)], names=["bit"])
-
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    bits[[r[0] for r in tokens.select("token").mapInArrow(run, "bit bigint").distinct().collect()]] = True
-    return np.packbits(bits)
+    Tasks join the bits of each 64-bit word, so the driver gets at most ``FILTER_BITS / 64`` numbers.
+    """
+    word = F.expr(f"shiftright(token & {FILTER_BITS - 1}L, 6)").alias("word")
+    bits = F.expr("bit_or(shiftleft(1L, CAST(token & 63L AS INT)))").alias("bits")
+    found = tokens.groupBy(word).agg(bits).toArrow()
+    table = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"))
 
 
 def judged(
