@@ -85,3 +85,10 @@ def test_ingest_is_repeatable(spark):
     assert ingest() == {("d1", "new text"), ("d2", "other")}
     row = streaming.read_stream_index(spark, index).first()
     assert len(row["embedding"]) == 16 and row["company"] == "Acme"
+
+
+def test_progress_with_text_ids(spark, at):
+    schema = "event_id string, document_id string, stage string, status string, error string, ts timestamp"
+    rows = [("a", "d", "store", "processing", None, at(0)), ("b", "d", "metadata", "processing", None, at(5))]
+    out = spark.read.parquet(streaming.run_available(streaming.stream_progress(feed(spark, schema, rows)), "progress-text", "update"))
+    assert {r["event_id"]: r["previous_stage"] for r in out.collect()} == {"a": None, "b": "store"}
