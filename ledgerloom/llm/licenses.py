@@ -25,8 +25,8 @@ BASE = (
     ("mit license", "mit"),
 )
 
-# The rules, most specific families first. A line is: label | keyword | pattern over lower-case words
-# with one space in between. Rules further up win over rules further down where detections overlap.
+# The rules, most specific families first. A line is: label | keywords | pattern over lower-case words
+# with one space in between. Every match holds one of the keywords (with commas in between). Rules further up win over rules further down where detections overlap.
 # V stands for a version number, L for license or licence.
 RULES = r"""
 agpl-3.0|affero|gnu affero general public L (?:version |v )?3(?: 0)?(?: only| or later)?
@@ -37,7 +37,7 @@ agpl|agpl|(?:under|licensed) (?:the )?agpl
 lgpl-3.0|lesser|gnu lesser general public L (?:version |v )?3(?: 0)?(?: only| or later)?
 lgpl-2.1|lesser|gnu lesser general public L (?:version |v )?2 1(?: only| or later)?
 lgpl-2.0|library|gnu library general public L (?:version |v )?2(?: 0)?
-lgpl|lesser|gnu (?:lesser|library) general public L
+lgpl|lesser,library|gnu (?:lesser|library) general public L
 lgpl|lesser|lesser general public L
 lgpl-3.0|lgpl|lgpl ?v?3(?: 0)?(?: only| or later)?
 lgpl-2.1|lgpl|lgpl ?v?2 1(?: only| or later)?
@@ -159,7 +159,7 @@ osl|open software|open software L
 ms-pl|microsoft|microsoft public L
 ms-rl|microsoft|microsoft reciprocal L
 upl-1.0|universal permissive|universal permissive L (?:version |v )?1(?: 0)?
-qpl-1.0|qpl|(?:q public L|qpl) ?(?:version |v )?1(?: 0)?
+qpl-1.0|qpl,q public|(?:q public L|qpl) ?(?:version |v )?1(?: 0)?
 ofl-1.1|open font|sil open font L (?:version |v )?1 1
 ofl|open font|(?:sil )?open font L
 odbl-1.0|database|open (?:data commons open )?database L (?:version |v )?1(?: 0)?
@@ -177,18 +177,18 @@ cecill-c|cecill|cecill c
 cecill|cecill|cecill(?: free software)? L
 llama-3|llama|(?:meta )?llama 3(?: \d)? community L
 llama-2|llama|(?:meta )?llama 2 community L
-openrail-m|openrail|(?:creativeml |bigcode )?open ?rail m
+openrail-m|openrail,open rail|(?:creativeml |bigcode )?open ?rail m
 openrail|rail licen|(?:bigscience )?(?:open )?rail L
 sspl-1.0|server side|server side public L (?:version |v )?1?
 elastic-2.0|elastic|elastic L (?:version |v )?2(?: 0)?
 commons-clause|commons clause|commons clause (?:L )?condition
-cc-zero|cc0|cc ?0(?: 1 0)?(?: universal)?
+cc-zero|cc0,cc 0|cc ?0(?: 1 0)?(?: universal)?
 cc-zero|creative|creative commons zero(?: v?1 0)?(?: universal)?
 cc-pdm|public domain|(?:creative commons )?public domain mark(?: 1 0)?
 cc|creative|licensed under (?:a |the )?creative commons L
 cc|creative|creative commons L
 public-domain|public domain|(?:is|are|been|placed|released|dedicated) (?:in|into|to) the public domain
-public-domain|public domain|no copyright is asserted
+public-domain|asserted|no copyright is asserted
 all-rights-reserved|rights reserved|all rights reserved
 proprietary|proprietary|proprietary and confidential
 proprietary|confidential|confidential and proprietary
@@ -199,7 +199,7 @@ non-commercial|commercial|for non ?commercial (?:use|purposes) only
 research-only|research|for (?:academic |scientific )?research (?:use|purposes) only
 eula|end user|end user L agreement
 warranty|warranty|provided as is without (?:any )?warranty of any kind
-warranty|warranty|without warranties or conditions of any kind
+warranty|warranties|without warranties or conditions of any kind
 warranty|warranty|without even the implied warranty of merchantability or fitness
 spdx|spdx|spdx license identifier [a-z0-9]+(?: \d)*
 copyright|copyright|copyright (?:c )?(?:19|20)\d\d
@@ -225,7 +225,7 @@ SPDX = (
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     priority: int
 
@@ -247,8 +247,8 @@ def license_rules() -> list[Rule]:
     for line in RULES.strip().splitlines():
         found.append(tuple(line.split("|", 2)))
     return [
-        Rule(label, keyword, re.sub(r"\bL\b", "licen[cs]e", pattern), rank)
-        for rank, (label, keyword, pattern) in enumerate(found)
+        Rule(label, tuple(keywords.split(",")), re.sub(r"\bL\b", "licen[cs]e", pattern), rank)
+        for rank, (label, keywords, pattern) in enumerate(found)
     ]
 
 
@@ -267,7 +267,8 @@ class Scanner:
         self.rules = [(r, re.compile(f"(?<= ){r.pattern}(?= )")) for r in rules]
         by_keyword: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            by_keyword.setdefault(r.keyword, []).append(i)
+            for keyword in r.keywords:
+                by_keyword.setdefault(keyword, []).append(i)
         # Keywords are looked for as bytes before a text is taken apart any further.
         self.gates = [(k.encode(), tuple(rs)) for k, rs in by_keyword.items()]
         self.phrases = [(f" {phrase} ".encode(), label, phrase.count(" ") + 1) for phrase, label in BASE]
@@ -337,7 +338,7 @@ def scan_licenses(
 
     Base: every place where the words of a phrase of ``BASE`` stand one after another (places may
     share words of other phrases). On top, the ordered ``rules`` (default :func:`license_rules`) run
-    on the texts that hold their keyword, and :func:`suppressed` settles overlaps.
+    on the texts that hold one of their keywords, and :func:`suppressed` settles overlaps.
 
     Returns the id, ``n_words``, ``n_base``, ``first_word`` and ``last_word`` (smallest and largest
     start of a base place, else null), ``base_labels`` and ``labels`` (base labels and those of the

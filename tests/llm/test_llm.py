@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+from re import _parser as sre
 import zlib
 from collections import Counter
 
@@ -379,6 +380,47 @@ def test_licenses(spark):
     assert len(licenses.license_rules()) > 200 and licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def variants(parsed):
+    """Texts that a parsed pattern matches: every alternative, optional parts with and without."""
+    out = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            more = [chr(arg)]
+        elif op is sre.ANY:
+            more = ["x"]
+        elif op is sre.IN:
+            more = [chr(c) for kind, c in arg if kind is sre.LITERAL] or ["1"]
+        elif op is sre.SUBPATTERN:
+            more = variants(arg[3])
+        elif op is sre.BRANCH:
+            more = [t for branch in arg[1] for t in variants(branch)]
+        else:
+            assert op is sre.MAX_REPEAT
+            more = [t * n for n in {arg[0], max(arg[0], 1)} for t in variants(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_stand_in_every_match():
+    rules = licenses.license_rules()
+    for rule in rules:
+        texts = variants(sre.parse(rule.pattern))
+        alone = licenses.Scanner([rule])
+        lost = [t for t in texts if not alone.rule_matches(f" {t} ".encode())]
+        assert texts and not lost, (rule.label, lost[:3])
+    scanner = licenses.Scanner(rules)
+    for text, label in (
+        ("WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "warranty"),
+        ("CC-0 1.0", "cc-zero"),
+        ("CC 0", "cc-zero"),
+        ("GNU Library General Public License", "lgpl"),
+        ("Q Public License 1.0", "qpl-1.0"),
+        ("Open RAIL-M", "openrail-m"),
+        ("no copyright is asserted", "public-domain"),
+    ):
+        assert [d.label for d in scanner.scan(f"it says {text} here")[2]] == [label], text
+
+
 def test_suppression():
     d = licenses.Detection
     inside, outer, better, apart = d("a", 1, 2, 3), d("b", 9, 1, 4), d("c", 5, 4, 6), d("d", 7, 20, 21)
