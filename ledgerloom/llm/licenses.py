@@ -29,26 +29,26 @@ BASE = (
 # with one space in between. Every match holds one of the keywords (with commas in between). Rules further up win over rules further down where detections overlap.
 # V stands for a version number, L for license or licence.
 RULES = r"""
-agpl-3.0|affero|gnu affero general public L (?:version |v )?3(?: 0)?(?: only| or later)?
-agpl-1.0|affero|affero general public L (?:version |v )?1(?: 0)?
+agpl-3.0|affero|gnu affero general public L (?:version |v ?)?3(?: 0)?(?: only| or later)?
+agpl-1.0|affero|affero general public L (?:version |v ?)?1(?: 0)?
 agpl|affero|gnu affero general public L
 agpl-3.0|agpl|agpl ?v?3(?: 0)?(?: only| or later)?
 agpl|agpl|(?:under|licensed) (?:the )?agpl
-lgpl-3.0|lesser|gnu lesser general public L (?:version |v )?3(?: 0)?(?: only| or later)?
-lgpl-2.1|lesser|gnu lesser general public L (?:version |v )?2 1(?: only| or later)?
-lgpl-2.0|library|gnu library general public L (?:version |v )?2(?: 0)?
+lgpl-3.0|lesser|gnu lesser general public L (?:version |v ?)?3(?: 0)?(?: only| or later)?
+lgpl-2.1|lesser|gnu lesser general public L (?:version |v ?)?2 1(?: only| or later)?
+lgpl-2.0|library|gnu library general public L (?:version |v ?)?2(?: 0)?
 lgpl|lesser,library|gnu (?:lesser|library) general public L
 lgpl|lesser|lesser general public L
 lgpl-3.0|lgpl|lgpl ?v?3(?: 0)?(?: only| or later)?
 lgpl-2.1|lgpl|lgpl ?v?2 1(?: only| or later)?
 lgpl-2.0|lgpl|lgpl ?v?2(?: 0)?(?: only| or later)?
 lgpl|lgpl|(?:under|licensed) (?:the )?(?:gnu )?lgpl
-gpl-3.0|general|gnu general public L (?:version |v )3(?: 0)?(?: only| or later)?
+gpl-3.0|general|gnu general public L (?:version |v ?)3(?: 0)?(?: only| or later)?
 gpl-3.0|general|general public L as published by the free software foundation (?:either )?version 3
-gpl-2.0|general|gnu general public L (?:version |v )2(?: 0)?(?: only| or later)?
+gpl-2.0|general|gnu general public L (?:version |v ?)2(?: 0)?(?: only| or later)?
 gpl-2.0|general|general public L as published by the free software foundation (?:either )?version 2
-gpl-1.0|general|gnu general public L (?:version |v )1(?: 0)?(?: only| or later)?
-gpl-classpath|classpath|general public L (?:version 2 )?with (?:the )?classpath exception
+gpl-1.0|general|gnu general public L (?:version |v ?)1(?: 0)?(?: only| or later)?
+gpl-classpath|classpath|general public L (?:(?:version |v ?)?2(?: 0)? )?with (?:the )?classpath exception
 gpl-linking|exception|general public L .{0,40}with (?:a )?(?:special )?linking exception
 gpl-3.0|gpl|gnu gpl ?v?(?:ersion )?3(?: 0)?
 gpl-2.0|gpl|gnu gpl ?v?(?:ersion )?2(?: 0)?
@@ -59,14 +59,14 @@ gpl-2.0|gpl|gpl 2(?: 0)?(?: only| or later)?
 gpl|gpl|(?:under|licensed) (?:the )?(?:gnu )?gpl
 gpl|free software foundation|terms of the gnu general public L as published by the free software foundation
 gpl|general|general public L
-gfdl-1.3|documentation|gnu free documentation L (?:version |v )?1 3
-gfdl-1.2|documentation|gnu free documentation L (?:version |v )?1 2
-gfdl-1.1|documentation|gnu free documentation L (?:version |v )?1 1
+gfdl-1.3|documentation|gnu free documentation L (?:version |v ?)?1 3
+gfdl-1.2|documentation|gnu free documentation L (?:version |v ?)?1 2
+gfdl-1.1|documentation|gnu free documentation L (?:version |v ?)?1 1
 gfdl|documentation|gnu free documentation L
 gfdl|gfdl|gfdl(?: 1 [123])?
-apache-2.0|apache|apache L (?:version |v )?2(?: 0)?
-apache-1.1|apache|apache (?:software )?L (?:version |v )?1 1
-apache-1.0|apache|apache (?:software )?L (?:version |v )?1(?: 0)?
+apache-2.0|apache|apache L (?:version |v ?)?2(?: 0)?
+apache-1.1|apache|apache (?:software )?L (?:version |v ?)?1 1
+apache-1.0|apache|apache (?:software )?L (?:version |v ?)?1(?: 0)?
 apache-2.0|apache|www apache org licenses license 2 0
 apache-2.0|apache|apache ?(?:v|version )?2(?: 0)? L
 apache|apache|apache (?:software )?L
@@ -96,38 +96,38 @@ bsd-4-clause|bsd|(?:original|old) bsd L
 bsd|bsd|(?:the )?bsd (?:style )?L
 isc|isc licen|(?:the )?isc L
 isc|permission|permission to use copy modify and or distribute this software for any purpose with or without fee
-mpl-2.0|mozilla|mozilla public L (?:version |v )?2(?: 0)?
-mpl-1.1|mozilla|mozilla public L (?:version |v )?1 1
-mpl-1.0|mozilla|mozilla public L (?:version |v )?1(?: 0)?
+mpl-2.0|mozilla|mozilla public L (?:version |v ?)?2(?: 0)?
+mpl-1.1|mozilla|mozilla public L (?:version |v ?)?1 1
+mpl-1.0|mozilla|mozilla public L (?:version |v ?)?1(?: 0)?
 mpl|mozilla|mozilla public L
 mpl-2.0|mpl|mpl ?v?2(?: 0)?
 mpl-1.1|mpl|mpl ?v?1 1
-epl-2.0|eclipse|eclipse public L (?:version |v )?2(?: 0)?
-epl-1.0|eclipse|eclipse public L (?:version |v )?1(?: 0)?
+epl-2.0|eclipse|eclipse public L (?:version |v ?)?2(?: 0)?
+epl-1.0|eclipse|eclipse public L (?:version |v ?)?1(?: 0)?
 epl|eclipse|eclipse public L
-edl-1.0|eclipse|eclipse distribution L (?:version |v )?1(?: 0)?
+edl-1.0|eclipse|eclipse distribution L (?:version |v ?)?1(?: 0)?
 epl-2.0|epl|epl ?v?2(?: 0)?
 epl-1.0|epl|epl ?v?1(?: 0)?
-cpl-1.0|common public|common public L (?:version |v )?1(?: 0)?
+cpl-1.0|common public|common public L (?:version |v ?)?1(?: 0)?
 cpl|common public|common public L
-ipl-1.0|ibm|ibm public L (?:version |v )?1(?: 0)?
+ipl-1.0|ibm|ibm public L (?:version |v ?)?1(?: 0)?
 cddl-1.1|cddl|cddl ?v?1 1
 cddl-1.0|cddl|cddl ?v?1(?: 0)?
-cddl-1.1|common development|common development and distribution L (?:version |v )?1 1
-cddl-1.0|common development|common development and distribution L (?:version |v )?1(?: 0)?
+cddl-1.1|common development|common development and distribution L (?:version |v ?)?1 1
+cddl-1.0|common development|common development and distribution L (?:version |v ?)?1(?: 0)?
 cddl|common development|common development and distribution L
-eupl-1.2|european union|european union public (?:L|licence) (?:version |v )?1 2
-eupl-1.1|european union|european union public (?:L|licence) (?:version |v )?1 1
+eupl-1.2|european union|european union public (?:L|licence) (?:version |v ?)?1 2
+eupl-1.1|european union|european union public (?:L|licence) (?:version |v ?)?1 1
 eupl|european union|european union public L
 eupl-1.2|eupl|eupl ?v?1 2
 eupl|eupl|(?:under|licensed) (?:the )?eupl
-artistic-2.0|artistic|artistic L (?:version |v )?2(?: 0)?
-artistic-1.0|artistic|artistic L (?:version |v )?1(?: 0)?
+artistic-2.0|artistic|artistic L (?:version |v ?)?2(?: 0)?
+artistic-1.0|artistic|artistic L (?:version |v ?)?1(?: 0)?
 artistic|artistic|(?:the |perl )?artistic L
 perl|perl|same terms as perl(?: itself)?
-boost-1.0|boost|boost software L (?:version |v )?1(?: 0)?
+boost-1.0|boost|boost software L (?:version |v ?)?1(?: 0)?
 boost|boost|boost software L
-bsl-1.1|business source|business source L (?:version |v )?1 1
+bsl-1.1|business source|business source L (?:version |v ?)?1 1
 bsl|business source|business source L
 zlib|zlib|zlib libpng L
 zlib|zlib|(?:the )?zlib L
@@ -138,11 +138,11 @@ unlicense|unencumbered|free and unencumbered software released into the public d
 wtfpl|wtfpl|wtfpl
 wtfpl|what the|do what the f\w+ you want to public L
 beerware|beer|beer ?ware L
-python-2.0|python|python (?:software foundation )?L (?:version |v )?2(?: 0)?
-psf-2.0|psf|psf L (?:version |v )?2(?: 0)?
+python-2.0|python|python (?:software foundation )?L (?:version |v ?)?2(?: 0)?
+psf-2.0|psf|psf L (?:version |v ?)?2(?: 0)?
 psf|python|python software foundation L
-php-3.01|php|php L (?:version |v )?3 01
-php-3.0|php|php L (?:version |v )?3(?: 0)?
+php-3.01|php|php L (?:version |v ?)?3 01
+php-3.0|php|php L (?:version |v ?)?3(?: 0)?
 php|php|(?:the )?php L
 ruby|ruby|(?:the )?ruby L
 ruby|ruby|same (?:license|terms) as ruby
@@ -152,26 +152,26 @@ curl|curl licen|(?:the )?curl L
 postgresql|postgresql|(?:the )?postgresql L
 ncsa|illinois|university of illinois ncsa open source L
 ncsa|ncsa|ncsa (?:open source )?L
-afl-3.0|academic free|academic free L (?:version |v )?3(?: 0)?
+afl-3.0|academic free|academic free L (?:version |v ?)?3(?: 0)?
 afl|academic free|academic free L
-osl-3.0|open software|open software L (?:version |v )?3(?: 0)?
+osl-3.0|open software|open software L (?:version |v ?)?3(?: 0)?
 osl|open software|open software L
 ms-pl|microsoft|microsoft public L
 ms-rl|microsoft|microsoft reciprocal L
-upl-1.0|universal permissive|universal permissive L (?:version |v )?1(?: 0)?
-qpl-1.0|qpl,q public|(?:q public L|qpl) ?(?:version |v )?1(?: 0)?
-ofl-1.1|open font|sil open font L (?:version |v )?1 1
+upl-1.0|universal permissive|universal permissive L (?:version |v ?)?1(?: 0)?
+qpl-1.0|qpl,q public|(?:q public L|qpl) ?(?:version |v ?)?1(?: 0)?
+ofl-1.1|open font|sil open font L (?:version |v ?)?1 1
 ofl|open font|(?:sil )?open font L
-odbl-1.0|database|open (?:data commons open )?database L (?:version |v )?1(?: 0)?
+odbl-1.0|database|open (?:data commons open )?database L (?:version |v ?)?1(?: 0)?
 odbl|database|open (?:data commons open )?database L
 odc-by-1.0|attribution|open data commons attribution L
 pddl-1.0|public domain|(?:open data commons )?public domain dedication and L
 cdla-permissive|community data|community data L agreement permissive
 cdla-sharing|community data|community data L agreement sharing
-ogl-uk-3.0|open government|open government L (?:version |v )?3(?: 0)?
-ogl-uk-2.0|open government|open government L (?:version |v )?2(?: 0)?
+ogl-uk-3.0|open government|open government L (?:version |v ?)?3(?: 0)?
+ogl-uk-2.0|open government|open government L (?:version |v ?)?2(?: 0)?
 ogl-uk|open government|open government L
-cecill-2.1|cecill|cecill (?:version |v )?2 1
+cecill-2.1|cecill|cecill (?:version |v ?)?2 1
 cecill-b|cecill|cecill b
 cecill-c|cecill|cecill c
 cecill|cecill|cecill(?: free software)? L
@@ -179,8 +179,8 @@ llama-3|llama|(?:meta )?llama 3(?: \d)? community L
 llama-2|llama|(?:meta )?llama 2 community L
 openrail-m|openrail,open rail|(?:creativeml |bigcode )?open ?rail m
 openrail|rail licen|(?:bigscience )?(?:open )?rail L
-sspl-1.0|server side|server side public L (?:version |v )?1?
-elastic-2.0|elastic|elastic L (?:version |v )?2(?: 0)?
+sspl-1.0|server side|server side public L(?: (?:version |v ?)?1(?: 0)?)?
+elastic-2.0|elastic|elastic L (?:version |v ?)?2(?: 0)?
 commons-clause|commons clause|commons clause (?:L )?condition
 cc-zero|cc0,cc 0|cc ?0(?: 1 0)?(?: universal)?
 cc-zero|creative|creative commons zero(?: v?1 0)?(?: universal)?
@@ -240,7 +240,7 @@ def license_rules() -> list[Rule]:
             dashed = f"cc-{label}-{version.replace(' ', '.')}"
             found.append((dashed, "cc by", f"cc {short} {version}"))
             found.append((dashed, "creative", f"creative commons {long} (?:L )?{version}(?: international| unported| generic)?(?: L)?"))
-            found.append((dashed, "creative", f"creative commons org licenses {short} {version}"))
+            found.append((dashed, "creative", f"creative ?commons org licenses {short} {version}"))
     for label, short, long in CC_ELEMENTS:
         found.append((f"cc-{label}", "creative", f"creative commons {long}"))
         found.append((f"cc-{label}", "cc by", f"cc {short}"))

@@ -421,6 +421,45 @@ def test_license_keywords_stand_in_every_match():
         assert [d.label for d in scanner.scan(f"it says {text} here")[2]] == [label], text
 
 
+def test_license_addresses_and_versions():
+    scanner = licenses.Scanner(licenses.license_rules())
+    labels = lambda text: [d.label for d in scanner.scan(f"see {text} now")[2]]
+    for kind, *_ in licenses.CC_ELEMENTS:
+        for version in licenses.CC_VERSIONS:
+            number = version.replace(" ", ".")
+            for address in (f"https://creativecommons.org/licenses/{kind}/{number}/", f"Creative Commons.org/licenses/{kind}/{number}"):
+                assert labels(address) == [f"cc-{kind}-{number}"], address
+    for name, label in (
+        ("GNU Affero General Public License", "agpl-3.0"), ("Affero General Public License", "agpl-1.0"),
+        ("GNU Lesser General Public License", "lgpl-3.0"), ("GNU Lesser General Public License", "lgpl-2.1"),
+        ("GNU Library General Public License", "lgpl-2.0"), ("GNU General Public License", "gpl-3.0"),
+        ("GNU General Public License", "gpl-2.0"), ("GNU General Public License", "gpl-1.0"),
+        ("GNU Free Documentation License", "gfdl-1.3"), ("GNU Free Documentation License", "gfdl-1.2"),
+        ("GNU Free Documentation License", "gfdl-1.1"), ("Apache License", "apache-2.0"), ("Apache Software License", "apache-1.1"),
+        ("Apache License", "apache-1.0"), ("Mozilla Public License", "mpl-2.0"), ("Mozilla Public License", "mpl-1.1"),
+        ("Mozilla Public License", "mpl-1.0"), ("Eclipse Public License", "epl-2.0"), ("Eclipse Public License", "epl-1.0"),
+        ("Eclipse Distribution License", "edl-1.0"), ("Common Public License", "cpl-1.0"), ("IBM Public License", "ipl-1.0"),
+        ("Common Development and Distribution License", "cddl-1.1"), ("Common Development and Distribution License", "cddl-1.0"),
+        ("European Union Public Licence", "eupl-1.2"), ("European Union Public License", "eupl-1.1"),
+        ("Artistic License", "artistic-2.0"), ("Artistic License", "artistic-1.0"), ("Boost Software License", "boost-1.0"),
+        ("Business Source License", "bsl-1.1"), ("Python License", "python-2.0"), ("PSF License", "psf-2.0"),
+        ("PHP License", "php-3.01"), ("PHP License", "php-3.0"), ("Academic Free License", "afl-3.0"),
+        ("Open Software License", "osl-3.0"), ("Universal Permissive License", "upl-1.0"), ("Q Public License", "qpl-1.0"),
+        ("SIL Open Font License", "ofl-1.1"), ("Open Database License", "odbl-1.0"), ("Open Government Licence", "ogl-uk-3.0"),
+        ("Open Government Licence", "ogl-uk-2.0"), ("CeCILL", "cecill-2.1"), ("Server Side Public License", "sspl-1.0"),
+        ("Elastic License", "elastic-2.0"),
+    ):
+        number = label.rsplit("-", 1)[1]
+        for form in (f"v{number}", f"v {number}", f"version {number}", f"V{number}"):
+            assert labels(f"{name} {form}") == [label], (name, form)
+    assert labels("Apache License v2") == ["apache-2.0"] and labels("GNU General Public License v3") == ["gpl-3.0"]
+    assert labels("the General Public License v2 with Classpath exception") == ["gpl-classpath"]
+    assert labels("Server Side Public License") == ["sspl-1.0"]
+    # Whatever else a pattern allows: "v" may stand before the number or be a word of its own.
+    for rule in licenses.license_rules():
+        assert "(?:version |v )" not in rule.pattern, rule.label
+
+
 def test_suppression():
     d = licenses.Detection
     inside, outer, better, apart = d("a", 1, 2, 3), d("b", 9, 1, 4), d("c", 5, 4, 6), d("d", 7, 20, 21)
