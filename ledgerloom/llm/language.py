@@ -81,8 +81,9 @@ class LanguageModel:
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = (share >= 0.005).T.copy()
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word its score under every language (0 where its script says nothing) and its letters."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word its score under every language (0 where its script says nothing), its letters, and
+        those of them in a script that some language uses."""
         feature, owner, letters, script = grams(words)
         scores = np.zeros((len(words), len(self.languages)), dtype=np.float32)
         for i in range(len(self.languages)):
@@ -91,7 +92,16 @@ class LanguageModel:
         uses = self.uses[script]
         scores[~uses & uses.any(axis=1, keepdims=True)] = NO_WAY
         scores[(letters == 0) | ~uses.any(axis=1)] = 0
-        return np.maximum(scores, NO_WAY), letters
+        return np.maximum(scores, NO_WAY), letters, self.readable(words, letters)
+
+    def readable(self, words: list[str], letters: np.ndarray) -> np.ndarray:
+        """Per word its letters in a script that some language uses."""
+        foreign = ~self.uses.any(axis=1)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        of = np.repeat(np.arange(len(words)), np.array([len(w) for w in words]))
+        at = np.flatnonzero(foreign[SCRIPT_OF[np.searchsorted(STARTS, flat, side="right") - 1]])
+        alpha = np.fromiter((chr(c).isalpha() for c in flat[at].tolist()), dtype=np.int64, count=len(at))
+        return letters - np.bincount(of[at], weights=alpha, minlength=len(words)).astype(np.int64)
 
 
 def best_paths(emit: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -223,39 +233,42 @@ def identify(
     The script of a word's first letter narrows its candidates to the languages that use the script;
     each candidate scores the word by its letter runs; Viterbi over the words of a text, with
     ``penalty`` for a change of language, labels spans (lang, first word, words). ``lang_pred`` is the
-    label that covers most letters, ``score`` its share of the letters.
+    label that covers most letters, ``score`` its share of the letters. Letters of a script that no
+    language of the model uses count for no label, so they lower the score.
 
     A narrow pass; the model that tasks get has a fixed number of features per language. A text that
-    is null or has no letter, or a model without languages, gives ``und`` with score 0; ties go to
-    the first language by name. Columns in ``keep`` are carried along; others are ignored.
+    is null or has no letter of a script in use, or a model without languages, gives ``und`` with
+    score 0; ties go to the first language by name. Columns in ``keep`` are carried along; others are ignored.
     """
     names = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model
         words, table, letters = Words(), np.zeros((0, len(names)), np.float32), np.zeros(0, np.int64)
+        usable = letters
         for batch in batches:
             if len(words) > WORDS_KEPT:
-                words, table, letters = Words(), table[:0], letters[:0]
+                words, table, letters, usable = Words(), table[:0], letters[:0], usable[:0]
             codes: list[np.ndarray] = []
             for rows in text_slices(batch, 0):
                 for text in rows.column(0).to_pylist():
                     found = text.lower().split() if text and names else []
                     codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
                 if words.fresh:
-                    more, sizes = known.score(words.fresh)
+                    more, sizes, in_use = known.score(words.fresh)
                     table, letters = np.concatenate([table, more]), np.concatenate([letters, sizes])
+                    usable = np.concatenate([usable, in_use])
                     words.fresh = []
             labels = label_words(codes, table, penalty)
             pred, score, spans = [], [], []
             for c, path in zip(codes, labels, strict=True):
-                weight = np.bincount(path, weights=letters[c], minlength=len(names)) if len(c) else np.zeros(1)
-                total = weight.sum()
+                weight = np.bincount(path, weights=usable[c], minlength=len(names)) if len(c) else np.zeros(1)
                 best = int(weight.argmax())
-                pred.append(names[best] if total else "und")
-                score.append(float(weight[best] / total) if total else 0.0)
+                labelled = weight[best] > 0
+                pred.append(names[best] if labelled else "und")
+                score.append(float(weight[best] / letters[c].sum()) if labelled else 0.0)
                 if with_spans:
-                    starts = np.flatnonzero(np.diff(path, prepend=-1)) if total else []
+                    starts = np.flatnonzero(np.diff(path, prepend=-1)) if labelled else []
                     ends = [*starts[1:], len(path)]
                     spans.append(
                         [{"lang": names[path[a]], "first": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=False)]

@@ -301,6 +301,26 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(asked, none).collect()} == {"und"}
 
 
+def test_language_of_scripts_that_no_language_uses(spark, monkeypatch):
+    import corpus_pipeline
+
+    en, de = "the house of the king is the best thing", "das haus und der könig sind nicht mehr da"
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(en, "en"), (de, "de")] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit_languages(docs, F.lit(True))
+    texts = [
+        (20, "漢字", "und", 0), (21, "это дом короля", "und", 0), (22, "king 漢字漢字漢字", "en", 0.4), (23, "the king 漢字", "en", 7 / 9),
+        (24, "die漢字漢字漢字漢字 haus", "de", 7 / 15), (25, "the king — “best” …", "en", 1), (26, "漢字 123", "und", 0),
+    ]
+    asked = spark.createDataFrame([(i, t, None) for i, t, *_ in texts], docs.schema)
+    got = {r["doc_id"]: r for r in language.identify(asked, model).collect()}
+    for i, text, label, score in texts:
+        assert (got[i]["lang_pred"], bool(got[i]["spans"])) == (label, label != "und"), text
+        assert got[i]["score"] == pytest.approx(score), text
+    monkeypatch.setattr(language, "fit_languages", lambda *_: model)
+    assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, asked, "").collect()} == {23, 25}
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(6)
     lengths = np.array([1, 2, 4, 5, 5])
