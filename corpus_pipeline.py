@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, language, near_dedup, packing, quality
@@ -42,17 +42,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (runs of five words, 80 %), that with the smallest id.
+    """One row of each group of near copies (runs of five words, 80 %), that with the smallest id.
 
-    Rows that share an id are one document, of which one row stays; rows without an id all stay.
+    Each row stands for itself, whatever its id: rows that share an id but not a text are two documents,
+    rows without an id come last. Rows without words are copies only if their ids and texts agree.
     """
-    kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    first = chosen.select(F.row_number().over(same).alias("row"), *(F.col(c).alias(n) for c, n in names.items()))
-    one = first.where("row = 1").select(*(F.col(n).alias(c) for c, n in names.items()))
-    return one.union(docs.where("doc_id IS NULL"))
+    text = F.col(names["text"]).cast("string")
+    rows = written(docs.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows, shingle=5, percent=80, id_col="row", text_col=names["text"])
+    ids = rows.select("row", F.col(names["doc_id"]).alias("id"), F.sha2(text, 256).alias("content"))
+    bare = F.col("n_shingles") == 0
+    groups = [
+        F.when(~bare, F.col("component_id")).alias("component"),
+        F.when(bare, F.col("id")).alias("bare_id"),
+        F.when(bare, F.col("content")).alias("bare_content"),
+    ]
+    order = F.struct(F.col("id").isNull().alias("without"), "id", "content", "row")
+    first = found.join(ids, "row").groupBy(bare.alias("bare"), *groups).agg(F.min(order).alias("first"))
+    kept = rows.join(first.select("first.row"), "row", "left_semi")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -488,6 +488,21 @@ def test_suppression():
     assert [x.label for x in licenses.suppressed([d("x", 2, 1, 4), outer])] == ["x"]
 
 
+def test_pipeline_keeps_a_row_per_distinct_text(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [
+        (5, a, 0), (5, b, 1), (5, b, 2), (3, f"{a} more", 3), (None, c, 4), (None, c, 5), (None, f"{b} end", 6),
+        (7, "", 7), (7, "", 8), (8, "", 9), (None, "", 10), (None, "", 11), (None, None, 12), (None, None, 13), (7, c, 14),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int").repartition(3)
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(3, f"{a} more"), (5, b), (7, c), (7, ""), (8, ""), (None, ""), (None, None)])
+
+
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline
 
