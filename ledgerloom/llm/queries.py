@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, decontamination, language, licenses, near_dedup, packing, quality, sharding, token_counts, warc
+from ledgerloom.llm import ann, decontamination, language, licenses, near_dedup, packing, quality, repair, sharding, token_counts, warc
 from ledgerloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,98 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def damaged(conversations: DataFrame) -> tuple[DataFrame, F.Column]:
+    """Rows with the faults that crc32(``conv_id:turn``) % 20 deals out, and how many copies of each there are."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    fault, text = F.crc32(key.cast("binary")) % 20, F.coalesce("text", space)
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+    return rows, F.col("copies")
+
+
+@query(
+    "op11_repair",
+    r"""
+    WITH RECURSIVE b AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+        FROM conversations
+    ), c AS (
+        -- CRC-32 bit by bit: a byte is xored in, then eight shifts follow.
+        SELECT *, (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1),
+                   lambda i: [ascii(k[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END), 4294967295)) % 20 AS f
+        FROM b
+    ), d AS (
+        SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+        FROM c, (SELECT unnest([1, 2]) AS copy) WHERE copy <= CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END
+    ), o AS (
+        SELECT *, row_number() OVER w AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+               lag(role[1]) OVER w AS before, rtrim(text, E' 	
+
+') AS bare
+        FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+    ), s AS (
+        SELECT *, role[1] AS r, CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN bare[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+        FROM o
+    ), n AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+               count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM s GROUP BY conv_id
+    ), t AS (SELECT n.conv_id AS conv, p, r, fault FROM s JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
+    -- Least (cost, audit) from row p on, in each grammar state: start, after s, after u, after a.
+    g(conv, p, f0, f1, f2, f3) AS (
+        SELECT conv_id, n + 1, (0::BIGINT, ''), (10::BIGINT, 'II'), (5::BIGINT, 'I'), (0::BIGINT, '') FROM n
+        UNION ALL
+        SELECT conv, p, least(e0, i2), least(e1, i2), least(e2, (e3[1] + 5, 'I' || e3[2]), (i2[1] + 5, 'I' || i2[2])), least(e3, i2)
+        FROM (
+            SELECT *, least((e2[1] + 5, 'I' || e2[2]), (e3[1] + 10, 'II' || e3[2])) AS i2
+            FROM (
+                SELECT g.conv, t.p,
+                       least((f0[1] + 2, 'D' || f0[2]), (f2[1] + 1 + x, 'R' || f2[2]), (f1[1] + x + s, 'K' || f1[2]), (f2[1] + x + u, 'K' || f2[2])) AS e0,
+                       least((f1[1] + 2, 'D' || f1[2]), (f2[1] + 1 + x, 'R' || f2[2]), (f2[1] + x + u, 'K' || f2[2])) AS e1,
+                       least((f2[1] + 2, 'D' || f2[2]), (f3[1] + 1 + x, 'R' || f3[2]), (f3[1] + x + a, 'K' || f3[2])) AS e2,
+                       least((f3[1] + 2, 'D' || f3[2]), (f2[1] + 1 + x, 'R' || f2[2]), (f2[1] + x + u, 'K' || f2[2])) AS e3
+                FROM g JOIN (
+                    -- What it costs to leave the row, and to keep it where s, u or a is wanted; a billion where that is not allowed.
+                    SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS x, CASE r WHEN 's' THEN 0 ELSE 1000000000 END AS s,
+                           CASE r WHEN 'u' THEN 0 ELSE 1000000000 END AS u, CASE r WHEN 'a' THEN 0 ELSE 1000000000 END AS a
+                    FROM t
+                ) AS t
+                  ON t.conv IS NOT DISTINCT FROM g.conv AND t.p = g.p - 1
+            )
+        )
+    ), a AS (SELECT conv, f0[1] AS cost, f0[2] AS audit FROM g WHERE p = 1),
+    e AS (
+        SELECT conv, i, audit[i] AS edit, length(replace(audit[:i], 'I', '')) AS p, length(replace(audit[:i], 'D', '')) AS q
+        FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS i FROM a)
+    ), h AS (SELECT e.*, s.role, s.text, s.r FROM e LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv AND s.p = e.p AND edit <> 'I' WHERE edit <> 'D'),
+    z AS (SELECT conv, bool_or(q = 1 AND edit = 'K' AND r = 's') AS has_system FROM h GROUP BY conv),
+    y AS (
+        SELECT h.conv, string_agg(CASE edit WHEN 'K' THEN role WHEN 'R' THEN turned ELSE turned END || ':' ||
+                                  CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS whole
+        FROM (SELECT h.*, CASE WHEN (q % 2 = 1) <> has_system THEN 'user' ELSE 'assistant' END AS turned
+              FROM h JOIN z ON z.conv IS NOT DISTINCT FROM h.conv) AS h GROUP BY h.conv
+    )
+    SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+           coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(a.cost, 0)::BIGINT AS cost,
+           coalesce(a.audit, '') AS audit, sha256(coalesce(y.whole, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+    LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN a ON a.conv IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN y ON y.conv IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = damaged(table(spark, sf_dir, "conversations"))
+    return repair.Repair(rows, copies=copies).summary()
