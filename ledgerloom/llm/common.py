@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import shared_dir
@@ -51,3 +51,24 @@ def per_worker(name: str, content: str, make: Callable[[str], object]):
 def lower_latin(column):
     """``column`` with A-Z, and nothing else, in lower case."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, train: Column, rows: dict[int, int], id_col: str, text_col: str, label_col: str
+) -> DataFrame:
+    """At most ``rows[label]`` distinct texts per label, as (label, mark, text): those with the least hash of the text.
+
+    ``train`` is a condition on the label table's id. Copies of a text are one row, whatever their ids, so the
+    choice does not depend on partitions or on how often an id occurs. Null texts count as empty, null ids match nothing.
+    """
+    named = labels.where(train & F.col(label_col).isin(*rows) & F.col(id_col).isNotNull())
+    named = named.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("label")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    marks = texts.select("doc", "mark").where("doc IS NOT NULL").distinct().join(named, "doc")
+    marks = marks.groupBy("label", "mark").agg(F.min("doc").alias("doc"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("mark"))
+    bound = F.coalesce(*(F.when(F.col("label") == label, n) for label, n in rows.items()))
+    chosen = marks.withColumn("place", place).where(F.col("place") <= max(rows.values())).where(F.col("place") <= bound).drop("place")
+    # The broadcast side holds one row per chosen text.
+    return texts.join(F.broadcast(chosen), ["doc", "mark"]).groupBy("label", "mark").agg(F.min("text").alias("text"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, decontamination, hard_negatives, language, licenses, near_dedup, packing, quality, repair, sharding, token_counts, warc
+from ledgerloom.llm import ann, decontamination, hard_negatives, language, licenses, near_dedup, packing, quality, repair, sharding, token_counts, toxicity, warc
 from ledgerloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def fold(parts: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def held_out(parts: int, remainder: int) -> F.Column:
+    """Whether a row is in the fold that nothing is learned from; rows without an id are in none."""
+    return F.coalesce(fold(parts) == remainder, F.lit(False)).alias("held_out")
+
+
 @query("op1_pack")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
@@ -266,6 +271,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.Repair(rows, copies=copies).summary()
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", held_out(5, 0), "score", "predicted")
+
+
 @query(
     "op13_hard_negatives",
     """
