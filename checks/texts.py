@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from checks.inputs import SQL_VIEWS, Inputs
 from checks.registry import query
 from ledgerloom.functions import token_count
-from ledgerloom.operators import models, text
+from ledgerloom.operators import layout, models, text
 
 # In the driver texts a line of at most three words stands for a heading; its case tells which.
 HEADINGS = {
@@ -95,6 +95,71 @@ def c4(t: Inputs) -> DataFrame:
     return text.tables_to_markdown(cells).select("document_id", F.md5("markdown").alias("markdown_md5"))
 
 
+# Order lines as tables of the suppliers' documents: one table per line number, every second one behind a line of text.
+SQL_VIEWS["report_rows"] = """
+SELECT CAST(l_suppkey AS VARCHAR) AS document_id, CAST(1 + l_linenumber % 3 AS INTEGER) AS page_no, CASE WHEN l_linenumber % 2 = 0 THEN 6 * l_linenumber END AS after_line,
+  l_linenumber AS table_no, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice, l_returnflag, l_linestatus, l_discount) AS row_no,
+  l_returnflag || '|' || l_linestatus AS flag, CASE WHEN l_discount > 0 THEN CAST(l_partkey AS VARCHAR) END AS part, CAST(l_orderkey AS VARCHAR) AS orderkey
+FROM lineitem"""
+SQL_VIEWS["report_units"] = """
+WITH elements AS (
+  SELECT document_id, page_no, CAST(line_no AS DOUBLE) AS pos, 0 AS kind, 0 AS table_no, 0 AS row_no, line, CASE WHEN regexp_full_match(line, '\\S+') THEN 'Short'
+    WHEN regexp_full_match(line, '\\S+\\s\\S+') THEN 'Pair' WHEN regexp_full_match(line, '\\S+\\s\\S+\\s\\S+') THEN 'Triple' END AS heading FROM doc_lines
+  UNION ALL SELECT document_id, page_no, COALESCE(CAST(after_line AS DOUBLE), 1e18), 1, table_no, row_no,
+    '| ' || replace(flag, '|', '\\|') || ' | ' || COALESCE(part, '') || ' | ' || orderkey || ' |', NULL FROM report_rows SEMI JOIN lib_documents d ON d.id = document_id
+  UNION ALL SELECT DISTINCT document_id, page_no, COALESCE(CAST(after_line AS DOUBLE), 1e18), 1, table_no, 0, '| Flag | Part | Order |' || chr(10) || '| --- | --- | --- |', NULL
+    FROM report_rows SEMI JOIN lib_documents d ON d.id = document_id),
+placed AS (
+  SELECT *, last_value(heading IGNORE NULLS) OVER w AS section, CASE WHEN count(heading) OVER (PARTITION BY document_id) > 0 THEN count(heading) OVER w ELSE (page_no - 1) // 5 END AS section_no
+  FROM elements WINDOW w AS (PARTITION BY document_id ORDER BY page_no, pos, kind, table_no, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+units AS (
+  SELECT document_id, section_no, section, page_no, pos, kind, table_no, row_no, i, unit, CASE kind WHEN 0 THEN 1 ELSE len(list_filter(regexp_split_to_array(unit, '\\s+'), lambda w: w <> '')) END AS size
+  FROM (SELECT *, unnest(parts) AS unit, generate_subscripts(parts, 1) AS i
+    FROM (SELECT *, CASE kind WHEN 0 THEN list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') ELSE [line] END AS parts FROM placed)))
+SELECT document_id, section_no, section, page_no, kind, unit, size, CASE WHEN kind = 1 AND row_no > 0 THEN 14 ELSE 0 END AS header, row_number() OVER w - 1 AS idx,
+  CAST(sum(size) OVER w - size AS BIGINT) AS before FROM units
+WINDOW w AS (PARTITION BY document_id, section_no ORDER BY page_no, pos, kind, table_no, row_no, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query(
+    "c3_chunk_tables",
+    """WITH RECURSIVE u AS MATERIALIZED (SELECT * FROM report_units),
+    edge AS MATERIALIZED (SELECT document_id, section_no, idx, before FROM u
+      UNION ALL SELECT document_id, section_no, max(idx) + 1, max(before + size) FROM u GROUP BY 1, 2),
+    whole AS (SELECT document_id, section_no, max(idx) AS n FROM edge GROUP BY 1, 2),
+    room AS (SELECT document_id, section_no, before - header AS room, min(idx) AS idx FROM u GROUP BY 1, 2, 3),
+    ends AS (SELECT u.document_id, u.section_no, u.idx, greatest(u.idx + 1, e.idx) AS stop
+      FROM u ASOF JOIN edge e ON e.document_id = u.document_id AND e.section_no = u.section_no AND u.before + 120 - u.header >= e.before),
+    at_end AS (SELECT s.document_id, s.section_no, s.idx, s.stop, a.before, b.before AS after
+      FROM ends s JOIN edge a ON a.document_id = s.document_id AND a.section_no = s.section_no AND a.idx = s.stop
+      LEFT JOIN edge b ON b.document_id = s.document_id AND b.section_no = s.section_no AND b.idx = s.stop + 1),
+    back AS (SELECT s.*, e.idx AS back FROM at_end s ASOF JOIN edge e ON e.document_id = s.document_id AND e.section_no = s.section_no AND s.before - 20 <= e.before),
+    step AS MATERIALIZED (SELECT s.document_id, s.section_no, s.idx, s.stop, CASE WHEN s.after IS NOT NULL THEN least(greatest(s.back, COALESCE(r.idx, s.stop), s.idx + 1), s.stop) END AS next
+      FROM back s ASOF LEFT JOIN room r ON r.document_id = s.document_id AND r.section_no = s.section_no AND s.after - 120 <= r.room),
+    w AS (SELECT document_id, section_no, idx, stop, next FROM step WHERE idx = 0
+      UNION ALL SELECT s.document_id, s.section_no, s.idx, s.stop, s.next FROM w JOIN step s ON s.document_id = w.document_id AND s.section_no = w.section_no AND s.idx = w.next),
+    c AS (SELECT w.document_id, w.section_no, w.idx, any_value(u.section) AS section, min(u.page_no) AS page_start, max(u.page_no) AS page_end, sum(u.size) + max(CASE WHEN u.idx = w.idx THEN u.header END) AS token_count,
+        max(CASE WHEN u.idx = w.idx AND u.header > 0 THEN '| Flag | Part | Order |' || chr(10) || '| --- | --- | --- |' || chr(10) ELSE '' END) ||
+        string_agg(CASE WHEN u.idx = w.idx THEN '' WHEN u.kind = 1 OR p.kind = 1 THEN chr(10) ELSE ' ' END || u.unit, '' ORDER BY u.idx) AS text
+      FROM w JOIN u ON u.document_id = w.document_id AND u.section_no = w.section_no AND u.idx >= w.idx AND u.idx < w.stop
+      LEFT JOIN u p ON p.document_id = u.document_id AND p.section_no = u.section_no AND p.idx = u.idx - 1 GROUP BY 1, 2, 3)
+    SELECT document_id, section, page_start, page_end, CAST(token_count AS INTEGER) AS token_count,
+      CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_no, idx) - 1 AS INTEGER) AS chunk_index, md5(text) AS text_md5 FROM c""",
+)
+def c3_tables(t: Inputs) -> DataFrame:
+    order = "l_orderkey, l_partkey, l_extendedprice, l_returnflag, l_linestatus, l_discount"
+    lines = t.table("lineitem").withColumn("row_no", F.expr(f"row_number() over (partition by l_suppkey, l_linenumber order by {order})"))
+    table = ["cast(l_suppkey as string) as document_id", "1 + l_linenumber % 3 as page_no", "l_linenumber as table_no",
+             "case when l_linenumber % 2 = 0 then 6 * l_linenumber end as after_line"]
+    cells = lines.selectExpr(
+        *table, "row_no", "stack(3, 1, concat(l_returnflag, '|', l_linestatus), 2, case when l_discount > 0 then cast(l_partkey as string) end, "
+        "3, cast(l_orderkey as string)) as (col_no, value)",
+    )
+    header = lines.selectExpr(*table).distinct().selectExpr("*", "0 as row_no", "stack(3, 1, 'Flag', 2, 'Part', 3, 'Order') as (col_no, value)")
+    tables = text.tables_to_markdown(cells.unionByName(header))
+    return _shown(layout.chunk_with_tables(t.lib_documents, tables, HEADINGS, target=120, overlap=20)).drop("id")
+
+
 @query(
     "c5_enrich_chunks",
     """SELECT c.document_id, c.line_no, d.user_id, d.company, d.fiscal_period, d.report_type FROM doc_lines c JOIN lib_documents d ON d.id = c.document_id""",

@@ -131,15 +131,14 @@ def _cut(lines: Column, starts: Column, target: int, overlap: int) -> Column:
     )
 
 
+def chunk_id() -> Column:
+    """A chunk's id, derived from its document and its place in it."""
+    return F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")), 256)
+
+
 def _as_rows(docs: DataFrame, chunks: Column, keep: Sequence[str] = ()) -> DataFrame:
     rows = docs.select("document_id", *keep, F.posexplode(chunks).alias("chunk_index", "_chunk"))
-    return rows.select(
-        F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")), 256).alias("id"),
-        "document_id",
-        *keep,
-        "_chunk.*",
-        "chunk_index",
-    )
+    return rows.select(chunk_id().alias("id"), "document_id", *keep, "_chunk.*", "chunk_index")
 
 
 def chunk_windows(lines: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
@@ -201,37 +200,39 @@ def tables_to_markdown(cells: DataFrame) -> DataFrame:
 
     The first row is the header. Every row has a place for each ``col_no`` of the table, so an absent cell
     is empty and moves no other. Pipes are escaped, line breaks become blanks, null gives an empty cell;
-    values of cells with the same place stand side by side.
+    values of cells with the same place stand side by side. A column ``after_line`` (where in the document the table
+    stands) is kept, its least value counts. One shuffle, by table; a table's cells are held by one task.
     """
     table = ["document_id", "page_no", "table_no"]
+    place = ["after_line"] if "after_line" in cells.columns else []
     value = F.replace(F.coalesce(F.col("value"), F.lit("")), F.lit("|"), F.lit("\\|"))
     value = F.regexp_replace(value, r"[\r\n]+", " ")
-    entry = F.struct("row_no", "col_no", value.alias("value"))
-    grouped = cells.groupBy(*table).agg(F.array_sort(F.collect_list(entry)).alias("_cells"))
-    at = F.col("_cells")
-    columns = F.array_sort(F.array_distinct(F.transform(at, lambda c: c["col_no"])))
-    row_starts = F.filter(
-        F.sequence(F.lit(0), F.size(at) - 1),
-        lambda i: (i == 0) | (F.get(at, i)["row_no"] != F.get(at, i - 1)["row_no"]),
+    # All three groupings are by the table and more, so the one shuffle by table serves them all.
+    per_cell = (
+        cells.select(*table, *place, "row_no", "col_no", value.alias("value"))
+        .repartition(*table)
+        .groupBy(*table, "row_no", "col_no")
+        .agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("value"), *[F.min(c).alias(c) for c in place])
+    )
+    per_row = per_cell.groupBy(*table, "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("_row"), *[F.min(c).alias(c) for c in place]
+    )
+    whole = per_row.groupBy(*table).agg(
+        F.array_sort(F.collect_list(F.struct("row_no", F.map_entries("_row").alias("cells")))).alias("_rows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("_row"))))).alias("_columns"),
+        *[F.min(c).alias(c) for c in place],
     )
 
     def text_row(values: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |"))
 
-    def row(starts: Column, s: Column, j: Column) -> Column:
-        stop = F.coalesce(F.get(starts, j + 1), F.size(at))
-        mine = F.slice(at, s + 1, stop - s)
-        return F.transform(
-            columns, lambda n: F.array_join(F.transform(F.filter(mine, lambda c: c["col_no"] == n), lambda c: c["value"]), " ")
-        )
-
-    def render(starts: Column) -> Column:
-        rows = F.transform(starts, lambda s, j: row(starts, s, j))
-        rule = text_row(F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---")))
-        body = F.transform(rows, lambda r, i: F.when(i == 0, F.concat(text_row(r), F.lit("\n"), rule)).otherwise(text_row(r)))
-        return F.array_join(body, "\n")
+    def row(cells: Column) -> Column:
+        by_column = F.map_from_entries(cells)
+        return bind(by_column, lambda m: text_row(F.transform("_columns", lambda n: F.coalesce(F.try_element_at(m, n), F.lit("")))))
 
-    return grouped.select(*table, bind(row_starts, render).alias("markdown"))
+    rule = text_row(F.transform("_columns", lambda _: F.lit("---")))
+    lines = F.transform("_rows", lambda r, i: F.when(i == 0, F.concat(row(r["cells"]), F.lit("\n"), rule)).otherwise(row(r["cells"])))
+    return whole.select(*table, *place, F.array_join(lines, "\n").alias("markdown"))
 
 
 def enrich_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
