@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.citations import build_context
 from ledgerloom.operators.compare import comparison_result, normalize_units, period_deltas
+from ledgerloom.operators.layout import chunk_with_tables
 from ledgerloom.operators.models import hash_embed
 from ledgerloom.operators.search import batch_vector_search, retrieve_by_dimension
-from ledgerloom.operators.text import OVERLAP_TOKENS, TARGET_TOKENS, chunk_documents
+from ledgerloom.operators.text import OVERLAP_TOKENS, TARGET_TOKENS, chunk_documents, tables_to_markdown
 
 
 def ingest_documents(
-    documents: DataFrame, dim: int = 16, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS
+    documents: DataFrame,
+    dim: int = 16,
+    target: int = TARGET_TOKENS,
+    overlap: int = OVERLAP_TOKENS,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """Library documents with text to chunk vectors, without a shuffle."""
+    """Library documents with text to chunk vectors, without a shuffle.
+
+    ``cells`` (as :func:`tables_to_markdown` takes them) are the documents' tables, which are chunked
+    where they stand; tables and texts are then brought together by document.
+    """
     facts = ("user_id", "company", "fiscal_period", "report_type")
-    return hash_embed(chunk_documents(documents, target=target, overlap=overlap, keep=facts), dim=dim)
+    if cells is None:
+        chunks = chunk_documents(documents, target=target, overlap=overlap, keep=facts)
+    else:
+        chunks = chunk_with_tables(documents, tables_to_markdown(cells), target=target, overlap=overlap, keep=facts)
+    return hash_embed(chunks, dim=dim)
 
 
 def answer_contexts(questions: DataFrame, index: DataFrame, k: int = 8, dim: int = 16) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.operators.layout import chunk_with_tables
 from ledgerloom.operators.models import hash_embed
 from ledgerloom.operators.rows import keep_first
-from ledgerloom.operators.text import chunk_documents
+from ledgerloom.operators.text import chunk_documents, tables_to_markdown
 from ledgerloom.session import rows_if_bounded
 
 
@@ -25,6 +26,7 @@ def stream_ingest(
     max_files_per_trigger: int = 1000,
     glob: str = "*.parquet",
     order_by: Sequence[str] = (),
+    cells: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Start ingesting all documents that arrive in ``src_dir``; stops when none is left.
 
@@ -33,7 +35,8 @@ def stream_ingest(
     same result. A document that comes again replaces all chunks of its earlier version, which
     :func:`read_stream_index` resolves: an append per batch instead of a rewrite of the index. Of
     rows with one id in one batch the last by ``order_by`` counts (ties: by content); texts are
-    shuffled for that only in batches that hold such rows.
+    shuffled for that only in batches that hold such rows. ``cells`` gives the table cells of a batch's
+    documents, which are then chunked where they stand.
     """
     arriving = (
         spark.readStream.schema(schema)
@@ -51,7 +54,11 @@ def stream_ingest(
         # A document without words has no chunks, yet it replaces those it had.
         docs.select(F.col("id").alias("document_id")).write.mode("overwrite").parquet(f"{index_dir}/documents/batch_id={batch_id}")
         # The facts ride along with each document, so enriching needs no join.
-        chunks = chunk_documents(docs, keep=("user_id", "company", "fiscal_period", "report_type"))
+        facts = ("user_id", "company", "fiscal_period", "report_type")
+        if cells is None:
+            chunks = chunk_documents(docs, keep=facts)
+        else:
+            chunks = chunk_with_tables(docs, tables_to_markdown(cells(docs)), keep=facts)
         embed(chunks).write.mode("overwrite").parquet(f"{index_dir}/chunks/batch_id={batch_id}")
 
     return (
