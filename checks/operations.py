@@ -105,7 +105,7 @@ def g3(t: Inputs) -> DataFrame:
 )
 def g4(t: Inputs) -> DataFrame:
     requests = t.table("events").select("event_id", "user_id", "ts")
-    rows = limits.fixed_window(requests, ["user_id"], ttl_s=DAY_S, limit=3, slice_windows=4)
+    rows = limits.fixed_window(requests, ["user_id"], ttl_s=DAY_S, limit=3, slice_rows=2000)
     return rows.select("event_id", "user_id", F.unix_micros("window_start").alias("start_us"), "count", "allowed")
 
 

@@ -32,6 +32,28 @@ def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of complete groups, with the position of each group's first row."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        # Rows up to the last key change are complete; the rest may go on in the next batch.
+        joint = pa.Table.from_batches([pending[-1].slice(pending[-1].num_rows - 1), batch]) if pending else None
+        if joint is not None and len(group_starts(joint, keys)) == 1:
+            pending.append(batch)
+            continue
+        whole = pa.Table.from_batches([*pending, batch]).combine_chunks()
+        starts = group_starts(whole, keys)
+        cut = int(starts[-1])
+        if cut:
+            yield whole.slice(0, cut), starts[:-1]
+        pending = whole.slice(cut).to_batches()
+    if pending:
+        whole = pa.Table.from_batches(pending).combine_chunks()
+        yield whole, group_starts(whole, keys)
+
+
 def sorted_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -48,23 +70,7 @@ def sorted_groups(
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            # Rows up to the last key change are complete; the rest may go on in the next batch.
-            joint = pa.Table.from_batches([pending[-1].slice(pending[-1].num_rows - 1), batch]) if pending else None
-            if joint is not None and len(group_starts(joint, keys)) == 1:
-                pending.append(batch)
-                continue
-            whole = pa.Table.from_batches([*pending, batch]).combine_chunks()
-            starts = group_starts(whole, keys)
-            cut = int(starts[-1])
-            if cut:
-                yield from fn(whole.slice(0, cut), starts[:-1]).to_batches()
-            pending = whole.slice(cut).to_batches()
-        if pending:
-            whole = pa.Table.from_batches(pending).combine_chunks()
-            yield from fn(whole, group_starts(whole, keys)).to_batches()
+        for rows, starts in whole_groups(batches, keys):
+            yield from fn(rows, starts).to_batches()
 
     return placed.mapInArrow(run, schema)
