@@ -47,7 +47,7 @@ SQL_VIEWS["price_list"] = """
 SELECT provider, model, CAST(0.01 * n AS DECIMAL(10,6)) AS price, created_day AS valid_from,
   lead(created_day) OVER (PARTITION BY provider, model ORDER BY created_day) AS valid_to
 FROM (SELECT provider, model, date_trunc('day', created_at) AS created_day, COUNT(*) AS n FROM usage_log
-  WHERE model <> 'error' GROUP BY ALL HAVING COUNT(*) % 2 = 0)"""
+  WHERE model <> 'error' GROUP BY ALL)"""
 
 
 @query(
@@ -60,7 +60,6 @@ def g2(t: Inputs) -> DataFrame:
         t.usage_log.filter("model <> 'error'")
         .groupBy("provider", "model", F.date_trunc("day", "created_at").alias("valid_from"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n % 2 = 0")
     )
     prices = days.withColumn(
         "valid_to", F.expr("lead(valid_from) over (partition by provider, model order by valid_from)")

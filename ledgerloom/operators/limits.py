@@ -77,7 +77,8 @@ class _Slices:
         closed = self.since[ends] + self.ttl <= self.lengths[owner]
         exits = np.where(closed, NO_WINDOW, self.since[ends])
         held = np.where(closed, 0, self.before[self.stop[owner]] - self.before[ends])
-        keep = np.append((exits[1:] != exits[:-1]) | (owner[1:] != owner[:-1]), True)
+        keep = np.ones(len(at), dtype=bool)
+        keep[:-1] = (exits[1:] != exits[:-1]) | (owner[1:] != owner[:-1])
         return owner[keep], self.since[at][keep], exits[keep], held[keep]
 
     def counts(self, in_start: np.ndarray, in_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

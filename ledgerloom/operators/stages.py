@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.quantiles import exact_percentiles
+from ledgerloom.operators.slices import SLICE_ROWS, TimeSlices
 from ledgerloom.schemas import STAGE_ORDER
+from ledgerloom.session import cut_lineage
 
 # Which codes may be retried, which finish reasons are refusals, outcome codes.
 RETRYABLE_CODES = (429, 500, 502, 503, 504)
@@ -30,26 +32,30 @@ def document_status(stage_events: DataFrame) -> DataFrame:
     )
 
 
-def stage_times(stage_events: DataFrame, slice_s: int = 86_400) -> DataFrame:
+def stage_times(stage_events: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each event with ``seconds`` until the next event of its document (null for the last).
 
-    A document's log is worked on in time slices; what follows a slice's last event is looked up
-    in a table with one row per document and slice.
+    A document's log is worked on in slices of at most ``slice_rows`` events; what follows a slice's last event is
+    looked up in a table with one row per document and slice. Runs jobs that count rows.
     """
-    sliced = stage_events.withColumn("_slice", floor_div(F.unix_micros("ts"), slice_s * 1_000_000))
-    in_slice = Window.partitionBy("document_id", "_slice").orderBy("ts", "event_id")
-    own = sliced.withColumn("_next", F.lead("ts").over(in_slice))
+    timed = stage_events.withColumn("_us", F.unix_micros("ts"))
+    sliced = TimeSlices(timed, ["document_id"], rows=slice_rows).add(timed)
+    in_slice = Window.partitionBy("document_id", "_slice").orderBy("_us", "event_id")
+    own = sliced.withColumn("_next", F.lead("_us").over(in_slice))
     per_doc = Window.partitionBy("document_id").orderBy("_slice")
-    heads = sliced.groupBy("document_id", "_slice").agg(F.min("ts").alias("_head"))
+    heads = sliced.groupBy("document_id", "_slice").agg(F.min("_us").alias("_head"))
     carry = heads.select("document_id", "_slice", F.lead("_head").over(per_doc).alias("_later"))
-    end = F.coalesce("_next", "_later")
-    micros = F.unix_micros(end) - F.unix_micros("ts")
-    return own.join(carry, ["document_id", "_slice"]).select(*stage_events.columns, (micros / 1_000_000).alias("seconds"))
+    micros = F.coalesce("_next", "_later") - F.col("_us")
+    return own.join(carry, ["document_id", "_slice"], "left").select(*stage_events.columns, (micros / 1_000_000).alias("seconds"))
 
 
 def stage_durations(stage_events: DataFrame, failed_status: str = "failed") -> DataFrame:
-    """Per stage: events, share of failures, p50 and p95 of the time to the next event in ms."""
-    timed = stage_times(stage_events).withColumn("_ms", F.round(F.col("seconds") * 1000).cast("bigint"))
+    """Per stage: events, share of failures, p50 and p95 of the time to the next event in ms.
+
+    The times are written once, as counts and percentiles read them several times.
+    """
+    times = stage_times(stage_events).select("stage", "status", F.round(F.col("seconds") * 1000).cast("bigint").alias("_ms"))
+    timed = cut_lineage(times)
     counts = timed.groupBy("stage").agg(
         F.count(F.lit(1)).alias("events"),
         F.count("_ms").alias("finished"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.quantiles import exact_percentiles
+from ledgerloom.operators.slices import SLICE_ROWS
+from ledgerloom.operators.temporal import latest_at, segments
 
 DAY_MICROS = 86_400_000_000
 # Default quotas per user.
@@ -37,26 +39,26 @@ def usage_summary(
     return group(*by).agg(*sums)
 
 
-def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def estimate_cost(usage: DataFrame, prices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Set ``cost_estimate`` from the price valid at call time; null for an unknown model or period.
 
-    ``prices`` is (provider, model, usd_per_1k_in, usd_per_1k_out, valid_from, valid_to or null).
-    A model's price history is packed into one row first, so the ledger is joined on equality, no
-    call is ever doubled and, where periods overlap, the one that started last counts.
+    ``prices`` is (provider, model, usd_per_1k_in, usd_per_1k_out, valid_from, valid_to or null). No call is
+    ever doubled; where periods overlap, the one that started last counts. Price periods become steps
+    without overlaps, and each call looks up the step before it in one sort over both (:func:`latest_at`), so neither
+    a long price history nor a model with most of the calls is held in one place.
     """
-    entry = F.struct("valid_from", "valid_to", "usd_per_1k_in", "usd_per_1k_out")
-    history = prices.groupBy("provider", "model").agg(F.array_sort(F.collect_list(entry)).alias("_history"))
-    at = F.col("created_at")
-    valid = F.filter(
-        "_history",
-        lambda p: (p["valid_from"] <= at) & (p["valid_to"].isNull() | (at < p["valid_to"])),
-    )
-    price = F.get(F.reverse(valid), F.lit(0))
+    model = ["provider", "model"]
+    periods = prices.select(
+        *model, F.unix_micros("valid_from").alias("_from"), F.unix_micros("valid_to").alias("_to"),
+        "valid_from", "valid_to", "usd_per_1k_in", "usd_per_1k_out",
+    )
+    steps = segments(periods, model, ["valid_from", "valid_to", "usd_per_1k_in", "usd_per_1k_out"])
+    found = latest_at(usage.withColumn("_us", F.unix_micros("created_at")), steps, model, slice_rows)
+    price = F.col("_w.valid")
     cost = (
         F.col("tokens_in") * price["usd_per_1k_in"] + F.col("tokens_out") * price["usd_per_1k_out"]
     ) / F.lit(1000)
-    joined = usage.join(history, ["provider", "model"], "left")
-    return joined.withColumn("cost_estimate", cost.cast("decimal(18,6)")).select(
+    return found.withColumn("cost_estimate", cost.cast("decimal(18,6)")).select(
         *[c for c in usage.columns if c != "cost_estimate"], "cost_estimate"
     )
 
