@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import Inputs
 from checks.registry import query
-from ledgerloom.operators import citations, evaluation, search
+from ledgerloom.operators import citations, evaluation, pq, search
 from ledgerloom.plans import answer_contexts, ingest_documents
 from ledgerloom.session import cut_lineage
 
@@ -52,12 +52,30 @@ def e3_all(t: Inputs) -> DataFrame:
     return search.ann_search(t.vec_questions, index, 8, n_probe=8).select("qid", "id", "score", "rank")
 
 
-@query("e3_ann_recall")
+def _enough(recall: DataFrame) -> DataFrame:
+    """The recall, or an error if it is below nine tenths."""
+    failed = F.raise_error(F.concat(F.lit("recall is only "), F.col("recall").cast("string"))).cast("boolean")
+    return recall.select("exact_hits", F.when(F.col("recall") >= 0.9, F.lit(True)).otherwise(failed).alias("enough"))
+
+
+RECALL = "SELECT COUNT(*) AS exact_hits, TRUE AS enough FROM vec_ranked WHERE rank <= 8"
+
+
+@query("e3_ann_recall", RECALL)
 def e3_recall(t: Inputs) -> DataFrame:
     vectors = t.vec_chunks.select("id", "document_id", "user_id", "embedding")
-    index = search.build_ivf(vectors, 8, max_iter=5)
-    near = search.ann_search(t.vec_questions, index, 8, n_probe=3)
-    return search.recall_at_k(near, search.batch_vector_search(t.vec_questions, vectors, 8, payload=False))
+    lists = pq.lists_for(vectors.count())
+    index = search.build_ivf(vectors, lists, max_iter=5)
+    near = search.ann_search(t.vec_questions, index, 8, n_probe=lists * 3 // 4)
+    return _enough(search.recall_at_k(near, search.batch_vector_search(t.vec_questions, vectors, 8, payload=False)))
+
+
+@query("e3_pq_recall", RECALL)
+def e3_pq(t: Inputs) -> DataFrame:
+    vectors = t.vec_chunks.select("id", "document_id", "user_id", "embedding")
+    index = pq.build_pq(vectors)
+    near = pq.pq_search(t.vec_questions, index, vectors, 8, n_probe=len(index.centroids) * 2 // 5)
+    return _enough(search.recall_at_k(near, search.batch_vector_search(t.vec_questions, vectors, 8, payload=False)))
 
 
 @query(
