@@ -17,7 +17,9 @@ from ledgerloom.operators.grouped import sorted_groups
 
 # Vectors and questions of a bucket that meet in one task.
 BLOCK, ASKED = 4096, 1024
-SIZES = (16, 12, 10, 8, 6, 5, 4, 3, 2, 1)
+SIZES = (28, 24, 20, 16, 12, 10, 8, 6, 5, 4, 3, 2, 1)
+# Questions whose exact answers, from the whole table, the index is fitted to.
+FITTED_TO = 64
 MEMBER, QUESTION = 0, 1
 
 
@@ -34,6 +36,7 @@ class Index:
     width: float
     longest: float
     probes: int
+    recall: float = 0.0
 
     def project(self, vectors: np.ndarray, question: bool) -> np.ndarray:
         """Places of vectors on every line, in widths: (vectors, tables, functions)."""
@@ -104,20 +107,27 @@ def perturbed(cell: np.ndarray, inside: np.ndarray, probes: int) -> np.ndarray:
 
 
 def fit_index(
-    sample: np.ndarray, longest: float, tables: int, probes: int, k: int, target: float, seed: int
+    sample: np.ndarray,
+    asked: np.ndarray,
+    answers: list[np.ndarray],
+    longest: float,
+    tables: int,
+    probes: int,
+    target: float,
+    seed: int,
 ) -> Index:
-    """The most selective index that finds ``target`` of the nearest vectors within the sample.
+    """The most selective index that finds ``target`` of the questions' exact ``answers``.
 
-    Neighbours in a sample are further away than in the whole table, so the recall is a low estimate.
-    If no number of functions reaches the target, a single very wide cell holds everything.
+    The answers come from the whole table, so the recall is that of the table and not of a sample; how
+    many rows a question visits is estimated from the share of ``sample`` in its buckets. The recall
+    found is kept with the index. If no number of functions reaches the target, a single very wide cell
+    holds everything.
     """
     random = np.random.default_rng(seed)
     size = sample.shape[1] + 1
-    asked = sample[: min(len(sample), 200)]
-    products = asked.astype(np.float64) @ sample.T.astype(np.float64)
-    products[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    wanted = np.argsort(-products, axis=1, kind="stable")[:, : min(k, max(len(sample) - 1, 0))]
     unit = max(longest, 1e-30)
+    wanted = sum(map(len, answers))
+    chosen, least = None, np.inf
     for functions in SIZES:
         for factor in (0.5, 1.0, 2.0):
             index = Index(
@@ -127,19 +137,23 @@ def fit_index(
                 longest,
                 probes,
             )
-            if not wanted.size:
+            if not wanted:
                 return index
-            keys, hit = index.keys(sample), 0
-            for i, found in enumerate(index.probe_keys(asked)):
-                hit += np.isin(keys[wanted[i]], found).any(axis=1).sum()
-            if hit >= target * wanted.size:
-                return index
-    return Index(random.standard_normal((1, 1, size)), np.full((1, 1), 1e6 * unit), 1e9 * unit, longest, 0)
-
-
-def as_vectors(column: pa.Array) -> np.ndarray:
+            keys, hit, visited = index.keys(sample), 0, 0
+            for found, near in zip(index.probe_keys(asked), answers, strict=True):
+                hit += np.isin(index.keys(near), found).any(axis=1).sum() if len(near) else 0
+                visited += np.isin(keys, found).any(axis=1).sum()
+            if hit >= target * wanted and visited < least:
+                index.recall = hit / wanted
+                chosen, least = index, visited
+    if chosen is not None:
+        return chosen
+    return Index(random.standard_normal((1, 1, size)), np.full((1, 1), 1e6 * unit), 1e9 * unit, longest, 0, 1.0)
+
+
+def as_vectors(column: pa.Array, kind: str) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype=np.float32).reshape(len(column), -1)
+    return np.frombuffer(raw, dtype=kind).reshape(len(column), -1)
 
 
 def best_products(asked: np.ndarray, vectors: np.ndarray, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -156,7 +170,7 @@ def best_products(asked: np.ndarray, vectors: np.ndarray, keep: int) -> Iterator
         yield i, near[order], exact[order]
 
 
-def meet(keep: int):
+def meet(keep: int, kind: str):
     """Function for :func:`sorted_groups`: members and questions of a block, members first."""
 
     def fn(rows: pa.Table, starts: np.ndarray) -> pa.Table:
@@ -168,8 +182,8 @@ def meet(keep: int):
             middle = start + int(np.searchsorted(kinds[start:stop], QUESTION))
             if middle in (start, stop):
                 continue
-            asked = as_vectors(vectors.slice(middle, stop - middle))
-            own = as_vectors(vectors.slice(start, middle - start))
+            asked = as_vectors(vectors.slice(middle, stop - middle), kind)
+            own = as_vectors(vectors.slice(start, middle - start), kind)
             for i, near, score in best_products(asked, own, keep):
                 questions.append(np.full(len(near), ids[middle + i]))
                 members.append(ids[start + near])
@@ -191,7 +205,7 @@ FOUND = T.StructType(
 )
 
 
-def in_blocks(members: DataFrame, questions: DataFrame, keep: int) -> DataFrame:
+def in_blocks(members: DataFrame, questions: DataFrame, keep: int, kind: str) -> DataFrame:
     """Best pairs of members and questions (key, node, vector) with the same key.
 
     A key with many rows is cut into blocks: its members by their node, its questions by theirs, and
@@ -213,17 +227,17 @@ def in_blocks(members: DataFrame, questions: DataFrame, keep: int) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"),
         F.lit(QUESTION).alias("kind"), "node", "vector",
     )
-    return sorted_groups(own.union(asked), ["key", "row", "col"], ["kind", "node"], meet(keep), FOUND)
+    return sorted_groups(own.union(asked), ["key", "row", "col"], ["kind", "node"], meet(keep, kind), FOUND)
 
 
-def keyed(vectors: DataFrame, index: Index, question: bool) -> DataFrame:
+def keyed(vectors: DataFrame, index: Index, question: bool, kind: str) -> DataFrame:
     """(key, node, vector) for every bucket of every table that a vector is in, or that a question visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                data = as_vectors(part.column(1))
+                data = as_vectors(part.column(1), kind)
                 keys = index.probe_keys(data) if question else index.keys(data)
                 which = pa.array(np.repeat(np.arange(len(data)), [len(k) for k in keys]))
                 yield pa.RecordBatch.from_arrays(
@@ -234,8 +248,8 @@ def keyed(vectors: DataFrame, index: Index, question: bool) -> DataFrame:
     return vectors.select("node", "vector").mapInArrow(run, "key bigint, node bigint, vector binary")
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector bytes, components) of the rows that take part."""
+def usable(df: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    """(id, vector bytes, components, norm) of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +258,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 values = v.values
                 if i is None or values is None or values.null_count or not len(values):
                     continue
-                one = values.to_numpy(zero_copy_only=False).astype(np.float32)
+                one = values.to_numpy(zero_copy_only=False).astype(kind)
                 if np.isfinite(one).all() and one.any():
                     ids.append(i)
                     raw.append(one.tobytes())
@@ -255,7 +269,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 names=["id", "vector", "size", "norm"],
             )
 
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>" if kind == "f4" else "array<double>").alias("v"))
     return source.mapInArrow(run, "id bigint, vector binary, size int, norm double")
 
 
@@ -276,8 +290,9 @@ def nearest(
     Returns query_id, rank (from 1), vec_id and score (double precision, original components),
     nearest first, ties to the smaller id; the row itself is no candidate of its own.
 
-    Hash functions are fitted on at most ``sample_rows`` vectors (documented bound); every vector is
-    put into a bucket of each table. A question visits its own bucket and ``probes`` perturbed ones
+    Hash functions are fitted on at most ``sample_rows`` vectors (documented bound) and to the exact answers
+    of 64 questions from the whole table, so they get more selective as it grows; every vector is put
+    into a bucket of each table. A question visits its own bucket and ``probes`` perturbed ones
     per table, in the order of their estimated success; all candidates get their exact score. Buckets
     are compared in blocks, whatever their size. Equal vectors are one node with the ``k + 1`` smallest
     of their ids, which is all that a result can need, so groups of copies cost nothing. Questions
@@ -287,7 +302,9 @@ def nearest(
     rows without an id or with another number of components than most. Of rows that share an id and a
     vector one counts.
     """
-    rows = written(usable(vectors, id_col, vector_col), "vectors")
+    # Floats stay as they are; components of any other type count as doubles.
+    kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
+    rows = written(usable(vectors, id_col, vector_col, kind), "vectors")
     spark = rows.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     size = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
@@ -307,11 +324,23 @@ def nearest(
     asked = written(asked.join(nodes.select("vector", "node"), "vector").select("id", "node"), "questions")
     questions = written(asked.select("node").distinct().join(nodes, "node").select("node", "vector"), "question-nodes")
     longest = nodes.agg(F.max("norm")).first()[0]
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("vector").collect()
+    order = F.xxhash64("node"), "node"
+    sample = nodes.orderBy(*order).limit(sample_rows).select("vector").toArrow().column(0).combine_chunks()
+    everything = F.lit(0).cast("bigint").alias("key")
+    some = written(questions.orderBy(*order).limit(FITTED_TO).select(everything, "node", "vector"), "fitted-to")
+    near = best(in_blocks(nodes.select(everything, "node", "vector"), some, k + 1, kind), k + 1).where("question <> node")
+    # At most 64 questions with k + 1 answers each.
+    near = near.join(nodes.select("node", "vector"), "node").select("question", "vector").collect()
+    tried = some.select("node", "vector").collect()
+    if not tried:
+        return spark.createDataFrame([], schema)
+    answers = [np.array([np.frombuffer(r["vector"], kind) for r in near if r["question"] == q["node"]]) for q in tried]
     fitted = fit_index(
-        np.array([np.frombuffer(r["vector"], dtype=np.float32) for r in sample]), longest, tables, probes, k, target, seed
-    )
-    met = in_blocks(keyed(nodes, fitted, False), keyed(questions, fitted, True), k + 1)
+        as_vectors(sample, kind),
+        np.array([np.frombuffer(r["vector"], kind) for r in tried]),
+        answers, longest, tables, probes, target, seed,
+    )
+    met = in_blocks(keyed(nodes, fitted, False, kind), keyed(questions, fitted, True, kind), k + 1, kind)
     found = written(best(met.distinct(), k + 1), "found")
     # Exact answers for those that found too few.
     held = nodes.select(F.col("node"), F.size("ids").alias("n"))
@@ -319,7 +348,7 @@ def nearest(
     short = written(questions.join(enough.select(F.col("question").alias("node")), "node", "left_anti"), "short")
     total = nodes.agg(F.sum(F.size("ids"))).first()[0]
     if total > 1 and short.limit(1).count():
-        every = in_blocks(nodes.select(F.lit(0).cast("bigint").alias("key"), "node", "vector"), short.select(F.lit(0).cast("bigint").alias("key"), "node", "vector"), k + 1)
+        every = in_blocks(nodes.select(everything, "node", "vector"), short.select(everything, "node", "vector"), k + 1, kind)
         found = best(found.join(short.select(F.col("node").alias("question")), "question", "left_anti").union(every), k + 1)
     # From nodes to ids: k + 1 per question node are enough, as a question leaves out itself only.
     ids = found.join(nodes.select("node", "ids"), "node").select("question", "score", F.explode("ids").alias("vec_id"))
