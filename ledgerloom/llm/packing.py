@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from struct import pack as pack_ids
@@ -12,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import per_worker, text_slices
-from ledgerloom.llm.tokenizer import PerChunk, byte_signs, load, plain_chunks, read_tokenizer
-
+from ledgerloom.llm.tokenizer import PerChunk, byte_signs, load, plain_chunks, read_tokenizer, splits_here
 
 
 def pieces_of(total: int, longest: int) -> list[tuple[int, int]]:
@@ -31,11 +31,12 @@ def pieces_of(total: int, longest: int) -> list[tuple[int, int]]:
 class TextIds:
     """Token ids of whole texts as little-endian 32-bit bytes, exactly as the tokenizer library gives them.
 
-    The tokenizer treats every word on its own, so ids are kept per distinct chunk of text.
+    Where the file's rules for words are known, ids are kept per distinct chunk of text, as every word
+    stands on its own; any other file is left to the library.
     """
 
     def __init__(self, content: str):
-        self.tokenizer = load(content)
+        self.tokenizer, self.fast = load(content), splits_here(json.loads(content))
         self.tokenize = self.tokenizer.model.tokenize
         self.signs = byte_signs()
         self.chunks = PerChunk(self.of_word, b"".join)
@@ -50,7 +51,7 @@ class TextIds:
         return pack_ids(f"<{len(ids)}I", *ids)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        chunks = map(plain_chunks, texts)
+        chunks = map(plain_chunks, texts) if self.fast else [None] * len(texts)
         return [self.whole(t) if c is None else self.chunks.of(c) for t, c in zip(texts, chunks, strict=True)]
 
 

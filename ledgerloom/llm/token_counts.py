@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import per_worker, text_slices
-from ledgerloom.llm.tokenizer import PerChunk, byte_signs, load, plain_chunks, read_tokenizer
+from ledgerloom.llm.tokenizer import PerChunk, byte_signs, load, merges_here, plain_chunks, read_tokenizer, splits_here
 
 
 PAIR_BITS = 20
@@ -65,18 +65,26 @@ def merges_made(symbols: list[int], ranks: dict[int, int], results: list[int]) -
 
 
 class TextCounts:
-    """Counts tokens of whole texts under a byte-level BPE file with word ends."""
+    """Counts tokens of whole texts under a byte-level BPE file, with word ends or without.
+
+    The file's own normalizer and pre-tokenizer give the words, or rules here where they are known to be
+    the same. A file whose words are not merged from bytes by rank alone is counted by the library.
+    """
 
     def __init__(self, content: str):
         spec = json.loads(content)
+        self.tokenizer = tokenizer = load(content)
+        self.merges, self.fast = merges_here(spec), splits_here(spec)
+        if not self.merges:
+            return
         model = spec["model"]
         vocabulary = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {vocabulary[a] << PAIR_BITS | vocabulary[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.results = [vocabulary[a + b] for a, b in pairs]
         suffix = model["end_of_word_suffix"] or ""
-        tokenizer = load(content)
-        self.normalize, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.specials = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         # The sign that stands for each byte, first within a word and then at its end.
         signs = byte_signs()
@@ -97,7 +105,9 @@ class TextCounts:
         return len(specials) + sum(self.count_word(bytes(self.signs[c] for c in p)) for p in pieces)
 
     def of(self, texts: list[str]) -> list[int]:
-        chunks = map(plain_chunks, texts)
+        if not self.merges:
+            return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        chunks = map(plain_chunks, texts) if self.fast else [None] * len(texts)
         return [self.count_any(t) if c is None else self.chunks.of(c) for t, c in zip(texts, chunks, strict=True)]
 
 

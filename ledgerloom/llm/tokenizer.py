@@ -11,7 +11,21 @@ from collections.abc import Callable
 PLAIN = re.compile("[\x00-\x1b -~À-ÖØ-öø-ÿĀ-įĲ-ſ]*")
 # The pre-tokenizer of word_bpe_49k.json on a white-space-free part of such a text in lower case (a fixed value).
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿßā-ſ]+|[0-9]|[^a-zà-öø-ÿßā-ſ0-9]+")
-CACHE_ENTRIES = 800_000
+# What word_bpe_49k.json does to a text before its words are merged (fixed values).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+# Distinct chunks and words that a worker keeps, some 30 MB.
+CACHE_ENTRIES = 150_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -30,6 +44,30 @@ def load(content: str):
     return tokenizer
 
 
+def bare_specials(spec: dict) -> bool:
+    """Whether special strings are found in a text as they stand, before anything else is done to it."""
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    return not any(t.get(f) for t in spec["added_tokens"] for f in flags)
+
+
+def splits_here(spec: dict) -> bool:
+    """Whether :func:`plain_chunks` and ``WORDS`` give the words of this tokenizer file."""
+    known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+    return known and bare_specials(spec) and all("<|" in t["content"] for t in spec["added_tokens"])
+
+
+def merges_here(spec: dict) -> bool:
+    """Whether the file's words are merged from single bytes by rank alone."""
+    model, last = spec["model"], spec["pre_tokenizer"] or {}
+    last = last["pretokenizers"][-1] if last.get("type") == "Sequence" else last
+    bytes_only = last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and bare_specials(spec)
+    options = ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback")
+    if not bytes_only or model.get("type") != "BPE" or any(model.get(o) for o in options):
+        return False
+    suffix = model.get("end_of_word_suffix") or ""
+    return all(sign in model["vocab"] and sign + suffix in model["vocab"] for sign in byte_signs())
+
+
 def plain_chunks(text: str) -> list[str] | None:
     """The white-space-separated chunks of a text that needs no library rules; ``None`` for all other texts."""
     return text.lower().split() if "<|" not in text and PLAIN.fullmatch(text) else None
