@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_slices
+from ledgerloom.llm.common import least_hashes, text_slices, with_judgement
 
 # First code points of scripts and their names, in order (fixed values, from the Unicode charts).
 SCRIPT_STARTS = (
@@ -29,8 +29,9 @@ SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 FEATURES = 1 << 15
 EDGE = 1
 # Padded cells that one pass of the labelling holds.
-CELLS = 16_000_000
-WORDS_KEPT = 600_000
+CELLS = 2_000_000
+# Distinct words whose scores are kept, some 20 MB.
+WORDS_KEPT = 100_000
 NO_WAY = np.float32(-50.0)
 
 
@@ -164,25 +165,33 @@ def label_words(codes: list[np.ndarray], table: np.ndarray, penalty: float) -> l
 
 
 def fit_languages(
-    docs: DataFrame, train: F.Column, sample_docs: int = 2000, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame,
+    train: F.Column,
+    sample_docs: int = 2000,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    most_languages: int = 256,
 ) -> LanguageModel:
     """Learn a model from the rows for which ``train`` holds and the language is known.
 
-    Of each language about ``sample_docs`` rows are used, chosen by a hash of the text (the documented
-    bound of the sample); whole texts count. Tasks count features of fixed number, which Spark sums.
+    Of each language at most ``sample_docs`` distinct texts are used, those with the least hash, and the
+    ``most_languages`` most frequent languages (the documented bounds of the sample); whole texts count.
+    Tasks count features of fixed number, which Spark sums.
     """
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(totals)
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    languages = sorted(r["lang"] for r in frequent.collect())
     counts = np.zeros((len(languages), FEATURES))
     scripts = np.zeros((len(languages), len(SCRIPTS)))
     if not languages:
         return LanguageModel(languages, counts, scripts)
-    scale = 1 << 20
-    share = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(int(scale * sample_docs / totals[name])))))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(scale)) <= share[F.col("lang")])
+    marked = known.withColumn("mark", F.xxhash64("text"))
+    chosen = least_hashes(marked.select("lang", "mark").distinct(), "lang", dict.fromkeys(languages, sample_docs))
+    # At most ``sample_docs`` rows per language are broadcast.
+    sample = marked.join(F.broadcast(chosen), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    sample = sample.select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -234,58 +243,59 @@ def identify(
     each candidate scores the word by its letter runs; Viterbi over the words of a text, with
     ``penalty`` for a change of language, labels spans (lang, first word, words). ``lang_pred`` is the
     label that covers most letters, ``score`` its share of the letters. Letters of a script that no
-    language of the model uses count for no label, so they lower the score.
+    language of the model uses count for no label, so they lower the score; a text of nothing else gets
+    the first language by name, with score 0.
 
     A narrow pass; the model that tasks get has a fixed number of features per language. A text that
-    is null or has no letter of a script in use, or a model without languages, gives ``und`` with
-    score 0; ties go to the first language by name. Columns in ``keep`` are carried along; others are ignored.
+    is null or has no letter, or a model without languages, gives ``und`` with score 0; ties go to
+    the first language by name. Columns in ``keep`` are carried along; others are ignored.
     """
     names = model.languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model
-        words, table, letters = Words(), np.zeros((0, len(names)), np.float32), np.zeros(0, np.int64)
-        usable = letters
-        for batch in batches:
+    def make():
+        words, table, letters, usable = Words(), np.zeros((0, len(names)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def judge(texts: list[str | None]) -> list[pa.Array]:
+            nonlocal words, table, letters, usable
             if len(words) > WORDS_KEPT:
                 words, table, letters, usable = Words(), table[:0], letters[:0], usable[:0]
             codes: list[np.ndarray] = []
-            for rows in text_slices(batch, 0):
-                for text in rows.column(0).to_pylist():
-                    found = text.lower().split() if text and names else []
-                    codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
-                if words.fresh:
-                    more, sizes, in_use = known.score(words.fresh)
-                    table, letters = np.concatenate([table, more]), np.concatenate([letters, sizes])
-                    usable = np.concatenate([usable, in_use])
-                    words.fresh = []
-            labels = label_words(codes, table, penalty)
+            for text in texts:
+                found = text.lower().split() if text and names else []
+                codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
+            if words.fresh:
+                more, sizes, in_use = model.score(words.fresh)
+                table, letters = np.concatenate([table, more]), np.concatenate([letters, sizes])
+                usable = np.concatenate([usable, in_use])
+                words.fresh = []
             pred, score, spans = [], [], []
-            for c, path in zip(codes, labels, strict=True):
-                weight = np.bincount(path, weights=usable[c], minlength=len(names)) if len(c) else np.zeros(1)
+            for c, path in zip(codes, label_words(codes, table, penalty), strict=True):
+                total = int(letters[c].sum())
+                if not total:
+                    pred.append("und")
+                    score.append(0.0)
+                    spans.append([])
+                    continue
+                weight = np.bincount(path, weights=usable[c], minlength=len(names))
                 best = int(weight.argmax())
-                labelled = weight[best] > 0
-                pred.append(names[best] if labelled else "und")
-                score.append(float(weight[best] / letters[c].sum()) if labelled else 0.0)
+                pred.append(names[best])
+                score.append(float(weight[best] / total))
                 if with_spans:
-                    starts = np.flatnonzero(np.diff(path, prepend=-1)) if labelled else []
+                    starts = np.flatnonzero(np.diff(path, prepend=-1))
                     ends = [*starts[1:], len(path)]
                     spans.append(
-                        [{"lang": names[path[a]], "first": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=False)]
+                        [{"lang": names[path[a]], "first": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=True)]
                     )
-            columns = [*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            if with_spans:
-                columns.append(pa.array(spans, SPANS))
-            yield pa.RecordBatch.from_arrays(columns, names=out_names)
-
-    carried = [id_col, *keep]
-    kinds = dict(docs.dtypes)
-    out_names = [*(f"c{i}" for i in range(len(carried))), "lang_pred", "score", *(["spans"] if with_spans else [])]
-    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carried)), "lang_pred string, score double"])
+            columns = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            return [*columns, pa.array(spans, SPANS)] if with_spans else columns
+
+        return judge
+
+    added = {"lang_pred": "string", "score": "double"}
     if with_spans:
-        schema += ", spans array<struct<lang: string, first: bigint, words: bigint>>"
-    source = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})
+        added["spans"] = "array<struct<lang: string, first: bigint, words: bigint>>"
+    # Texts are labelled together, so a slice holds many of them; what it costs is bounded by bytes and cells.
+    return with_judgement(docs, id_col, text_col, keep, added, make, slice_rows=4096)
 
 
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_slices
+from ledgerloom.llm.common import labelled_sample, text_slices, with_judgement
 
 # Features of a text: shapes of its words, the words themselves, and how it repeats itself.
 SHAPES, WORDS, REPEATS = 384, 512, 24
 FEATURES = SHAPES + WORDS + REPEATS
-CHUNKS_KEPT = 600_000
+# Distinct chunks whose features are kept, some 40 MB.
+CHUNKS_KEPT = 250_000
 # Rows of a block of cosine products.
-BLOCK = 2048
+BLOCK = 256
 DIGITS = re.compile(r"\d+")
 LOWER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
@@ -39,12 +41,12 @@ class Chunks(dict):
 
     def __init__(self):
         super().__init__()
-        self.pairs: list[int] = []
+        self.pairs = array("H")
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
         letters = "".join(filter(str.isalpha, chunk)).lower()
-        self.pairs += (bucket(shape(chunk), SHAPES), SHAPES + bucket(letters, WORDS))
+        self.pairs.extend((bucket(shape(chunk), SHAPES), SHAPES + bucket(letters, WORDS)))
         return number
 
 
@@ -58,7 +60,7 @@ class Featurizer:
             self.chunks = Chunks()
         get = self.chunks.__getitem__
         codes = [np.array(list(map(get, (t or "").split())), dtype=np.int64) for t in texts]
-        pairs = np.array(self.chunks.pairs, dtype=np.int64).reshape(-1, 2)
+        pairs = np.frombuffer(self.chunks.pairs, dtype=np.uint16).reshape(-1, 2)
         out = np.zeros((len(texts), FEATURES), dtype=np.float32)
         for i, c in enumerate(codes):
             n = len(c)
@@ -108,7 +110,7 @@ class QualityModel:
         for at in range(0, len(features), BLOCK):
             latent = self.latent(features[at : at + BLOCK])
             cosine = latent @ self.vectors.T
-            near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
+            near = np.argpartition(cosine, cosine.shape[1] - self.neighbours, axis=1)[:, -self.neighbours :]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
             total = weight.sum(axis=1)
             votes = (weight * self.labels[near]).sum(axis=1)
@@ -128,28 +130,20 @@ def fit_quality(
     text_col: str = "text",
     label_col: str = "quality",
 ) -> QualityModel:
-    """Learn from at most ``sample_rows`` labelled rows (a documented bound), chosen by a hash of the id.
+    """Learn from at most ``sample_rows`` distinct labelled texts (a documented bound), chosen by a hash of the text.
 
     ``train`` is a condition on the label table's id. Labels other than 0 and 1, and null ids, are left out.
     """
-    chosen = (
-        labels.where(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc"), "doc", "label")
-        .limit(sample_rows)
-    )
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = labelled_sample(docs, labels, train, sample_rows, id_col, text_col, label_col).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
         for batch in batches:
-            for rows in text_slices(batch, 1):
-                values = [v.tobytes() for v in featurizer.of(rows.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(values, pa.binary())], names=["label", "features"])
+            for part in text_slices(batch, 1):
+                values = [v.tobytes() for v in featurizer.of(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.binary())], names=["label", "features"])
 
-    # At most ``sample_rows`` pairs of an id and a label are sent to the tasks.
-    found = texts.join(F.broadcast(chosen), "doc").select("label", "text").mapInArrow(run, "label int, features binary")
-    got = sorted((r["features"], r["label"]) for r in found.limit(2 * sample_rows).collect())
+    got = sorted((r["features"], r["label"]) for r in rows.mapInArrow(run, "label int, features binary").collect())
     features = np.array([np.frombuffer(f, dtype=np.float32) for f, _ in got], dtype=np.float32).reshape(-1, FEATURES)
     return QualityModel(features, np.array([y for _, y in got], dtype=np.int64), dimensions, neighbours)
 
@@ -166,18 +160,13 @@ def score_quality(
     label 1 in the sample (0.5 without any). Columns in ``keep`` are carried along.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         featurizer = Featurizer()
-        for batch in batches:
-            for rows in text_slices(batch, 0):
-                score = model.score(featurizer.of(rows.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out_names
-                )
-
-    carried = [id_col, *keep]
-    kinds = dict(docs.dtypes)
-    out_names = [*(f"c{i}" for i in range(len(carried))), "score", "predicted"]
-    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carried)), "score double, predicted int"])
-    source = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})
+
+        def judge(texts: list[str | None]) -> list[pa.Array]:
+            score = model.score(featurizer.of(texts))
+            return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+
+        return judge
+
+    return with_judgement(docs, id_col, text_col, keep, {"score": "double", "predicted": "int"}, make)

@@ -130,14 +130,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit_languages(docs, fold(4) != 2)
     found = language.identify(docs, model, with_spans=False)
-    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
-    return quality.score_quality(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return quality.score_quality(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 WORDS = rf"regexp_extract_all({LOWER_LATIN}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

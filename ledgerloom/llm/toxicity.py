@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import labelled_sample
+from ledgerloom.llm.common import labelled_sample, with_judgement
 
 # Windows of eight words begin at every second word; a word without spaces is cut into pieces of this many bytes.
 WINDOW, STRIDE = 8, 2
@@ -194,17 +194,11 @@ def score_toxicity(
     of label 1 in the sample, or 0.49 if that is less. Columns in ``keep`` are carried along.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0)
-            score = np.array([model.score(texts[i].as_py()) for i in range(batch.num_rows)], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out_names
-            )
-
-    carried = [id_col, *keep]
-    kinds = dict(docs.dtypes)
-    out_names = [*(f"c{i}" for i in range(len(carried))), "score", "predicted"]
-    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carried)), "score double, predicted int"])
-    source = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})
+    def make():
+        def judge(texts: list[str | None]) -> list[pa.Array]:
+            score = np.array([model.score(t) for t in texts], dtype=np.float64)
+            return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+
+        return judge
+
+    return with_judgement(docs, id_col, text_col, keep, {"score": "double", "predicted": "int"}, make)
