@@ -300,8 +300,9 @@ class Inputs:
         return self.as_usage(self.table("events"))
 
     @staticmethod
-    def as_usage(events: DataFrame) -> DataFrame:
+    def as_usage(events: DataFrame, *keep: str) -> DataFrame:
         return events.selectExpr(
+            *keep,
             "event_id as id",
             "concat('u', user_id) as user_id",
             "case when event_type in ('view', 'click') then 'embedding' else 'llm' end as kind",
@@ -328,9 +329,10 @@ class Inputs:
         return self.as_stages(self.table("events"))
 
     @staticmethod
-    def as_stages(events: DataFrame) -> DataFrame:
+    def as_stages(events: DataFrame, *keep: str) -> DataFrame:
         k = "cast(get_json_object(props, '$.k') as int)"
         return events.selectExpr(
+            *keep,
             "event_id",
             "concat('d', user_id) as document_id",
             "ts",

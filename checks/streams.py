@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ def _stream(t: Inputs, name: str) -> DataFrame:
     return session.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
 
 
+def _closed_stream(t: Inputs, days: int, files: int) -> DataFrame:
+    """All events, dealt to files by chance and read file by file, and a closing row so many days after the last."""
+    arriving = shared_dir(t.spark, "events")
+    events = t.table("events")
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(arriving)
+    last = events.agg(F.max("ts")).first()[0]
+    streaming.write_closing(t.spark, arriving, SCHEMAS["events"], "ts", last + dt.timedelta(days=days))
+    session = streaming.stream_session(t.spark)
+    stream = session.readStream.schema(streaming.closable(SCHEMAS["events"]))
+    return (stream.option("maxFilesPerTrigger", 2) if files > 1 else stream).parquet(arriving)
+
+
 @query(
     "i1_stream_ingest",
     """SELECT id AS document_id, user_id, company, words FROM (
@@ -48,11 +62,10 @@ def i1(t: Inputs) -> DataFrame:
 @query(
     "i2_stream_usage",
     """SELECT epoch_us(date_trunc('day', created_at)) AS day_us, user_id, COUNT(*) AS calls, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in, CAST(SUM(tokens_out) AS BIGINT) AS tokens_out,
-      round(CAST(SUM(cost_estimate) AS DOUBLE), 6) AS cost FROM usage_log
-    WHERE date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT MAX(created_at) - INTERVAL 1 HOUR FROM usage_log) GROUP BY 1, 2""",
+      round(CAST(SUM(cost_estimate) AS DOUBLE), 6) AS cost FROM usage_log GROUP BY 1, 2""",
 )
 def i2(t: Inputs) -> DataFrame:
-    totals = streaming.stream_usage(Inputs.as_usage(_stream(t, "events")))
+    totals = streaming.stream_usage(Inputs.as_usage(_closed_stream(t, 3, 1), "_closing"))
     rows = t.spark.read.parquet(streaming.run_available(totals, "usage"))
     return rows.select(
         F.unix_micros("window_start").alias("day_us"), "user_id", "calls", "tokens_in", "tokens_out",
@@ -69,8 +82,9 @@ def i2(t: Inputs) -> DataFrame:
     SELECT event_id, user_id, epoch_us(start) AS start_us, CAST(c AS BIGINT) AS count, c <= 3 AS allowed FROM r""",
 )
 def i3(t: Inputs) -> DataFrame:
-    requests = _stream(t, "events").select("event_id", "user_id", "ts")
-    limited = streaming.stream_rate_limit(requests, "user_id", ttl_s=86_400, limit=3)
+    # Shuffled over many files, so requests wait as long as any may still come before them.
+    requests = _closed_stream(t, 500, 5).select("event_id", "user_id", "ts", "_closing")
+    limited = streaming.stream_rate_limit(requests, "user_id", ttl_s=86_400, limit=3, watermark="400 days")
     rows = t.spark.read.parquet(streaming.run_available(limited, "limits"))
     return rows.select("event_id", "user_id", F.unix_micros("window_start").alias("start_us"), "count", "allowed")
 
@@ -91,6 +105,26 @@ def i4(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "i4_stream_stalled",
+    """WITH l AS (SELECT *, lag(stage) OVER w AS before, lag(status) OVER w AS status_before, lag(ts) OVER w AS heard, lead(ts) OVER w AS after FROM stage_log WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)),
+    c AS (SELECT *, CASE WHEN status_before NOT IN ('ready', 'failed') AND epoch_us(ts) - epoch_us(heard) <= 172800000000 THEN before END AS previous_stage FROM l),
+    m AS (SELECT *, previous_stage IS NULL OR stage <> previous_stage OR status IN ('ready', 'failed') AS changes FROM c),
+    k AS (SELECT *, max(CASE WHEN changes THEN ts END) OVER (PARTITION BY document_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM m),
+    p AS (SELECT *, lag(since) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS since_before FROM k)
+    SELECT document_id, event_id, stage, status, previous_stage, CASE WHEN previous_stage IS NOT NULL THEN round((epoch_us(ts) - epoch_us(since_before)) / 1e6, 3) END AS previous_seconds FROM p WHERE changes
+    UNION ALL SELECT document_id, NULL, stage, 'stalled', stage, round((epoch_us(ts) + 172800000000 - epoch_us(since)) / 1e6, 3) FROM p
+    WHERE status NOT IN ('ready', 'failed') AND (after IS NULL OR epoch_us(after) - epoch_us(ts) > 172800000000)""",
+)
+def i4_stalled(t: Inputs) -> DataFrame:
+    events = Inputs.as_stages(_closed_stream(t, 10, 1), "_closing")
+    changes = streaming.stream_progress(events, expire_s=172_800)
+    rows = t.spark.read.parquet(streaming.run_available(changes, "stalled", "update"))
+    return rows.select(
+        "document_id", "event_id", "stage", "status", "previous_stage", F.round("previous_seconds", 3).alias("previous_seconds")
+    )
+
+
 @query("i5_stream_dedupe_jobs", "SELECT DISTINCT 'job ' || CAST(user_id AS VARCHAR) || event_type AS job_id FROM events")
 def i5(t: Inputs) -> DataFrame:
     jobs = _stream(t, "events").selectExpr("concat('job ', user_id, event_type) as job_id", "ts", "event_id")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.streaming.runner import watermarked
+
 
 def stream_usage(usage: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Calls, tokens and cost per user and tumbling window; emitted once the watermark closes a window.
 
-    Rows later than the watermark are dropped.
+    Rows later than the watermark are dropped and counted (:func:`late_rows`). The last windows come out when the
+    stream is closed (:func:`write_closing`).
     """
     return (
-        usage.withWatermark("created_at", watermark)
+        watermarked(usage, "created_at", watermark)
         .groupBy(F.window("created_at", window), "user_id")
         .agg(
             F.count(F.lit(1)).alias("calls"),

@@ -2,127 +2,235 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators.limits import NO_WINDOW, count_windows
+from ledgerloom.streaming.runner import watermarked
 
+# Rows that leave a buffer at a time.
+RELEASED = 10_000
+STALLED = "stalled"
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
-def _micros(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64")
 
+def _as_texts(df: DataFrame) -> DataFrame:
+    """Whole numbers as texts, so that nulls among them reach Python and come back unchanged."""
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    return df.select(*[F.col(f.name).cast("string") if isinstance(f.dataType, whole) else F.col(f.name) for f in df.schema.fields])
 
-class _WindowCounter(StatefulProcessor):
-    """State: start of the open window in microseconds, and how many requests it has seen."""
 
-    def __init__(self, ttl_s: int, limit: int, columns: list[str], tie: str):
-        self.ttl, self.limit, self.columns, self.tie = ttl_s * 1_000_000, limit, columns, tie
+def _like(df: DataFrame, schema: T.StructType) -> DataFrame:
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+
+
+def _plain(batch: pd.DataFrame) -> Iterator[tuple]:
+    """Rows of a batch as tuples, missing values as None."""
+    columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in batch.columns]
+    return zip(*[[v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in c] for c in columns])
+
+
+class _Buffered(StatefulProcessor):
+    """Rows wait in a list until the watermark passes them; a timer on the earliest one lets them out in order."""
+
+    def __init__(self, rows: T.StructType, time: str):
+        self.fields, self.at = rows, rows.names.index(time)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start bigint, count bigint")
+        self.waiting = handle.getListState("waiting", self.fields)
+
+    def _micros(self, row: tuple) -> int:
+        at = row[self.at]
+        return (at.replace(tzinfo=at.tzinfo or dt.timezone.utc) - EPOCH) // dt.timedelta(microseconds=1)
+
+    def _wake(self, at_ms: int) -> None:
+        """One timer per key, the earlier one."""
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > at_ms:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch["_us"] = _micros(batch["ts"])
-        batch = batch.sort_values(["_us", self.tie])
+        for batch in rows:
+            taken = list(_plain(batch))
+            self.waiting.appendList(taken)
+            self._wake(min(map(self._micros, taken)) // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # No row at or before the watermark can come any more.
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [(self._micros(r), r) for r in self.waiting.get()]
+        due = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], self.tied(r[1])))
+        later = [r for t, r in held if t > passed]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(map(self._micros, later)) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        for i in range(0, len(due), RELEASED):
+            yield self.release(due[i : i + RELEASED])
+        self.rest(passed, bool(later))
+
+    def close(self) -> None:
+        pass
+
+
+class _WindowCounter(_Buffered):
+    """State besides the buffer: start of the open window in microseconds, and how many requests it has seen."""
+
+    def __init__(self, ttl_s: int, limit: int, rows: T.StructType, tie: str, numeric: bool):
+        super().__init__(rows, "ts")
+        self.ttl, self.limit, self.tie, self.numeric = ttl_s * 1_000_000, limit, rows.names.index(tie), numeric
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "start bigint, count bigint")
+
+    def tied(self, row: tuple) -> tuple:
+        value = row[self.tie]
+        return (value is not None, 0 if value is None else int(value) if self.numeric else value)
+
+    def release(self, due: list[tuple[int, tuple]]) -> pd.DataFrame:
         held = self.open.get()
         start, count = held if held is not None else (NO_WINDOW, 0)
-        starts, counts = count_windows(batch["_us"].to_numpy(), start, count, self.ttl)
+        starts, counts = count_windows(np.array([t for t, _ in due], dtype=np.int64), start, count, self.ttl)
         self.open.update((int(starts[-1]), int(counts[-1])))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((int(starts[-1]) + self.ttl) // 1000 + 1)
-        out = batch[self.columns].copy()
+        out = pd.DataFrame([r for _, r in due], columns=self.fields.names, dtype=object)
+        out["ts"] = pd.to_datetime(pd.Series([t for t, _ in due], index=out.index), unit="us")
         out["window_start"] = pd.to_datetime(pd.Series(starts, index=out.index), unit="us")
         out["count"] = counts
         out["allowed"] = out["count"] <= self.limit
-        yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.open.clear()
-        return iter([])
+        return out
 
-    def close(self) -> None:
-        pass
+    def rest(self, passed: int, waiting: bool) -> None:
+        held = self.open.get()
+        if held is None:
+            return
+        if int(held[0]) + self.ttl <= passed:
+            self.open.clear()
+        elif not waiting:
+            self.handle.registerTimer((int(held[0]) + self.ttl) // 1000 + 1)
 
 
 def stream_rate_limit(
     requests: DataFrame, key: str, ttl_s: int, limit: int, watermark: str = "10 minutes", tie: str = "event_id"
 ) -> DataFrame:
-    """``fixed_window`` on a stream: adds window_start, count, allowed.
+    """``fixed_window`` on a stream: adds window_start, count, allowed, once the watermark has passed a request.
 
-    Two numbers of state per key, removed once the watermark passes the window's end. Within a
-    batch rows are taken in event-time order. A row that arrives in a later batch than rows after
-    it is counted on arrival; earlier decisions are not changed. Columns must not hold null integers.
+    Requests wait until the watermark passes them and are then decided in order of time and ``tie``, so decisions do not
+    depend on how requests were dealt to files and batches. Later ones are dropped and counted (:func:`late_rows`); those
+    of the last moments come out when the stream is closed (:func:`write_closing`). A key's state is the requests of
+    one watermark delay and two numbers; it is gone once the watermark passes the end of its window.
     """
+    plain = watermarked(requests, "ts", watermark)
+    texts = _as_texts(plain)
     schema = T.StructType(
         [
-            *requests.schema.fields,
+            *texts.schema.fields,
             T.StructField("window_start", T.TimestampType()),
             T.StructField("count", T.LongType()),
             T.StructField("allowed", T.BooleanType()),
         ]
     )
-    processor = _WindowCounter(ttl_s, limit, requests.columns, tie)
-    return (
-        requests.withWatermark("ts", watermark)
-        .groupBy(key)
-        .transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
-    )
+    numeric = isinstance(plain.schema[tie].dataType, T.IntegralType)
+    processor = _WindowCounter(ttl_s, limit, texts.schema, tie, numeric)
+    decided = texts.groupBy(key).transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
+    return _like(decided, plain.schema)
 
 
 class _Progress(StatefulProcessor):
-    """State: the stage a document is in and since when (microseconds)."""
+    """State: the stage a document is in, since when, and when it was last heard of (microseconds)."""
 
-    def __init__(self, terminal: tuple[str, ...]):
-        self.terminal = terminal
+    def __init__(self, terminal: tuple[str, ...], expiry_us: int | None):
+        self.terminal, self.expiry = terminal, expiry_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "stage string, since bigint")
+        self.handle = handle
+        self.current = handle.getValueState("current", "stage string, since bigint, heard bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        times = _micros(batch["ts"])
-        batch = batch.assign(_us=times).sort_values(["_us", "event_id"])
+        batch = batch.assign(_us=batch["ts"].astype("datetime64[us]").astype("int64")).sort_values(["_us", "event_id"])
         held = self.current.get()
-        stage, since = held if held is not None else (None, None)
-        changes = []
+        stage, since, heard = held if held is not None else (None, None, None)
+        changes: list[tuple] = []
         for event_id, at, new, status in zip(batch["event_id"], batch["_us"], batch["stage"], batch["status"]):
+            if stage is not None and self.expiry is not None and int(at) - heard > self.expiry:
+                changes.append(self._stalled(key, stage, since, heard))
+                stage, since = None, None
             ended = status in self.terminal
             if new != stage or ended:
                 seconds = None if since is None else (int(at) - since) / 1e6
-                changes.append((key[0], event_id, pd.Timestamp(int(at), unit="us"), new, status, stage, seconds))
+                changes.append((key[0], str(event_id), pd.Timestamp(int(at), unit="us"), new, status, stage, seconds))
                 stage, since = new, int(at)
+            heard = int(at)
             if ended:
                 stage, since = None, None
+        if self.expiry is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if stage is None:
             self.current.clear()
         else:
-            self.current.update((stage, since))
+            self.current.update((stage, since, heard))
+            if self.expiry is not None:
+                self.handle.registerTimer((heard + self.expiry) // 1000 + 1)
+        yield self._frame(changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.current.get()
+        if held is None:
+            return iter([])
+        self.current.clear()
+        return iter([self._frame([self._stalled(key, *held)])])
+
+    def _stalled(self, key, stage: str, since: int, heard: int) -> tuple:
+        at = heard + self.expiry
+        return (key[0], None, pd.Timestamp(at, unit="us"), stage, STALLED, stage, (at - since) / 1e6)
+
+    @staticmethod
+    def _frame(changes: list[tuple]) -> pd.DataFrame:
         names = ["document_id", "event_id", "ts", "stage", "status", "previous_stage", "previous_seconds"]
         out = pd.DataFrame(changes, columns=names)
+        out["event_id"] = out["event_id"].astype(object)
+        out["ts"] = pd.to_datetime(out["ts"])
         out["previous_seconds"] = out["previous_seconds"].astype("float64")
-        yield out
+        return out
 
     def close(self) -> None:
         pass
 
 
-def stream_progress(stage_events: DataFrame, terminal: tuple[str, ...] = ("ready", "failed")) -> DataFrame:
+def stream_progress(
+    stage_events: DataFrame,
+    terminal: tuple[str, ...] = ("ready", "failed"),
+    expire_s: int | None = None,
+    watermark: str = "1 hour",
+) -> DataFrame:
     """One row whenever a document enters another stage, with the time it spent in the one before.
 
-    A terminal status always gives a row and forgets the document; its next event starts afresh.
+    A terminal status always gives a row and forgets the document; its next event starts afresh. With
+    ``expire_s`` a document without an event for longer than that gives a row with status ``stalled`` (no event id, at the
+    moment it expired) and is forgotten too, when its next event comes or the watermark passes that moment, so
+    no document is kept for ever.
     """
-    fields = stage_events.schema
+    plain = stage_events if expire_s is None else watermarked(stage_events, "ts", watermark)
+    fields = plain.schema
     schema = T.StructType(
         [
             T.StructField("document_id", fields["document_id"].dataType),
-            T.StructField("event_id", fields["event_id"].dataType),
+            T.StructField("event_id", T.StringType()),
             T.StructField("ts", T.TimestampType()),
             T.StructField("stage", T.StringType()),
             T.StructField("status", T.StringType()),
@@ -130,6 +238,9 @@ def stream_progress(stage_events: DataFrame, terminal: tuple[str, ...] = ("ready
             T.StructField("previous_seconds", T.DoubleType()),
         ]
     )
-    return stage_events.groupBy("document_id").transformWithStateInPandas(
-        _Progress(terminal), schema, outputMode="Update", timeMode="None"
+    # Events are put in order by their own kind of id, which leaves as text because a stalled row has none.
+    processor = _Progress(terminal, None if expire_s is None else expire_s * 1_000_000)
+    processor_rows = plain.groupBy("document_id").transformWithStateInPandas(
+        processor, schema, outputMode="Update", timeMode="None" if expire_s is None else "EventTime"
     )
+    return _like(processor_rows, T.StructType([fields["event_id"]]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerloom import streaming
@@ -11,12 +13,15 @@ from ledgerloom.operators.usage import usage_summary
 from ledgerloom.session import shared_dir
 
 
-def feed(spark, schema, *batches):
-    """A stream that reads one file per batch, in order."""
+def feed(spark, schema, *batches, closed=None):
+    """A stream that reads one file per batch, in order; ``closed`` is the column and time of a closing row."""
     src = shared_dir(spark, "feed")
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
     session = streaming.stream_session(spark)
+    if closed:
+        streaming.write_closing(spark, src, schema, *closed)
+        schema = streaming.closable(schema)
     return session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
@@ -35,15 +40,48 @@ def test_usage_windows_and_late_rows(spark, at):
     assert {(r["user_id"], r["calls"], r["tokens_in"]) for r in batch.collect()} == {(u, *v) for (_, u), v in got.items()}
 
 
+def test_closing_brings_out_every_window(spark, at):
+    schema = "created_at timestamp, user_id string, tokens_in int, tokens_out int, cost_estimate double"
+    rows = [(at(10), "a", 1, 0, 0.5), (at(150_000), None, 2, 0, 0.5)]
+    stream = feed(spark, schema, rows, [(at(50_000), "a", 7, 0, 0.5)], [(at(5), "late", 9, 0, 0.5)], closed=("created_at", at(400_000)))
+    out = streaming.run_available(streaming.stream_usage(stream, watermark="4 hours"), "usage")
+    got = {(r["window_start"], r["user_id"]): (r["calls"], r["tokens_in"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(at(0), "a"): (2, 8), (at(86_400), None): (1, 2)}
+    counts = streaming.late_rows(spark, out).agg(F.sum("late"), F.max_by("state_rows", "batch_id")).first()
+    assert tuple(counts) == (1, 0)
+
+
 def test_rate_limit_equals_batch(spark, at):
-    schema = "event_id long, k string, ts timestamp"
-    rows = [(i, "ab"[i % 3 == 0], at(i * 7 % 400 + i)) for i in range(90)]
-    ordered = sorted(rows, key=lambda r: r[2])
-    stream = feed(spark, schema, ordered[:40], ordered[40:70], ordered[70:])
-    out = spark.read.parquet(streaming.run_available(streaming.stream_rate_limit(stream, "k", 60, 5), "limits"))
+    """Whatever order and files requests come in, decisions are those of the batch; no state is left."""
+    schema = "event_id long, k string, ts timestamp, n int"
+    rows = [(i, ["a", "b", None][i % 3], at(i * 7 % 400 + i % 5), None if i % 4 else i) for i in range(90)]
+    rows += [((1 << 60) + i, "a", at(200), None) for i in range(6)]
+    mixed = rows[:]
+    random.Random(3).shuffle(mixed)
     batch = fixed_window(spark.createDataFrame(rows, schema), ["k"], ttl_s=60, limit=5)
-    columns = ["event_id", "k", "window_start", "count", "allowed"]
-    assert sorted(out.select(columns).collect()) == sorted(batch.select(columns).collect()) and out.count() == 90
+    columns = ["event_id", "k", "ts", "n", "window_start", "count", "allowed"]
+    want = sorted(map(str, batch.select(columns).collect()))
+    for files in ([mixed], [mixed[i::5] for i in range(5)], [sorted(rows, key=lambda r: r[2])[i : i + 20] for i in range(0, 100, 20)]):
+        stream = feed(spark, schema, *files, closed=("ts", at(2000)))
+        out = streaming.run_available(streaming.stream_rate_limit(stream, "k", 60, 5), "limits")
+        assert sorted(map(str, spark.read.parquet(out).select(columns).collect())) == want
+        left = streaming.late_rows(spark, out).agg(F.sum("late"), F.max_by("state_rows", "batch_id")).first()
+        assert tuple(left) == (0, 0)
+
+
+def test_documents_that_never_end_expire(spark, at):
+    schema = "event_id long, document_id string, stage string, status string, error string, ts timestamp"
+    one = [(1, "d", "store", "processing", None, at(0)), (2, "d", "store", "processing", None, at(50)), (3, "e", "store", "processing", None, at(0))]
+    two = [(4, "d", "parse", "processing", None, at(400)), (5, "e", "store", "ready", None, at(20)), (6, "f", "store", "queued", None, at(30))]
+    stream = feed(spark, schema, one, two, closed=("ts", at(10_000)))
+    out = streaming.run_available(streaming.stream_progress(stream, expire_s=100), "stalled", "update")
+    got = sorted((r["document_id"], r["ts"], r["event_id"] or 0, r["status"], r["previous_stage"] or "", r["previous_seconds"]) for r in spark.read.parquet(out).collect())
+    assert got == [
+        ("d", at(0), 1, "processing", "", None), ("d", at(150), 0, "stalled", "store", 150.0), ("d", at(400), 4, "processing", "", None),
+        ("d", at(500), 0, "stalled", "parse", 100.0), ("e", at(0), 3, "processing", "", None), ("e", at(20), 5, "ready", "store", 20.0),
+        ("f", at(30), 6, "queued", "", None), ("f", at(130), 0, "stalled", "store", 100.0),
+    ]
+    assert streaming.late_rows(spark, out).agg(F.max_by("state_rows", "batch_id")).first()[0] == 0
 
 
 def test_progress(spark, at):
