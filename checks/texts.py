@@ -280,19 +280,57 @@ def d3(t: Inputs) -> DataFrame:
     return models.vector_problems(t.table("embeddings"), 64)
 
 
-@query(
-    "d4_batch_generate",
-    r"""SELECT conv_id, turn, 'Based on the provided excerpts, this is a deterministic fake answer. [1]' AS response, 'ok' AS outcome, 1 AS calls,
-      CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) + 1 AS INTEGER) AS tokens_in, 12 AS tokens_out FROM conversations""",
-)
+# A model whose answers follow from the row: it is busy twice, refuses, times out for good, fails, or breaks its JSON.
+ODD_TURN = "(conv_id * 7 + turn) % 8"
+
+
+def moody_model(structured: bool):
+    calls: dict[tuple, int] = {}
+
+    def answer(conv_id: str, turn: str, prompt: str) -> str:
+        calls[conv_id, turn] = before = calls.get((conv_id, turn), -1) + 1
+        mood = (int(conv_id) * 7 + int(turn)) % 8
+        if mood == 1 and before < 2:
+            raise models.ModelError("rate_limited", "busy", code=429, retry_after=0.5)
+        if mood == 2:
+            raise models.ModelError("refusal", "declined", code=422)
+        if mood == 3:
+            raise models.ModelError("unavailable", "timed out", code=504)
+        if mood == 4 and prompt:
+            raise TimeoutError("no answer")
+        broken = mood == 5 and before == 0 or mood == 6
+        if not structured:
+            return f"answer to {len(prompt)} signs"
+        return "{" if broken else f'{{"company": "c{conv_id}", "pages": {turn}, "revenue": null}}'
+
+    return answer
+
+
+WORDS_OF = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+SQL_VIEWS["generated"] = f"""
+SELECT conv_id, turn, role, CASE WHEN m IN (2, 3, 4) THEN NULL ELSE 'answer to ' || length(text) || ' signs' END AS response,
+  CASE m WHEN 2 THEN 'refusal' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'error' ELSE 'ok' END AS outcome,
+  CASE m WHEN 2 THEN 'declined' WHEN 3 THEN 'timed out' WHEN 4 THEN 'TimeoutError: no answer' END AS error,
+  CAST(CASE m WHEN 1 THEN 3 WHEN 3 THEN 6 ELSE 1 END AS INTEGER) AS calls,
+  CAST({WORDS_OF} + 2 AS INTEGER) AS tokens_in, CASE WHEN m IN (2, 3, 4) THEN 0 ELSE 4 END AS tokens_out
+FROM (SELECT *, {ODD_TURN} AS m FROM conversations)"""
+
+
+def _generated(t: Inputs, schema: T.StructType | None = None) -> DataFrame:
+    prompts = ["conv_id", "turn", "text"]
+    return models.batch_generate(t.table("conversations"), prompts, moody_model(schema is not None), schema=schema, sleep=lambda s: None)
+
+
+@query("d4_batch_generate", "SELECT conv_id, turn, response, outcome, error, calls, tokens_in, tokens_out FROM generated")
 def d4(t: Inputs) -> DataFrame:
-    rows = models.batch_generate(t.table("conversations"), ["role", "text"])
-    return rows.select("conv_id", "turn", "response", "outcome", "calls", "tokens_in", "tokens_out")
+    return _generated(t).select("conv_id", "turn", "response", "outcome", "error", "calls", "tokens_in", "tokens_out")
 
 
 @query(
     "d4_batch_generate_structured",
-    """SELECT conv_id, turn, '{"company": "fake", "pages": 0, "revenue": null}' AS response, 'ok' AS outcome FROM conversations""",
+    f"""SELECT conv_id, turn, CASE WHEN m IN (0, 1, 5, 7) THEN '{{"company": "c' || conv_id || '", "pages": ' || turn || ', "revenue": null}}' END AS response,
+      CASE m WHEN 2 THEN 'refusal' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'error' WHEN 6 THEN 'invalid_response' ELSE 'ok' END AS outcome,
+      CAST(CASE m WHEN 1 THEN 3 WHEN 3 THEN 6 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS INTEGER) AS calls FROM (SELECT *, {ODD_TURN} AS m FROM conversations)""",
 )
 def d4_structured(t: Inputs) -> DataFrame:
     schema = T.StructType(
@@ -302,5 +340,27 @@ def d4_structured(t: Inputs) -> DataFrame:
             T.StructField("revenue", T.DoubleType(), True),
         ]
     )
-    rows = models.batch_generate(t.table("conversations"), ["text"], schema=schema)
-    return rows.select("conv_id", "turn", "response", "outcome")
+    return _generated(t, schema).select("conv_id", "turn", "response", "outcome", "calls")
+
+
+@query(
+    "d4_generation_usage",
+    """SELECT role, 'llm' AS kind, 'checks' AS provider, 'moody' AS model, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in, CAST(SUM(tokens_out) AS BIGINT) AS tokens_out
+    FROM generated GROUP BY role""",
+)
+def d4_usage(t: Inputs) -> DataFrame:
+    return models.generation_usage(_generated(t), "checks", "moody", by=["role"])
+
+
+# The space that each index says it is in: recorded when it says nothing, kept when it fits, refused when it does not.
+@query(
+    "d3_space_guard",
+    """SELECT label, CASE WHEN label % 3 = 0 THEN 'recorded' WHEN label % 3 = 1 THEN 'kept' ELSE 'refused' END AS verdict, COUNT(*) AS vectors FROM embeddings WHERE label IS NOT NULL GROUP BY label""",
+)
+def d3_guard(t: Inputs) -> DataFrame:
+    vectors = t.table("embeddings").filter("label is not null")
+    metas = vectors.select("label").distinct().filter("label % 3 <> 0").selectExpr(
+        "label", "cast(1 as bigint) as id", "'acme' as embedding_provider", "if(label % 3 = 1, 'small', 'large') as embedding_model", "64 as dimension",
+    )
+    checked = models.space_verdicts(vectors.select("label").distinct(), metas, ["label"], "acme", "small", 64)
+    return checked.join(vectors.groupBy("label").agg(F.count(F.lit(1)).alias("vectors")), "label")

@@ -6,8 +6,10 @@ import hashlib
 import json
 import math
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -17,13 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import hash_embedding, token_count
+from ledgerloom.operators.retry import BASE_DELAY_S, MAX_DELAY_S, MAX_JITTER, MAX_RETRIES, RETRYABLE_CODES
 
-# The deterministic model's answer, and the retry policy.
-FAKE_ANSWER = "Based on the provided excerpts, this is a deterministic fake answer. [1]"
-MAX_RETRIES = 5
-BASE_DELAY_S = 1.0
-MAX_DELAY_S = 30.0
-RETRYABLE_CODES = (429, 500, 502, 503, 504)
+# Calls that a task has under way at a time.
+CONCURRENT_CALLS = 8
 
 
 class EmbeddingModel(Protocol):
@@ -136,6 +135,22 @@ def check_embedding_space(index_meta: DataFrame, provider: str, model: str, dim:
     return index_meta.filter(F.col("id") == newest[0]["id"])
 
 
+def space_verdicts(
+    indexes: DataFrame, index_meta: DataFrame, keys: Sequence[str], provider: str, model: str, dim: int
+) -> DataFrame:
+    """:func:`check_embedding_space` for many indexes at once: ``recorded``, ``kept`` or ``refused`` per index.
+
+    ``index_meta`` has the indexes' ``keys`` and a meta row or more each, of which that with the highest id counts.
+    """
+    columns = ["embedding_provider", "embedding_model", "dimension"]
+    newest = index_meta.groupBy(*keys).agg(F.max_by(F.struct(*columns), "id").alias("_meta"))
+    same = (
+        (F.col("_meta.embedding_provider") == provider) & (F.col("_meta.embedding_model") == model) & (F.col("_meta.dimension") == dim)
+    )
+    verdict = F.when(F.col("_meta").isNull(), "recorded").when(F.coalesce(same, F.lit(False)), "kept").otherwise("refused")
+    return indexes.join(newest, list(keys), "left").select(*keys, verdict.alias("verdict"))
+
+
 def vector_problems(vectors: DataFrame, dim: int) -> DataFrame:
     """One row: number of vectors, of wrong sizes and of vectors with null elements."""
     v = F.col("embedding")
@@ -155,23 +170,6 @@ def require_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def fabricate(schema: T.DataType, nullable: bool = False) -> object:
-    """Deterministic stand-in value: null where allowed, otherwise the type's zero."""
-    if nullable:
-        return None
-    if isinstance(schema, T.StructType):
-        return {f.name: fabricate(f.dataType, f.nullable) for f in schema.fields}
-    if isinstance(schema, T.ArrayType):
-        return []
-    if isinstance(schema, T.MapType):
-        return {}
-    if isinstance(schema, T.BooleanType):
-        return False
-    if isinstance(schema, T.StringType):
-        return "fake"
-    return 0 if isinstance(schema, T.IntegralType) else 0.0
-
-
 def _fits(value: object, kind: T.DataType, nullable: bool) -> bool:
     if value is None:
         return nullable
@@ -195,18 +193,37 @@ def _valid_json(text: str | None, schema: T.StructType) -> bool:
         return False
 
 
+class _Pause:
+    """A delay that one caller was told of and all callers of a task keep."""
+
+    def __init__(self, sleep: Callable[[float], None], clock: Callable[[], float] = time.monotonic):
+        self.sleep, self.clock, self.until, self.lock = sleep, clock, 0.0, threading.Lock()
+
+    def note(self, seconds: float) -> None:
+        with self.lock:
+            self.until = max(self.until, self.clock() + seconds)
+
+    def wait(self) -> None:
+        left = self.until - self.clock()
+        if left > 0:
+            self.sleep(left)
+
+
 def _call(
-    fn: Callable[..., str], args: tuple[str, ...], max_retries: int, sleep: Callable[[float], None]
+    fn: Callable[..., str], args: tuple[str, ...], max_retries: int, sleep: Callable[[float], None], pause: _Pause
 ) -> tuple[str | None, str, str | None, int]:
     """(response, outcome, error, calls made); transient failures are tried again with growing delay."""
     for attempt in range(max_retries + 1):
+        pause.wait()
         try:
             return fn(*args), "ok", None, attempt + 1
         except ModelError as e:
             if e.code not in RETRYABLE_CODES or attempt == max_retries:
                 return None, e.outcome, str(e), attempt + 1
-            delay = e.retry_after if e.retry_after > 0 else min(MAX_DELAY_S, BASE_DELAY_S * 2**attempt)
-            sleep(delay * (1 + random.uniform(0, 0.1)))
+            if e.retry_after > 0:
+                pause.note(e.retry_after * (1 + random.uniform(0, MAX_JITTER)))
+            else:
+                sleep(min(MAX_DELAY_S, BASE_DELAY_S * 2**attempt) * (1 + random.uniform(0, MAX_JITTER)))
         except Exception as e:  # whatever a model client raises is that row's outcome, not the job's end
             return None, "error", f"{type(e).__name__}: {e}", attempt + 1
     raise AssertionError("unreachable")
@@ -215,25 +232,21 @@ def _call(
 def batch_generate(
     df: DataFrame,
     prompt_cols: Sequence[str],
-    generate_fn: Callable[..., str] | None = None,
+    generate_fn: Callable[..., str],
     schema: T.StructType | None = None,
     max_retries: int = MAX_RETRIES,
     sleep: Callable[[float], None] = time.sleep,
+    concurrency: int = CONCURRENT_CALLS,
 ) -> DataFrame:
     """Apply a text model to every row; adds response, outcome, error, calls, tokens_in, tokens_out.
 
     ``generate_fn`` gets the prompt columns as strings, returns text and may raise
-    :class:`ModelError`; it must be picklable. With ``schema`` the response must be JSON of that
-    shape; one more call is made when it is not, then the outcome is ``invalid_response``. Without
-    a function the deterministic model answers. Rows never fail the job. Input columns pass through
+    :class:`ModelError`; it must be picklable and may be called by ``concurrency`` threads of a task at once. Results
+    keep the order of the rows. A failure with a ``retry_after`` makes all callers of the task wait that long. With
+    ``schema`` the response must be JSON of that shape; one more call is made when it is not, then the outcome is
+    ``invalid_response``. Rows never fail the job. Input columns pass through
     as Arrow columns, untouched; a null prompt is sent as an empty string.
     """
-    if generate_fn is None:
-        fixed = FAKE_ANSWER if schema is None else json.dumps(fabricate(schema))
-
-        def generate_fn(*_: str) -> str:
-            return fixed
-
     fn = generate_fn
     added = [
         T.StructField("response", T.StringType()),
@@ -244,11 +257,11 @@ def batch_generate(
         T.StructField("tokens_out", T.IntegerType()),
     ]
 
-    def one(args: tuple[str, ...]) -> tuple[object, ...]:
-        text, outcome, error, calls = _call(fn, args, max_retries, sleep)
+    def one(args: tuple[str, ...], pause: _Pause) -> tuple[object, ...]:
+        text, outcome, error, calls = _call(fn, args, max_retries, sleep, pause)
         rounds = 1
         if schema is not None and outcome == "ok" and not _valid_json(text, schema):
-            text, outcome, error, more = _call(fn, args, max_retries, sleep)
+            text, outcome, error, more = _call(fn, args, max_retries, sleep, pause)
             calls, rounds = calls + more, 2
             if outcome == "ok" and not _valid_json(text, schema):
                 text, outcome, error = None, "invalid_response", "response does not fit the schema"
@@ -260,10 +273,13 @@ def batch_generate(
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            results = [one(tuple(sent.values())) for sent in batch.column(kept).to_pylist()]
-            columns = [pa.array([r[i] for r in results], kind) for i, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names=names)
+        pause = _Pause(sleep)
+        with ThreadPoolExecutor(concurrency) as callers:
+            for batch in batches:
+                prompts = [tuple(sent.values()) for sent in batch.column(kept).to_pylist()]
+                results = list(callers.map(lambda args: one(args, pause), prompts))
+                columns = [pa.array([r[i] for r in results], kind) for i, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names=names)
 
     # The prompts ride in one more column, at the end, which does not come back.
     prompts = F.struct(
@@ -271,3 +287,14 @@ def batch_generate(
     )
     sent = df.select("*", prompts.alias("_prompts"))
     return sent.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
+
+def generation_usage(generated: DataFrame, provider: str, model: str, by: Sequence[str] = ()) -> DataFrame:
+    """Usage rows for what :func:`batch_generate` gave: tokens in and out of all rows, whatever their outcome."""
+    return generated.groupBy(*by).agg(
+        F.lit("llm").alias("kind"),
+        F.lit(provider).alias("provider"),
+        F.lit(model).alias("model"),
+        F.sum("tokens_in").alias("tokens_in"),
+        F.sum("tokens_out").alias("tokens_out"),
+    )

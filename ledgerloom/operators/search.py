@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -114,21 +116,57 @@ def retrieve_by_dimension(
 ) -> DataFrame:
     """The n best chunks for every comparison dimension within every document.
 
-    ``dimensions`` maps a name to its vector (at most 64, they are part of the plan). Ranking is cut
-    to n per (dimension, document) in each task before the shuffle.
+    ``dimensions`` maps a name to its vector (at most 64, every task gets them). A block of vectors is multiplied with
+    all of them at once and keeps n rows per dimension and document, so pairs of a dimension and a chunk
+    are never rows; other columns are fetched for the hits alone, by id.
     """
     if not 0 < len(dimensions) <= MAX_DIMENSIONS:
         raise ValueError(f"need 1 to {MAX_DIMENSIONS} dimensions")
-    scored = F.array(
-        *[
-            F.struct(F.lit(name).alias("dimension"), _score("embedding", vec, digits).alias("score"))
-            for name, vec in dimensions.items()
-        ]
-    )
+    names = list(dimensions)
+    asked = [np.asarray(v, dtype=np.float64) for v in dimensions.values()]
+    units = np.stack([v / (np.linalg.norm(v) or 1.0) for v in asked])
     scoped = apply_filters(chunks, {"document_ids": document_ids})
-    rows = scoped.select(*_without_vector(chunks), F.inline(scored))
+    id_type, document_type = scoped.schema["id"].dataType, scoped.schema["document_id"].dataType
+    fields = [("id", id_type), ("document_id", document_type), ("dimension", T.StringType()), ("score", T.DoubleType())]
+
+    def best_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The n best rows of the batch for every dimension and document."""
+        column = batch.column("embedding")
+        sizes = pc.list_value_length(column)
+        if not pc.all(pc.fill_null(pc.equal(sizes, units.shape[1]), True)).as_py():
+            raise ValueError(f"vectors must have {units.shape[1]} elements")
+        given = column.is_valid().to_numpy(zero_copy_only=False)
+        vectors = np.zeros((batch.num_rows, units.shape[1]))
+        vectors[given] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, units.shape[1])
+        norms = np.linalg.norm(vectors, axis=1)
+        known = norms > 0
+        scores = np.round(units @ (vectors / np.where(known, norms, 1)[:, None]).T, digits) + 0.0
+        scores[:, ~known] = -np.inf
+        scores[~units.any(axis=1)] = -np.inf
+        documents = pd.factorize(batch.column("document_id").to_pandas(), use_na_sentinel=False)[0]
+        by_id = np.argsort(np.argsort(batch.column("id").to_pandas().to_numpy(), kind="stable"), kind="stable")
+        rows, which = [], []
+        for d, score in enumerate(scores):
+            order = np.lexsort((by_id, -score, documents))
+            first = np.flatnonzero(np.diff(documents[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            rows.append(order[place < n])
+            which.append(np.full(len(rows[-1]), d))
+        row, dimension = pa.array(np.concatenate(rows)), np.concatenate(which)
+        found = scores[dimension, np.concatenate(rows)]
+        columns = [batch.column("id").take(row), batch.column("document_id").take(row)]
+        columns += [pa.array([names[d] for d in dimension], pa.string()), pa.array(found, mask=~np.isfinite(found))]
+        return pa.RecordBatch.from_arrays(columns, names=[f for f, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (best_of(b) for b in batches if b.num_rows)
+
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
+    met = scoped.select("id", "document_id", "embedding").mapInArrow(run, schema)
     best = Window.partitionBy("dimension", "document_id").orderBy(F.col("score").desc_nulls_last(), "id")
-    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    hits = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).drop("document_id")
+    columns = _without_vector(chunks)
+    return hits.join(scoped.select(*columns), "id").select(*columns, "dimension", "score", "rank")
 
 
 @dataclass(frozen=True)

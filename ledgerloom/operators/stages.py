@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.core import floor_div
 from ledgerloom.operators.quantiles import exact_percentiles
+from ledgerloom.operators.retry import BASE_DELAY_S, MAX_DELAY_S, MAX_JITTER, MAX_RETRIES, RETRYABLE_CODES
 from ledgerloom.operators.slices import SLICE_ROWS, TimeSlices
 from ledgerloom.schemas import STAGE_ORDER
 from ledgerloom.session import cut_lineage
 
-# Which codes may be retried, which finish reasons are refusals, outcome codes.
-RETRYABLE_CODES = (429, 500, 502, 503, 504)
+# Which finish reasons are refusals, outcome codes.
 REFUSAL_REASONS = ("SAFETY", "PROHIBITED_CONTENT", "BLOCKLIST", "SPII", "RECITATION")
 OUTCOME_STATUS = {"rate_limited": 429, "unavailable": 503, "refusal": 422}
-MAX_RETRIES, BASE_DELAY_S, MAX_DELAY_S, MAX_JITTER = 5, 1.0, 30.0, 0.1
 
 
 def _newest(columns: Sequence[str]) -> Column:

@@ -66,7 +66,7 @@ def test_generation_passes_columns_through(spark):
     out = models.batch_generate(df, ["prompt"], lambda p: f"<{p}>").collect()
     assert {(r["id"], r["response"], tuple(r["extra"] or ())) for r in out} == {(big, "<ask>", (1, None)), (None, "<>", ())}
     assert {(r["outcome"], r["calls"], r["tokens_in"], r["tokens_out"]) for r in out} == {("ok", 1, 1, 1), ("ok", 1, 0, 1)}
-    assert models.batch_generate(df.limit(0), ["prompt"]).count() == 0
+    assert models.batch_generate(df.limit(0), ["prompt"], str).count() == 0
 
 
 def test_a_document_that_comes_again_replaces_all_its_chunks(spark, tmp_path):

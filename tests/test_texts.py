@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import hashlib
 import math
 
@@ -200,8 +202,37 @@ def test_generation_outcomes(spark):
     }
 
 
-def test_default_answer_and_usage(spark):
-    row = models.batch_generate(docs(spark, "two words"), ["text"]).first()
-    assert row["response"].endswith("[1]") and (row["tokens_in"], row["tokens_out"]) == (2, 12)
+def test_answers_keep_their_order_and_callers_wait_together(spark):
+    def slow(prompt):
+        time.sleep(0.02 if int(prompt) % 3 == 0 else 0)
+        return f"answer {prompt}"
+
+    df = docs(spark, *[str(i) for i in range(60)])
+    rows = models.batch_generate(df, ["text"], slow, concurrency=6).collect()
+    assert {(r["text"], r["response"]) for r in rows} == {(str(i), f"answer {i}") for i in range(60)}
+    waits, now = [], [100.0]
+    pause = models._Pause(waits.append, lambda: now[0])
+    pause.wait()
+    pause.note(4.0)
+    pause.note(1.0)
+    pause.wait()
+    now[0] = 103.0
+    pause.wait()
+    now[0] = 104.0
+    pause.wait()
+    assert waits == [4.0, 1.0]
+
+
+def test_usage_rows(spark):
+    rows = models.batch_generate(docs(spark, "two words", "one"), ["text"], lambda p: p + " more")
+    usage = models.generation_usage(rows, "p", "m").first()
+    assert tuple(usage) == ("llm", "p", "m", 3, 5)
     usage = models.embedding_usage(docs(spark, "two words", "one"), "text", models.HashModel(4)).first()
     assert (usage["kind"], usage["provider"], usage["tokens_in"]) == ("embedding", "fake", 3)
+
+
+def test_spaces_of_many_indexes(spark):
+    indexes = spark.createDataFrame([(i,) for i in range(4)], "n int")
+    meta = spark.createDataFrame([(1, 1, "p", "m", 3), (2, 1, "p", "m", 3), (2, 2, "p", "m", 4), (3, 5, "p", None, 3)], "n int, id long, embedding_provider string, embedding_model string, dimension int")
+    got = {r["n"]: r["verdict"] for r in models.space_verdicts(indexes, meta, ["n"], "p", "m", 3).collect()}
+    assert got == {0: "recorded", 1: "kept", 2: "refused", 3: "refused"}
