@@ -77,6 +77,55 @@ def f1(t: Inputs) -> DataFrame:
     return compare.flatten_metrics(analyses(t)).withColumn("value", money("value"))
 
 
+# Every report repeats what the quarter before said, a little more where lines came back, and looks ahead in words;
+# after the readable analysis follows a broken one.
+def later_analyses(t: Inputs) -> DataFrame:
+    ordinal = compare.quarter_ordinal(F.col("fiscal_period"))
+    now = t.report_figures.withColumn("period_no", ordinal)
+    before = now.selectExpr("company", "period_no + 1 as period_no", "fiscal_period as prior_period", "revenue as prior_revenue", "unit as prior_unit")
+
+    def figure(value: str) -> F.Column:
+        return F.struct(F.expr(value).cast("decimal(28,4)").alias("value"), "unit", "currency", F.col("first_line").cast("int").alias("source_page"))
+
+    restated = "prior_revenue + if(return_lines > 0, 1, 0)"
+    rows = now.join(before, ["company", "period_no"], "left").select(
+        "document_id", "company", "fiscal_period", figure("revenue").alias("revenue"),
+        F.when(F.col("prior_period").isNotNull(), F.struct(F.col("prior_period").alias("fiscal_period"), figure(restated).alias("revenue"))).alias("prior"),
+        F.array(F.struct(F.concat(F.lit("expects "), F.col("lines").cast("string"), F.lit(" lines")).alias("text"), F.col("first_line").cast("int").alias("source_page"))).alias("guidance"),
+    )
+    good = F.to_json(F.struct("company", "fiscal_period", "revenue", "prior", "guidance"))
+    versions = F.array(F.struct(F.lit(1).alias("v"), good.alias("result")), F.struct(F.lit(2).alias("v"), F.left(good, F.lit(25)).alias("result")))
+    return rows.select("document_id", F.inline(versions)).select(
+        F.concat_ws("#", "document_id", "v").alias("id"), F.lit("metrics").alias("type"), F.array("document_id").alias("document_ids"),
+        "result", F.timestamp_seconds(F.col("v")).alias("created_at"),
+    )
+
+
+@query(
+    "f1_broken_analyses",
+    """SELECT document_id, company, fiscal_period, round(CAST(revenue AS DOUBLE), 4) AS value, 'expects ' || CAST(lines AS VARCHAR) || ' lines' AS guidance, CAST(first_line AS INTEGER) AS source_page, FALSE AS missing FROM report_figures""",
+)
+def f1_broken(t: Inputs) -> DataFrame:
+    stored = later_analyses(t)
+    figures = compare.flatten_metrics(stored).filter("metric = 'revenue'").select("document_id", "company", "fiscal_period", money("value"))
+    words = compare.flatten_guidance(stored).select("document_id", F.col("text").alias("guidance"), "source_page")
+    lost = compare.missing_metrics(t.report_figures.select(F.col("document_id").alias("id")), stored).select(F.col("id").alias("document_id"), F.lit(True).alias("lost"))
+    whole = figures.join(words, "document_id", "full_outer").join(lost, "document_id", "full_outer")
+    return whole.withColumn("missing", F.coalesce("lost", F.lit(False))).drop("lost")
+
+
+@query(
+    "f1_restatements",
+    f"""WITH r AS (SELECT *, {ORDINAL} AS period_no FROM report_figures)
+    SELECT o.document_id, b.fiscal_period, b.document_id AS base_document_id, round(CAST(b.revenue + CASE WHEN o.return_lines > 0 THEN 1 ELSE 0 END AS DOUBLE), 4) AS other_value,
+      CASE WHEN o.return_lines > 0 THEN 'restated' END AS flag, CASE WHEN o.return_lines > 0 THEN 1.0 ELSE 0.0 END AS delta
+    FROM r o JOIN r b ON b.company = o.company AND b.period_no = o.period_no - 1""",
+)
+def f1_restated(t: Inputs) -> DataFrame:
+    rows = compare.restatements(t.report_metrics, compare.flatten_comparatives(later_analyses(t)))
+    return rows.select("document_id", "fiscal_period", "base_document_id", money("other_value"), "flag", F.col("delta").cast("double").alias("delta"))
+
+
 @query(
     "f2_normalize_units",
     """SELECT document_id, metric, CASE WHEN value IS NOT NULL AND m.currency <> 'USD' AND r.rate IS NULL THEN 'missing_rate' END AS flag,
@@ -108,7 +157,7 @@ def f3(t: Inputs) -> DataFrame:
 
 @query(
     "f4_growth_series",
-    f"""WITH m AS (SELECT *, {ORDINAL} AS period_no FROM report_metrics)
+    f"""WITH m AS MATERIALIZED (SELECT *, {ORDINAL} AS period_no FROM report_metrics)
     SELECT a.company, a.metric, a.fiscal_period, round(CAST(b.value AS DOUBLE), 4) AS previous, round(CAST(a.value - b.value AS DOUBLE), 4) AS delta,
       CASE WHEN b.value <> 0 THEN round(CAST(a.value - b.value AS DOUBLE) / abs(CAST(b.value AS DOUBLE)), 6) END AS growth
     FROM m a LEFT JOIN m b ON b.company = a.company AND b.metric = a.metric AND b.period_no = a.period_no - 4""",
@@ -182,12 +231,15 @@ def f8(t: Inputs) -> DataFrame:
 
 @query(
     "f9_comparison_result",
-    f"""WITH d AS (SELECT document_id, count(*) AS deltas FROM pairs GROUP BY document_id),
-    s AS (SELECT 'risk' AS dimension, document_id, id, round(list_cosine_similarity(embedding, {SQL_A}), 6) AS score FROM vec_chunks
-      UNION ALL SELECT 'guidance', document_id, id, round(list_cosine_similarity(embedding, {SQL_B}), 6) FROM vec_chunks),
-    e AS (SELECT document_id, count(*) AS evidence FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY dimension, document_id ORDER BY score DESC, id) <= 2) GROUP BY document_id)
-    SELECT COALESCE(d.document_id, e.document_id) AS comparison_id, COALESCE(d.document_id, e.document_id) AS document_ids,
-      COALESCE(deltas, 0) AS deltas, COALESCE(evidence, 0) AS evidence FROM d FULL JOIN e ON d.document_id = e.document_id""",
+    f"""WITH s AS (SELECT 'risk' AS dimension, document_id, id, round(list_cosine_similarity(embedding, {SQL_A}), 6) + 0.0 AS score FROM vec_chunks
+      UNION ALL SELECT 'guidance', document_id, id, round(list_cosine_similarity(embedding, {SQL_B}), 6) + 0.0 FROM vec_chunks),
+    e AS (SELECT document_id, id, dimension, score FROM s QUALIFY row_number() OVER (PARTITION BY dimension, document_id ORDER BY score DESC, id) <= 2),
+    b AS (SELECT p.*, r.document_id AS base_document_id FROM pairs p LEFT JOIN (SELECT *, {ORDINAL} AS no FROM report_figures) r ON r.company = p.company AND r.no = p.period_no - 1),
+    d AS (SELECT document_id, string_agg(DISTINCT base_document_id, ',') AS base FROM b GROUP BY document_id)
+    SELECT b.document_id AS comparison_id, array_to_string(list_sort(list_filter([b.document_id, d.base], lambda x: x IS NOT NULL)), ',') AS document_ids, 'table' AS part,
+      metric AS name, b.base_document_id AS other_document, round(CAST(base_value AS DOUBLE), 4) AS base_value, round(CAST(other_value AS DOUBLE), 4) AS other_value, round(CAST(other_value - base_value AS DOUBLE), 4) AS number
+    FROM b JOIN d ON d.document_id = b.document_id
+    UNION ALL SELECT document_id, document_id, 'evidence', dimension, CAST(id AS VARCHAR), NULL, NULL, score FROM e""",
 )
 def f9(t: Inputs) -> DataFrame:
     deltas = compare.period_deltas(t.report_metrics, compare.quarter_ordinal(F.col("fiscal_period"))).withColumn(
@@ -197,10 +249,20 @@ def f9(t: Inputs) -> DataFrame:
         "document_id as comparison_id", "document_id", "id as chunk_id", "dimension", "score"
     )
     rows = compare.comparison_result(deltas, evidence)
-
-    def entries(part: str) -> F.Column:
-        return F.coalesce(F.json_array_length(F.get_json_object("result", f"$.{part}")), F.lit(0)).cast("bigint")
-
-    return rows.select(
-        "comparison_id", F.array_join("document_ids", ",").alias("document_ids"), entries("table").alias("deltas"), entries("evidence").alias("evidence")
+    # The records are read back from their JSON, entry by entry.
+    record = F.from_json(
+        "result",
+        "table array<struct<metric:string,base_document_id:string,base_value:decimal(28,4),other_value:decimal(28,4),delta:decimal(28,4)>>, "
+        "evidence array<struct<chunk_id:string,dimension:string,score:double>>",
+    )
+    read = rows.select("comparison_id", F.array_join("document_ids", ",").alias("document_ids"), record.alias("r"))
+    key = ["comparison_id", "document_ids"]
+    table = read.select(*key, F.explode("r.table").alias("e")).select(
+        *key, F.lit("table").alias("part"), F.col("e.metric").alias("name"), F.col("e.base_document_id").alias("other_document"),
+        *[F.round(F.col(f"e.{c}").cast("double"), 4).alias(n) for c, n in (("base_value", "base_value"), ("other_value", "other_value"), ("delta", "number"))],
+    )
+    chunks = read.select(*key, F.explode("r.evidence").alias("e")).select(
+        *key, F.lit("evidence").alias("part"), F.col("e.dimension").alias("name"), F.col("e.chunk_id").alias("other_document"),
+        F.lit(None).cast("double").alias("base_value"), F.lit(None).cast("double").alias("other_value"), F.col("e.score").alias("number"),
     )
+    return table.unionByName(chunks)

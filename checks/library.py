@@ -28,9 +28,21 @@ def a1(t: Inputs) -> DataFrame:
     )
 
 
-@query("a2_scan_objects")
+# Every document is stored as an object of its own, which ends in a line break, and read back.
+@query(
+    "a2_scan_objects",
+    """SELECT source AS user_id, CAST(doc_id AS VARCHAR) AS document_id, strlen(text) + 1 AS size, strlen(text) + 1 > 3000 AS too_big,
+      CASE WHEN strlen(text) + 1 <= 3000 THEN sha256(text || chr(10)) END AS content_sha256 FROM documents""",
+)
 def a2(t: Inputs) -> DataFrame:
-    return objects.scan_objects(t.spark, t.sf_dir, "*.parquet").select("key", "user_id", "document_id", "size")
+    root = shared_dir(t.spark, "objects")
+    stored = t.table("documents").select(F.col("source").alias("user"), F.col("doc_id").alias("document"), "text")
+    stored.write.partitionBy("user", "document").text(root)
+    found = objects.scan_objects(t.spark, root, "*.txt", with_content=True, max_bytes=3000, layout=r"^document=([^/]+)/()")
+    owner = F.regexp_extract("path", r"/user=([^/]+)/", 1)
+    return found.select(
+        owner.alias("user_id"), F.col("user_id").alias("document_id"), "size", F.col("content").isNull().alias("too_big"), F.sha2("content", 256).alias("content_sha256")
+    )
 
 
 # Every document stands for an uploaded object; some keys leave their root, some bytes are no PDF.

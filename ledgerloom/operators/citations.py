@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import bind
 from ledgerloom.functions.core import floor_div
@@ -110,14 +112,36 @@ def parse_citations(answers: DataFrame) -> DataFrame:
     return answers.select("qid", F.inline(distinct))
 
 
-def _strip(text: Column, unknown: Column) -> Column:
-    """Remove the unknown markers, each with one blank before it."""
+def _without_unknown(text: str, known: frozenset[int]) -> str:
+    """Take out markers of numbers that are not known, each with one blank before it, in one pass.
 
-    def once(t: Column, m: Column) -> Column:
-        tag = F.concat(F.lit("["), m, F.lit("]"))
-        return F.replace(F.replace(t, F.concat(F.lit(" "), tag), F.lit("")), tag, F.lit(""))
-
-    return F.aggregate(unknown, text, once)
+    What is kept so far ends in the innermost open bracket and its digits; a closing bracket then completes a
+    marker, also one that only came about because another was taken out from within it.
+    """
+    kept: list[str] = []
+    opened: list[int] = []  # where a bracket with nothing but digits behind it stands in ``kept``
+    for sign in text:
+        if sign == "[":
+            opened.append(len(kept))
+        elif sign == "]":
+            start = opened.pop() if opened else None
+            if start is not None and len(kept) > start + 1:
+                n = int("".join(kept[start + 1 :]))
+                if n not in known:
+                    del kept[start:]
+                    if kept and kept[-1] == " ":
+                        kept.pop()
+                    continue
+            opened.clear()
+        elif sign not in "0123456789":
+            opened.clear()
+        kept.append(sign)
+    return "".join(kept)
+
+
+@F.pandas_udf(T.StringType())
+def _cleaned(texts: pd.Series, known: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _without_unknown(t, frozenset(map(int, k))) for t, k in zip(texts, known)], dtype=object)
 
 
 def validate_citations(answers: DataFrame, supplied: DataFrame) -> DataFrame:
@@ -140,13 +164,7 @@ def validate_citations(answers: DataFrame, supplied: DataFrame) -> DataFrame:
         return F.filter(F.array_distinct(_markers(text)), is_unknown)
 
     staged = joined.withColumn("_numbers", numbers).withColumn("unknown", unknown_in(F.col("text"), F.col("_numbers")))
-    # Taking out a marker can join the brackets around it into a new one, so repeat while any is left.
-    openings = F.length("text") - F.length(F.replace(F.col("text"), F.lit("["), F.lit("")))
-    passes = F.sequence(F.lit(1), F.greatest(openings, F.lit(1)))
-    clean = F.when(
-        F.size("unknown") > 0,
-        F.aggregate(passes, F.col("text"), lambda t, _: _strip(t, unknown_in(t, F.col("_numbers")))),
-    ).otherwise(F.col("text"))
+    clean = F.when(F.size("unknown") > 0, _cleaned("text", "_numbers")).otherwise(F.col("text"))
     cleaned = staged.withColumn("text", clean)
     cited = F.transform(_markers(F.col("text")), lambda m: m.try_cast("int"))
     found = F.filter("_given", lambda b: F.coalesce(F.array_contains(F.col("_cited"), b["n"]), F.lit(False)))

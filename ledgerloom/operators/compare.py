@@ -22,39 +22,90 @@ def growth(base: Column, other: Column) -> Column:
     return F.try_divide((other - base).cast("double"), F.abs(base).cast("double"))
 
 
+def _readable(analyses: DataFrame) -> DataFrame:
+    """Metrics analyses per document whose result is JSON of the wanted shape, as ``r``."""
+    parsed = analyses.filter("type = 'metrics'").withColumn("r", F.from_json("result", FINANCIAL_METRICS))
+    return parsed.filter(F.try_parse_json("result").isNotNull() & F.col("r").isNotNull()).select(
+        "id", "created_at", "r", F.explode("document_ids").alias("document_id")
+    )
+
+
+def _newest(analyses: DataFrame) -> DataFrame:
+    """The newest analysis of every document among those that can be read."""
+    return latest(_readable(analyses), "document_id", ["created_at", "id"])
+
+
+def _entry(metric: str, segment: Column, m: Column) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        segment.alias("segment"),
+        m["value"].alias("value"),
+        m["unit"].alias("unit"),
+        m["currency"].alias("currency"),
+        m["source_page"].alias("source_page"),
+    )
+
+
+def _figures(of: str) -> Column:
+    """Entries of all metrics of a struct that were reported, be it as null."""
+    figures = F.array(*[_entry(m, F.lit(None).cast("string"), F.col(f"{of}.{m}")) for m in METRIC_NAMES])
+    return F.filter(figures, lambda f: f["unit"].isNotNull() | f["value"].isNotNull())
+
+
 def flatten_metrics(analyses: DataFrame) -> DataFrame:
-    """Latest metrics analysis per document as long rows; segments become rows of their own.
+    """Latest readable metrics analysis per document as long rows; segments become rows of their own.
 
     Result: document_id, company, fiscal_period, metric, segment (null for company figures), value,
-    unit, currency, source_page. Figures that were reported as null keep their row.
+    unit, currency, source_page. Figures that were reported as null keep their row. An analysis that cannot
+    be read hides no older one (:func:`missing_metrics` judges in the same way).
     """
-    of_doc = analyses.filter("type = 'metrics'").select(
-        "id", "created_at", "result", F.explode("document_ids").alias("document_id")
-    )
-    newest = latest(of_doc, "document_id", ["created_at", "id"])
-    parsed = newest.withColumn("r", F.from_json("result", FINANCIAL_METRICS)).filter("r is not null")
-
-    def entry(metric: str, segment: Column, m: Column) -> Column:
-        return F.struct(
-            F.lit(metric).alias("metric"),
-            segment.alias("segment"),
-            m["value"].alias("value"),
-            m["unit"].alias("unit"),
-            m["currency"].alias("currency"),
-            m["source_page"].alias("source_page"),
-        )
-
-    figures = F.array(*[entry(m, F.lit(None).cast("string"), F.col(f"r.{m}")) for m in METRIC_NAMES])
-    figures = F.filter(figures, lambda f: f["unit"].isNotNull() | f["value"].isNotNull())
+    figures = _figures("r")
     segments = F.coalesce(
-        F.transform("r.segments", lambda s: entry("segment_revenue", s["name"], s)), F.slice(figures, 1, 0)
+        F.transform("r.segments", lambda s: _entry("segment_revenue", s["name"], s)), F.slice(figures, 1, 0)
     )
-    return parsed.select(
+    return _newest(analyses).select(
         "document_id", F.col("r.company").alias("company"), F.col("r.fiscal_period").alias("fiscal_period"),
         F.inline(F.concat(figures, segments)),
     )
 
 
+def flatten_comparatives(analyses: DataFrame) -> DataFrame:
+    """The figures of an earlier period that a report repeats, in the columns of :func:`flatten_metrics`.
+
+    ``fiscal_period`` is the earlier period, ``document_id`` the report that repeats it, ``source_page`` where.
+    """
+    return _newest(analyses).filter("r.prior.fiscal_period is not null").select(
+        "document_id", F.col("r.company").alias("company"), F.col("r.prior.fiscal_period").alias("fiscal_period"),
+        F.inline(_figures("r.prior")),
+    )
+
+
+def flatten_guidance(analyses: DataFrame) -> DataFrame:
+    """Guidance in the report's own words: document_id, company, fiscal_period, position (from 1), text, source_page."""
+    rows = _newest(analyses).select("document_id", "r.company", "r.fiscal_period", F.posexplode("r.guidance").alias("at", "g"))
+    return rows.select(
+        "document_id", "company", "fiscal_period", (F.col("at") + 1).alias("position"), F.col("g.text").alias("text"), F.col("g.source_page").alias("source_page")
+    )
+
+
+def restatements(metrics: DataFrame, comparatives: DataFrame) -> DataFrame:
+    """What later reports say of a period against the period's own report: delta, growth, and a flag.
+
+    One row per company, period, metric and later report. ``flag`` is ``restated`` where values differ, ``not_reported``
+    where the period has no such figure of its own, else null.
+    """
+    keys = ["company", "fiscal_period", "metric"]
+    own = metrics.select(*keys, F.col("document_id").alias("base_document_id"), F.col("value").alias("base_value"))
+    if "segment" in metrics.columns:
+        own = metrics.filter("segment is null").select(*own.columns[:3], F.col("document_id").alias("base_document_id"), F.col("value").alias("base_value"))
+    said = comparatives.select(*keys, "document_id", F.col("value").alias("other_value"))
+    base, other = F.col("base_value"), F.col("other_value")
+    flag = F.when(base.isNull() & other.isNotNull(), "not_reported").when(base != other, "restated")
+    return (
+        said.join(own, keys, "left").withColumn("flag", flag).withColumn("delta", other - base).withColumn("growth", growth(base, other))
+    )
+
+
 def normalize_units(metrics: DataFrame, rates: DataFrame, target: str = "USD") -> DataFrame:
     """Scale values to single units and convert them to ``target``.
 
@@ -124,7 +175,7 @@ def metric_deltas(metrics: DataFrame, base_doc: object, other_docs: Sequence[obj
     cols = ("value", "unit", "currency")
     named = ["metric", *_segment(metrics)]
     base = metrics.filter(F.col("document_id") == F.lit(base_doc)).select(
-        *named, *[F.col(c).alias(f"base_{c}") for c in cols]
+        *named, F.col("document_id").alias("base_document_id"), *[F.col(c).alias(f"base_{c}") for c in cols]
     )
     # One copy of the base per other document, so that a metric missing over there still shows.
     base = base.withColumn("document_id", F.explode(F.lit(list(other_docs))))
@@ -143,8 +194,8 @@ def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1) ->
     keys = ["company", "metric", *_segment(metrics), "period_no", "document_id"]
     rows = metrics.withColumn("period_no", ordinal)
     later = rows.select("company", "period_no", "document_id").distinct()
-    base = rows.drop("document_id").withColumn("period_no", F.col("period_no") + lag_periods)
-    base = base.join(later, ["company", "period_no"]).select(*keys, *[F.col(c).alias(f"base_{c}") for c in cols])
+    base = rows.withColumnRenamed("document_id", "base_document_id").withColumn("period_no", F.col("period_no") + lag_periods)
+    base = base.join(later, ["company", "period_no"]).select(*keys, "base_document_id", *[F.col(c).alias(f"base_{c}") for c in cols])
     other = rows.select(*keys, *[F.col(c).alias(f"other_{c}") for c in cols])
     return compare_values(_side_by_side(base, other, keys))
 
@@ -269,19 +320,20 @@ def segment_mix(segments: DataFrame, reported: DataFrame | None = None, lag_peri
 
 
 def missing_metrics(documents: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Documents without a stored metrics analysis that can be read; one with broken JSON does not count."""
-    stored = analyses.filter("type = 'metrics'")
-    if "result" in stored.columns:
-        stored = stored.filter(F.try_parse_json("result").isNotNull())
-    done = stored.select(F.explode("document_ids").alias("id")).distinct()
-    return documents.join(done, "id", "left_anti")
+    """Documents without a stored metrics analysis that can be read; what :func:`flatten_metrics` skips does not count."""
+    if "result" in analyses.columns:
+        done = _readable(analyses.withColumns({c: F.lit(None) for c in ("id", "created_at") if c not in analyses.columns})).select("document_id")
+    else:
+        done = analyses.filter("type = 'metrics'").select(F.explode("document_ids").alias("document_id"))
+    return documents.join(done.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def comparison_result(deltas: DataFrame, evidence: DataFrame, by: Sequence[str] = ("comparison_id",)) -> DataFrame:
     """One JSON record per comparison: its table of deltas, its evidence and its documents.
 
     ``deltas`` is (*by, document_id, metric, ...), ``evidence`` (*by, document_id, chunk_id, ...).
-    A comparison holds at most five documents, so both lists are bounded.
+    A comparison holds at most five documents, so both lists are bounded. A document that others are compared with
+    (``base_document_id`` in ``deltas``) is one of them.
     """
     by = list(by)
 
@@ -292,10 +344,14 @@ def comparison_result(deltas: DataFrame, evidence: DataFrame, by: Sequence[str]
     table = packed(deltas, ["metric", "document_id"]).withColumnRenamed("rows", "table")
     chunks = packed(evidence, ["document_id", "chunk_id"]).withColumnRenamed("rows", "evidence")
     both = table.join(chunks, by, "full_outer")
+
+    def taken(c: str) -> Column:
+        return F.coalesce(F.array_compact(F.transform("table", lambda r: r[c])), F.expr("cast(array() as array<string>)"))
+
     ids = F.array_sort(
         F.array_distinct(
             F.concat(
-                F.coalesce(F.transform("table", lambda r: r["document_id"]), F.expr("cast(array() as array<string>)")),
+                *[taken(c) for c in ("document_id", "base_document_id") if c in deltas.columns],
                 F.coalesce(F.transform("evidence", lambda r: r["document_id"]), F.expr("cast(array() as array<string>)")),
             )
         )

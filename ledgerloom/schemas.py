@@ -60,6 +60,10 @@ FINANCIAL_METRICS = (
     "company string, fiscal_period string, "
     + ", ".join(f"{m} {_MONEY}" for m in METRIC_NAMES)
     + ", segments array<struct<name:string,value:decimal(28,4),unit:string,currency:string,source_page:int>>"
+    + ", guidance array<struct<text:string,source_page:int>>"
+    + ", prior struct<fiscal_period:string,"
+    + ",".join(f"{m}:{_MONEY}" for m in METRIC_NAMES)
+    + ">"
 )
 
 # Fixed values of the library's vocabulary.

@@ -11,11 +11,16 @@ PDF_MAGIC = b"%PDF-"
 
 
 def scan_objects(
-    spark: SparkSession, root: str, glob: str = "*.pdf", with_content: bool = False, max_bytes: int | None = None
+    spark: SparkSession,
+    root: str,
+    glob: str = "*.pdf",
+    with_content: bool = False,
+    max_bytes: int | None = None,
+    layout: str = KEY_PATTERN,
 ) -> DataFrame:
     """List stored objects below ``root``: key, owner, document, size, modification time.
 
-    Without ``with_content`` the content column is pruned, so no object is opened. Objects of more
+    ``layout`` is a pattern of the key, the last two steps of the path, with the owner and the document as groups. Without ``with_content`` the content column is pruned, so no object is opened. Objects of more
     than ``max_bytes`` are listed with a null content and not opened either: the reader checks sizes
     from the listing.
     """
@@ -30,8 +35,8 @@ def scan_objects(
     columns = [
         "path",
         key.alias("key"),
-        F.nullif(F.regexp_extract(key, KEY_PATTERN, 1), F.lit("")).alias("user_id"),
-        F.nullif(F.regexp_extract(key, KEY_PATTERN, 2), F.lit("")).alias("document_id"),
+        F.nullif(F.regexp_extract(key, layout, 1), F.lit("")).alias("user_id"),
+        F.nullif(F.regexp_extract(key, layout, 2), F.lit("")).alias("document_id"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
     ]

@@ -122,3 +122,34 @@ def test_ordinals(spark):
     df = spark.createDataFrame([("2025Q3",), ("FY2025Q4",), ("FY2025",), ("n/a",)], "p string")
     got = [tuple(r) for r in df.select(compare.quarter_ordinal(F.col("p")), compare.year_ordinal(F.col("p"))).collect()]
     assert got == [(8102, None), (8103, None), (None, 2025), (None, None)]
+
+
+def test_broken_analyses_hide_nothing(spark, at):
+    figure = {"value": 5, "unit": "units", "currency": "USD", "source_page": 2}
+    prior = {"fiscal_period": "FY2024", "revenue": {**figure, "value": 4}, "cash": {**figure, "value": 1}}
+    good = json.dumps({"company": "Acme", "fiscal_period": "FY2025", "revenue": figure, "prior": prior, "guidance": [{"text": "up", "source_page": 3}, {"text": "more", "source_page": None}]})
+    rows = [
+        ("a1", "metrics", ["d1", "d2"], good, at(1)), ("a2", "metrics", ["d1"], good[:30], at(2)), ("a3", "metrics", ["d3"], "{", at(1)),
+        ("a4", "metrics", ["d4"], None, at(1)), ("a5", "insights", ["d5"], good, at(1)),
+    ]
+    analyses = spark.createDataFrame(rows, "id string, type string, document_ids array<string>, result string, created_at timestamp")
+    figures = compare.flatten_metrics(analyses)
+    assert sorted((r["document_id"], r["metric"], r["value"]) for r in figures.collect()) == [("d1", "revenue", D("5.0000")), ("d2", "revenue", D("5.0000"))]
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(1, 7)], "id string")
+    missing = {r["id"] for r in compare.missing_metrics(docs, analyses).collect()}
+    assert missing == {"d3", "d4", "d5", "d6"} == {r["id"] for r in docs.collect()} - {r["document_id"] for r in figures.collect()}
+    words = [tuple(r) for r in compare.flatten_guidance(analyses).filter("document_id = 'd1'").orderBy("position").collect()]
+    assert words == [("d1", "Acme", "FY2025", 1, "up", 3), ("d1", "Acme", "FY2025", 2, "more", None)]
+    said = compare.flatten_comparatives(analyses).filter("document_id = 'd2'")
+    assert {(r["fiscal_period"], r["metric"], r["value"]) for r in said.collect()} == {("FY2024", "revenue", D("4.0000")), ("FY2024", "cash", D("1.0000"))}
+    own = metrics(spark, ("old", "Acme", "FY2024", "revenue", "5"), ("other", "Beta", "FY2024", "cash", "1"))
+    got = {r["metric"]: (r["base_document_id"], r["flag"], r["delta"], r["growth"]) for r in compare.restatements(own, said).collect()}
+    assert got == {"revenue": ("old", "restated", D("-1.0000"), -0.2), "cash": (None, "not_reported", None, None)}
+
+
+def test_a_comparison_names_its_base(spark):
+    m = metrics(spark, ("base", "c", "2024Q1", "up", "1"), ("o", "c", "2024Q2", "up", "2"))
+    deltas = compare.period_deltas(m, compare.quarter_ordinal(F.col("fiscal_period"))).withColumn("comparison_id", F.col("document_id"))
+    none = spark.createDataFrame([], "comparison_id string, document_id string, chunk_id string")
+    got = {r["comparison_id"]: r["document_ids"] for r in compare.comparison_result(deltas, none).collect()}
+    assert got == {"o": ["base", "o"], "base": ["base"]}

@@ -8,6 +8,8 @@ import __spark_entry__ as driver
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
+# Reports of things that should not be there.
+MAY_BE_EMPTY: set[str] = set()
 
 
 def test_entry(spark):
@@ -23,4 +25,4 @@ def test_query(spark, name):
         assert df.count() > 0
     else:
         problem = oracle.difference(df, sql, SF_DIR)
-        assert problem is None or problem == "no rows on either side", problem
+        assert problem is None or (problem == "no rows on either side" and name in MAY_BE_EMPTY), problem

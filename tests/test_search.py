@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -174,6 +176,24 @@ def test_validation_is_idempotent_and_leaves_no_unknown(spark, texts):
     assert all(r["unknown"] == [] for r in twice.collect())
 
 
+def repeated(text, known):
+    """Take markers out one by one, the leftmost first, until none is left."""
+    while found := next((m for m in re.finditer(r"\[([0-9]+)\]", text) if int(m[1]) not in known), None):
+        start = found.start() - (text[: found.start()][-1:] == " ")
+        text = text[:start] + text[found.end() :]
+    return text
+
+
+@given(st.lists(st.sampled_from(["[1]", "[7]", "[", "]", "1", "7", " ", "a", "[12]"]), max_size=20).map("".join))
+def test_one_pass_takes_out_what_repetition_does(text):
+    assert citations._without_unknown(text, frozenset({1})) == repeated(text, {1})
+
+
+def test_many_brackets_take_one_pass():
+    deep = "[" * 200_000 + "7" + "]" * 200_000
+    assert citations._without_unknown(deep, frozenset()) == "[" * 199_999 + "]" * 199_999
+
+
 def test_leaks_are_found(spark, chunk):
     store = chunk(("a", "d1", "u1", [1.0]), ("b", "d2", "u2", [1.0]))
     asked = spark.createDataFrame([(1, "u1", [1.0], ["d9"]), (2, "u1", [1.0], None)], QUESTIONS)
