@@ -11,7 +11,7 @@ from checks.registry import query
 from ledgerloom.operators import access, maintenance
 from ledgerloom.operators.models import hash_embed
 from ledgerloom.session import shared_dir
-from ledgerloom.sources import index, objects
+from ledgerloom.sources import buckets, index, objects
 
 
 @query(
@@ -73,12 +73,12 @@ def a3(t: Inputs) -> DataFrame:
 
 
 # Every order line is an update of its order; the dearest line wins.
-@query(
-    "a4_upsert",
-    """WITH newest AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) = 1)
+UPSERTED = """WITH newest AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) = 1)
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-    UNION ALL SELECT l_orderkey, l_linestatus, l_extendedprice FROM newest""",
-)
+    UNION ALL SELECT l_orderkey, l_linestatus, l_extendedprice FROM newest"""
+
+
+@query("a4_upsert", UPSERTED)
 def a4(t: Inputs) -> DataFrame:
     target = t.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     updates = t.table("lineitem").selectExpr(
@@ -87,11 +87,29 @@ def a4(t: Inputs) -> DataFrame:
     return maintenance.upsert(target, updates, "o_orderkey", ["o_totalprice", "l_partkey", "l_suppkey"])
 
 
-@query(
-    "a5_delete_by_document",
-    """SELECT id, user_id, company, status FROM lib_documents
-    WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 OR quality = 0)""",
-)
+@query("a4_upsert_buckets", UPSERTED)
+def a4_buckets(t: Inputs) -> DataFrame:
+    target = t.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    updates = t.table("lineitem").selectExpr(
+        "l_orderkey as o_orderkey", "l_linestatus as o_orderstatus", "l_extendedprice as o_totalprice", "l_partkey", "l_suppkey"
+    )
+    table = buckets.create_buckets(target, shared_dir(t.spark, "orders"), "o_orderkey", 16)
+    return buckets.upsert_buckets(table, updates, ["o_totalprice", "l_partkey", "l_suppkey"]).read()
+
+
+LEFT_OVER = """SELECT id, user_id, company, status FROM lib_documents
+    WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 OR quality = 0)"""
+
+
+@query("a5_delete_buckets", LEFT_OVER)
+def a5_buckets(t: Inputs) -> DataFrame:
+    gone = t.table("labels").filter("toxic = 1 or quality = 0").selectExpr("cast(doc_id as string)")
+    docs = t.lib_documents.select("id", "user_id", "company", "status")
+    table = buckets.create_buckets(docs, shared_dir(t.spark, "library"), "id", 16)
+    return buckets.delete_buckets(table, gone).read()
+
+
+@query("a5_delete_by_document", LEFT_OVER)
 def a5(t: Inputs) -> DataFrame:
     gone = t.table("labels").filter("toxic = 1 or quality = 0").selectExpr("cast(doc_id as string)")
     docs = t.lib_documents.select("id", "user_id", "company", "status")
