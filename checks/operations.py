@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from checks.inputs import SQL_VIEWS, Inputs
 from checks.registry import query
-from ledgerloom.operators import limits, stages, temporal, usage
+from ledgerloom.operators import limits, sketches, stages, temporal, usage
+from ledgerloom.session import cut_lineage
 
 DAY_S = 86_400
 
@@ -153,6 +154,35 @@ def g6(t: Inputs) -> DataFrame:
     )
 
 
+# Latencies from daily sketches: the counts are exact, and the percentiles as near in rank as stated.
+@query(
+    "g6_latency_sketches",
+    """SELECT path, COUNT(DISTINCT date_trunc('day', e.ts)) AS days, COUNT(*) AS requests, TRUE AS within
+    FROM events e JOIN request_log r ON r.event_id = e.event_id GROUP BY path""",
+)
+def g6_sketches(t: Inputs) -> DataFrame:
+    log = t.table("events").selectExpr(
+        "case when event_type = 'signup' then '/api/v1/auth/login' else '/api/v1/documents' end as path", "cast(round(value * 100) as bigint) as ms", "ts",
+    )
+    points = (0.5, 0.95, 0.99)
+    found = sketches.sketched_percentiles(sketches.daily_sketches(log, ["path"], "ms", "ts"), ["path"], points)
+    held = sketches.within_rank_error(log, cut_lineage(found), ["path"], "ms", points)
+    return held.select("path", "days", F.col("rows").alias("requests"), "within")
+
+
+@query(
+    "g8_stage_sketches",
+    """WITH d AS (SELECT stage, ts, round((epoch_us(lead(ts) OVER (PARTITION BY document_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000.0) AS ms FROM stage_log)
+    SELECT stage, COUNT(DISTINCT date_trunc('day', ts)) AS days, COUNT(*) AS finished, TRUE AS within FROM d WHERE ms IS NOT NULL GROUP BY stage""",
+)
+def g8_sketches(t: Inputs) -> DataFrame:
+    times = stages.stage_times(t.stage_log).select("stage", "ts", F.round(F.col("seconds") * 1000).cast("bigint").alias("ms"))
+    timed, points = cut_lineage(times), (0.5, 0.95)
+    found = sketches.sketched_percentiles(sketches.daily_sketches(timed, ["stage"], "ms", "ts"), ["stage"], points)
+    held = sketches.within_rank_error(timed, cut_lineage(found), ["stage"], "ms", points)
+    return held.select("stage", "days", F.col("rows").alias("finished"), "within")
+
+
 @query(
     "g7_document_status",
     """SELECT document_id, status, stage, error, epoch_us(ts) AS updated_us FROM stage_log QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) = 1""",
