@@ -9,6 +9,7 @@ from checks.inputs import SQL_VIEWS, Inputs
 from checks.registry import query
 from checks.searches import SQL_A, SQL_B, VECTOR_A, VECTOR_B
 from ledgerloom.operators import compare, search
+from ledgerloom.plans import compare_reports
 
 ORDINAL = "CAST(substr(fiscal_period, 1, 4) AS INTEGER) * 4 + CAST(substr(fiscal_period, 6, 1) AS INTEGER) - 1"
 SQL_VIEWS["pairs"] = f"""
@@ -266,3 +267,25 @@ def f9(t: Inputs) -> DataFrame:
         F.lit(None).cast("double").alias("base_value"), F.lit(None).cast("double").alias("other_value"), F.col("e.score").alias("number"),
     )
     return table.unionByName(chunks)
+
+
+@query(
+    "flow_compare_reports",
+    f"""WITH v AS (SELECT document_id, company, metric, period_no,
+        CAST(CAST(value * CASE unit WHEN 'units' THEN 1 ELSE 1000 END AS DECIMAL(18,4)) * CASE WHEN m.currency = 'USD' THEN CAST(1 AS DECIMAL(10,2)) ELSE CAST(r.rate AS DECIMAL(10,2)) END AS DECIMAL(28,4)) AS value
+      FROM (SELECT *, {ORDINAL} AS period_no FROM report_metrics) m LEFT JOIN fx_rates r ON r.currency = m.currency AND r.fiscal_period = m.fiscal_period)
+    SELECT o.document_id AS comparison_id, o.metric, b.document_id AS base_document_id, CAST(b.value AS DOUBLE) AS base_value, CAST(o.value AS DOUBLE) AS other_value,
+      CAST(o.value - b.value AS DOUBLE) AS delta
+    FROM v o LEFT JOIN v b ON b.company = o.company AND b.metric = o.metric AND b.period_no = o.period_no - 1""",
+)
+def flow_compare(t: Inputs) -> DataFrame:
+    chunks = t.vec_chunks.select("id", "document_id", "user_id", "embedding")
+    rows = compare_reports(t.report_metrics, t.fx_rates, chunks, {"risk": VECTOR_A}, compare.quarter_ordinal(F.col("fiscal_period")))
+    record = F.from_json(
+        "result", "table array<struct<metric:string,base_document_id:string,base_value:decimal(28,4),other_value:decimal(28,4),delta:decimal(28,4)>>"
+    )
+    entries = rows.select("comparison_id", F.explode(record["table"]).alias("e"))
+    return entries.select(
+        "comparison_id", "e.metric", "e.base_document_id",
+        *[F.col(f"e.{c}").cast("double").alias(c) for c in ("base_value", "other_value", "delta")],
+    )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.inputs import Inputs
+from checks.inputs import SQL_VIEWS, Inputs
 from checks.registry import query
-from ledgerloom.operators import citations, evaluation, pq, search
-from ledgerloom.plans import answer_contexts, ingest_documents
+from ledgerloom.operators import citations, evaluation, models, pq, search
+from ledgerloom.plans import answer_contexts, answer_questions, ingest_documents
 from ledgerloom.session import cut_lineage
 
 DIM = 64
@@ -264,3 +264,57 @@ def flow_answers(t: Inputs) -> DataFrame:
     )
     # The index is stored once, as in a library, and then ranked and read.
     return answer_contexts(questions, cut_lineage(ingest_documents(t.lib_documents)))
+
+
+def counting_model(question: str, history: str, context: str) -> str:
+    """Says how many blocks it was given and cites the first one and one that it was not given."""
+    blocks = len(context.split("\n\n"))
+    if question.endswith("7"):
+        raise models.ModelError("refusal", "declined", code=422)
+    return f"{question} has {blocks} blocks [1] so [{blocks + 1}]."
+
+
+def _answers(t: Inputs):
+    questions = t.vec_questions.selectExpr(
+        "qid", "concat('c', qid % 50) as conversation_id", "user_id", "concat('question ', qid) as text", "embedding", "document_ids",
+        "timestamp_seconds(qid) as asked_at",
+    )
+    return answer_questions(questions, t.vec_chunks, counting_model, 0.3, 0.2, "checks", "counting", k=2, k_wide=5)
+
+
+SQL_VIEWS["told"] = """
+WITH best AS (SELECT qid, max(score) AS best FROM vec_ranked GROUP BY qid),
+v AS (SELECT q.qid, q.user_id, CASE WHEN best >= 0.3 THEN 'ok' WHEN best >= 0.2 THEN 'weak' ELSE 'not_found' END AS verdict FROM vec_questions q LEFT JOIN best b ON b.qid = q.qid),
+n AS (SELECT v.qid, count(*) AS blocks, max(CASE WHEN r.rank = 1 THEN r.id END) AS first FROM v JOIN vec_ranked r ON r.qid = v.qid AND r.rank <= CASE verdict WHEN 'ok' THEN 2 WHEN 'weak' THEN 5 ELSE 0 END GROUP BY v.qid)
+SELECT v.*, n.blocks, n.first, 'question ' || CAST(v.qid AS VARCHAR) AS question,
+  CASE WHEN verdict = 'not_found' THEN 'not_found' WHEN v.qid % 10 = 7 THEN 'refusal' ELSE 'ok' END AS outcome FROM v LEFT JOIN n ON n.qid = v.qid"""
+
+
+@query(
+    "flow_answer_questions",
+    """SELECT qid, verdict, outcome, CAST(verdict <> 'not_found' AS INTEGER) AS calls,
+      CASE outcome WHEN 'not_found' THEN 'not found in the selected reports' WHEN 'ok' THEN question || ' has ' || CAST(blocks AS VARCHAR) || ' blocks [1] so.' END AS text,
+      CASE WHEN outcome = 'ok' THEN CAST(first AS VARCHAR) END AS cited, CASE WHEN outcome = 'ok' THEN CAST(blocks + 1 AS VARCHAR) END AS unknown FROM told""",
+)
+def flow_answers_told(t: Inputs) -> DataFrame:
+    ids = F.array_join(F.transform("citations", lambda c: c["chunk_id"]), ",")
+    rows = _answers(t).answers
+    return rows.select("qid", "verdict", "outcome", "calls", "text", ids.alias("cited"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(
+    "flow_answer_records",
+    """SELECT 'message' AS part, 'c' || CAST(qid % 50 AS VARCHAR) AS owner, 'user' AS role, COUNT(*) AS n, CAST(SUM(length(question)) AS BIGINT) AS size FROM told GROUP BY qid % 50
+    UNION ALL SELECT 'message', 'c' || CAST(qid % 50 AS VARCHAR), 'assistant', COUNT(*), CAST(SUM(length(CASE outcome WHEN 'ok' THEN question || ' has ' || CAST(blocks AS VARCHAR) || ' blocks [1] so.' ELSE 'not found in the selected reports' END)) AS BIGINT)
+      FROM told WHERE outcome <> 'refusal' GROUP BY qid % 50
+    UNION ALL SELECT 'usage', user_id, 'llm', COUNT(*), CAST(SUM(CASE WHEN outcome = 'ok' THEN 8 ELSE 0 END) AS BIGINT) FROM told WHERE outcome <> 'not_found' GROUP BY user_id""",
+)
+def flow_answer_records(t: Inputs) -> DataFrame:
+    made = _answers(t)
+    messages = made.messages.groupBy(F.lit("message").alias("part"), F.col("conversation_id").alias("owner"), "role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("size")
+    )
+    usage = made.usage.groupBy(F.lit("usage").alias("part"), F.col("user_id").alias("owner"), F.col("kind").alias("role")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens_out").alias("size")
+    )
+    return messages.unionByName(usage)

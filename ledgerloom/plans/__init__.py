@@ -1,5 +1,5 @@
 """Whole flows put together from the operators."""
 
-from ledgerloom.plans.flows import answer_contexts, compare_reports, ingest_documents
+from ledgerloom.plans.flows import NOT_FOUND, Answers, answer_contexts, answer_questions, compare_reports, ingest_documents
 
-__all__ = ["answer_contexts", "compare_reports", "ingest_documents"]
+__all__ = ["NOT_FOUND", "Answers", "answer_contexts", "answer_questions", "compare_reports", "ingest_documents"]
