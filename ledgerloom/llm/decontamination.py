@@ -15,8 +15,9 @@ from ledgerloom.llm.licenses import SEPARATORS
 
 # Words of a shingle. A window of fewer words is one shingle.
 SHINGLE = 3
-# The filter that tasks get is a bit table of this many bits, whatever the benchmark's size.
-FILTER_BITS = 1 << 24
+# The filter that tasks get is a table of 16 bits or more per token, of 2 MB at least and 32 MB at most; a fuller table lets
+# more places pass, which costs time and changes nothing.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 28
 PLACES = pa.list_(
     pa.struct([("token", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("context", pa.string())])
 )
@@ -91,17 +92,28 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     return rows.where("item IS NOT NULL").mapInArrow(run, "item string, window string, tokens array<bigint>").distinct()
 
 
-def token_filter(tokens: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which every token of the frame is set.
+def filter_bits(tokens: int) -> int:
+    """Size of the filter for so many distinct tokens, a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * tokens).bit_length()))
 
-    Tasks join the bits of each 64-bit word, so the driver gets at most ``FILTER_BITS / 64`` numbers.
+
+def token_filter(tokens: DataFrame, bits: int) -> bytes:
+    """A bit table in which every token of the frame is set.
+
+    Tasks join the bits of each 64-bit word, so the driver gets at most ``bits / 64`` numbers.
     """
-    word = F.expr(f"shiftright(token & {FILTER_BITS - 1}L, 6)").alias("word")
-    bits = F.expr("bit_or(shiftleft(1L, CAST(token & 63L AS INT)))").alias("bits")
-    found = tokens.groupBy(word).agg(bits).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    word = F.expr(f"shiftright(token & {bits - 1}L, 6)").alias("word")
+    joined = F.expr("bit_or(shiftleft(1L, CAST(token & 63L AS INT)))").alias("bits")
+    found = tokens.groupBy(word).agg(joined).toArrow()
+    table = np.zeros(bits // 64, dtype="<i8")
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"))
+    return table.tobytes()
+
+
+def passing(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places whose hash is in the filter."""
+    at = hashes & np.uint64(8 * len(table) - 1)
+    return np.flatnonzero(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
 
 
 def judged(
@@ -127,49 +139,58 @@ def judged(
     texts = docs.select(
         F.col(id_col).alias("doc"), content_of(text_col).alias("content"), F.col(text_col).cast("string").alias("text")
     )
-    every_filter = spark.sparkContext.broadcast(token_filter(every).tobytes())
+    bits = filter_bits(every.select("token").distinct().count())
+    every_filter = spark.sparkContext.broadcast(token_filter(every, bits))
 
-    def hashed(words: list[bytes], bits: np.ndarray, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def hashed(words: list[bytes], table: np.ndarray, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per shingle size the hashes of all places, and the places whose hash is in the filter."""
         for size in parts:
             hashes = shingle_hashes(words, size, known)
-            yield hashes, np.flatnonzero(bits[hashes % np.uint64(FILTER_BITS)])
-
-    def as_bits(sent) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8)).view(bool)
+            yield hashes, passing(hashes, table)
 
     def tokens_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every document's distinct tokens that pass the filter of all windows."""
-        bits, known = as_bits(every_filter), WordHashes()
+        """Every document's word count and distinct tokens that pass the filter of all windows, and its text if it has any."""
+        table, known = np.frombuffer(every_filter.value, dtype=np.uint8), WordHashes()
         for batch in batches:
             for rows in text_slices(batch, 2):
-                held = [np.empty(0, dtype=np.int64)]
-                for text in rows.column(2).to_pylist():
-                    held += [as_long(np.unique(h[hits])) for h, hits in hashed(words_of(text), bits, known) if len(hits)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["token"])
+                counts, held = [], []
+                given = rows.column(2).to_pylist()
+                for text in given:
+                    words = words_of(text)
+                    counts.append(len(words))
+                    mine = [as_long(np.unique(h[hits])) for h, hits in hashed(words, table, known) if len(hits)]
+                    held.append(np.unique(np.concatenate(mine)) if mine else None)
+                kept = [None if h is None else t for t, h in zip(given, held, strict=True)]
+                columns = [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(kept, pa.string())],
+                    names=["doc", "content", "n_words", "tokens", "text"],
+                )
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every document's word count, and its places of prefix tokens with the words around."""
-        bits, known = as_bits(prefix_filter), WordHashes()
+        """A document's places of prefix tokens with the words around."""
+        table, known = np.frombuffer(prefix_filter.value, dtype=np.uint8), WordHashes()
         for batch in batches:
-            for rows in text_slices(batch, 2):
-                counts, found = [], []
-                for text in rows.column(2).to_pylist():
+            for rows in text_slices(batch, 3):
+                found = []
+                for text in rows.column(3).to_pylist():
                     words, mine = words_of(text), []
-                    for hashes, hits in hashed(words, bits, known):
+                    for hashes, hits in hashed(words, table, known):
                         for p, token in zip(hits.tolist(), as_long(hashes[hits]).tolist(), strict=True):
                             low = max(0, p - window)
                             context = b" ".join(words[low : p + window]).decode()
                             mine.append({"token": token, "at": p, "before": p - low, "context": context})
-                    counts.append(len(words))
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(found, PLACES)],
-                    names=["doc", "content", "n_words", "places"],
+                    [*rows.columns[:3], pa.array(found, PLACES)], names=["doc", "content", "total", "places"]
                 )
 
+    # One pass over all texts; what follows reads the texts of documents with a token of some window only.
+    held = written(
+        texts.mapInArrow(tokens_held, f"doc {kind}, content bigint, n_words bigint, tokens array<bigint>, text string"), "held"
+    )
     # Document frequencies of all shingles of windows, then the rarest shingle of every window.
-    frequency = texts.mapInArrow(tokens_held, "token bigint").groupBy("token").count()
+    frequency = held.select(F.explode("tokens").alias("token")).groupBy("token").count()
     ranked = (
         distinct.select("window", F.posexplode("tokens").alias("inside", "token"))
         .join(frequency, "token", "left")
@@ -182,12 +203,11 @@ def judged(
         ),
         "prefixes",
     )
-    prefix_filter = spark.sparkContext.broadcast(token_filter(prefixes).tobytes())
+    prefix_filter = spark.sparkContext.broadcast(token_filter(prefixes, bits))
     place = "struct<token: bigint, at: int, before: int, context: string>"
-    placed = written(
-        texts.mapInArrow(places, f"doc {kind}, content bigint, n_words bigint, places array<{place}>"), "places"
-    )
-    found = placed.select("doc", "content", F.col("n_words").alias("total"), F.explode("places").alias("place"))
+    holding = held.where("text IS NOT NULL").select("doc", "content", "n_words", "text")
+    placed = holding.mapInArrow(places, f"doc {kind}, content bigint, total bigint, places array<{place}>")
+    found = placed.select("doc", "content", "total", F.explode("places").alias("place"))
     found = found.select("doc", "content", "total", "place.*")
     start = F.col("before") - F.col("inside")
     fits = (start >= 0) & (F.col("at") - F.col("inside") + F.col("words") <= F.col("total"))
@@ -211,7 +231,7 @@ def judged(
         spans["doc"].alias("hit_doc"), spans["content"].alias("hit_content"), "spans", "items"
     )
     hit = hit.select("hit_doc", "hit_content", covered("spans").alias("n_hit"), "items")
-    return placed.select("doc", "content", "n_words"), written(hit, "contaminated")
+    return held.select("doc", "content", "n_words"), written(hit, "contaminated")
 
 
 def decontaminate(
@@ -234,7 +254,7 @@ def decontaminate(
     The join is prefix-filtered. A window's set is its shingles of three words. All shingles that
     occur in windows are ordered by how many documents hold them, and as containment must be
     complete, the rarest one of a window is a sufficient prefix: a document that lacks it cannot
-    hold the window. Documents send the places of such tokens only (a bit table of fixed size lets
+    hold the window. Documents send the places of such tokens only (a bit table of bounded size lets
     the others go before the shuffle) with the words around; a joined place fixes where the window
     must start (position bound), it must fit into the document (length bound), and its words must be
     exactly the window's.
