@@ -326,7 +326,8 @@ def nearest(
     longest = nodes.agg(F.max("norm")).first()[0]
     order = F.xxhash64("node"), "node"
     sample = nodes.orderBy(*order).limit(sample_rows).select("vector").toArrow().column(0).combine_chunks()
-    everything = F.lit(0).cast("bigint").alias("key")
+    # One bucket for all; a constant would turn the joins by bucket into nested loops.
+    everything = F.pmod(F.xxhash64("node"), F.lit(1)).cast("bigint").alias("key")
     some = written(questions.orderBy(*order).limit(FITTED_TO).select(everything, "node", "vector"), "fitted-to")
     near = best(in_blocks(nodes.select(everything, "node", "vector"), some, k + 1, kind), k + 1).where("question <> node")
     # At most 64 questions with k + 1 answers each.

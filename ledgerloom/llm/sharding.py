@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import written
 
-# Rows that one task orders; the number of blocks follows from the number of rows.
-BLOCK_ROWS = 20_000
+# Rows that one task orders; the number of blocks follows from the number of rows. The driver draws and sends one
+# row of the matrix per block, so beyond this many blocks they get longer instead.
+BLOCK_ROWS, MOST_BLOCKS = 20_000, 1 << 16
 
 
 def take_places(left: np.ndarray, rows: int, random: np.random.Generator) -> np.ndarray:
@@ -44,7 +45,7 @@ def shard_rows(df: DataFrame, key_cols: list[str], shards: int = 8, seed: int =
 
     Shard sizes differ by at most one row, and both the choice of rows and their order are a uniform
     shuffle for the given seed. Rows are dealt into blocks by a hash of ``key_cols``; the driver draws
-    the exact matrix of counts between blocks and shards (its size is rows / ``block_rows`` times
+    the exact matrix of counts between blocks and shards (its size is rows / ``block_rows``, 65,536 at most, times
     ``shards``); each block is permuted locally and cut by its row of the matrix; after the exchange
     each shard is permuted again, in sub-blocks by the leading bits of a second random key.
 
@@ -56,10 +57,11 @@ def shard_rows(df: DataFrame, key_cols: list[str], shards: int = 8, seed: int =
     if taken:
         raise ValueError(f"columns {sorted(taken)} are in the way")
     count = df.count()
-    blocks = max(1, -(-count // block_rows))
+    blocks = min(MOST_BLOCKS, max(1, -(-count // block_rows)))
     draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *key_cols)
+    # The caller's columns travel as one, so none of them can meet a name used here.
     keyed = df.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
         F.pmod(draw("block"), F.lit(blocks)).cast("int").alias("_block"),
         draw("first").alias("_first"),
         draw("second").alias("_second"),
@@ -88,7 +90,7 @@ def shard_rows(df: DataFrame, key_cols: list[str], shards: int = 8, seed: int =
     )
     within = F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("_second"))
     placed = dealt.withColumn("_within", within).join(starts, ["shard", "_sub"])
-    return placed.select(*df.columns, "shard", (F.col("_start") + F.col("_within") - 1).alias("slot"))
+    return placed.select("_row.*", "shard", (F.col("_start") + F.col("_within") - 1).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
