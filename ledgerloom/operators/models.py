@@ -210,9 +210,14 @@ class _Pause:
 
 
 def _call(
-    fn: Callable[..., str], args: tuple[str, ...], max_retries: int, sleep: Callable[[float], None], pause: _Pause
+    fn: Callable[..., str],
+    args: tuple[str, ...],
+    max_retries: int,
+    sleep: Callable[[float], None],
+    pause: _Pause | None = None,
 ) -> tuple[str | None, str, str | None, int]:
     """(response, outcome, error, calls made); transient failures are tried again with growing delay."""
+    pause = pause or _Pause(sleep)
     for attempt in range(max_retries + 1):
         pause.wait()
         try:
