@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import per_worker, text_slices
-from ledgerloom.llm.tokenizer import PerChunk, byte_signs, load, merges_here, plain_chunks, read_tokenizer, splits_here
+from ledgerloom.llm.tokenizer import CACHE_ENTRIES, PerChunk, byte_signs, load, merges_here, plain_chunks, read_tokenizer, splits_here
 
 
 PAIR_BITS = 20
@@ -90,7 +90,7 @@ class TextCounts:
         signs = byte_signs()
         self.inner, self.last = ([vocabulary[s + end] for s in signs] for end in ("", suffix))
         self.signs = {s: i for i, s in enumerate(signs)}
-        self.chunks = PerChunk(lambda word: self.count_word(word.encode()), sum)
+        self.chunks = PerChunk(lambda word: self.count_word(word.encode()), sum, 2 * CACHE_ENTRIES)
 
     def count_word(self, word: bytes) -> int:
         symbols = [self.inner[b] for b in word]
