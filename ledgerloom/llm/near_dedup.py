@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +37,7 @@ def universal_hashes(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -172,13 +173,20 @@ class Forest:
 
 
 def linking(cut: float, percent: int):
-    """Function for :func:`sorted_groups`: links between members of a block that are not connected yet."""
+    """Function for :func:`sorted_groups`: links between members of a cell that are not connected yet.
 
-    def links_of(ids: list, roots: list, sets: list[np.ndarray], low: np.ndarray) -> Iterator[tuple[int, int]]:
+    A cell holds one block, whose members all meet, or two (``side`` 0 and 1), whose members meet across only,
+    as each block meets itself in a cell of its own.
+    """
+
+    def links_of(ids: list, roots: list, sets: list[np.ndarray], low: np.ndarray, side: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
         forest = Forest(roots)
-        sizes = [len(s) for s in sets]
-        for i in range(len(ids) - 1):
-            for j in (np.flatnonzero(agreement(low[i], low[i + 1 :]) >= cut) + i + 1).tolist():
+        sizes = np.array([len(s) for s in sets])
+        for i in np.flatnonzero(side == 0).tolist():
+            others = np.flatnonzero(side) if across else np.arange(i + 1, len(ids))
+            near = np.minimum(sizes[i], sizes[others]) * 100 >= percent * np.maximum(sizes[i], sizes[others])
+            others = others[near]
+            for j in others[agreement(low[i], low[others]) >= cut].tolist() if len(others) else []:
                 if forest.root(i) == forest.root(j):
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -195,7 +203,8 @@ def linking(cut: float, percent: int):
                 continue
             sets = [np.asarray(s.values, dtype=np.int64).view(np.uint64) for s in part.column("shingles")]
             low = np.frombuffer(b"".join(part.column("low").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-            for x, y in links_of(ids, roots, sets, low):
+            c, d, i, j = (part.column(n)[0].as_py() for n in "cdij")
+            for x, y in links_of(ids, roots, sets, low, part.column("side").to_numpy(), (c, i) != (d, j)):
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -203,6 +212,39 @@ def linking(cut: float, percent: int):
     return fn
 
 
+def cells(open_buckets: DataFrame, percent: int) -> DataFrame:
+    """(band, c, d, i, j, side, doc, root): the cells in which members of a bucket (band, doc, root, n_shingles) meet.
+
+    A bucket that fits into a block is one cell. In a longer one, as linked sets differ in size by the factor
+    ``100 / percent`` at most, sizes fall into classes of that width, and a member meets its own class and the next ones on both sides only. A class with many rows is cut into blocks; block i of
+    class c meets block j of class d in one cell, and no pair meets twice.
+    """
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-6)
+    long = (F.count("*") > BLOCK) | (F.sum("n_shingles") > BLOCK_SHINGLES)
+    lengths = open_buckets.groupBy("band").agg(long.alias("long"))
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / width).cast("int")
+    classed = open_buckets.join(lengths, "band").withColumn("c", F.when(F.col("long"), size_class).otherwise(0)).drop("long")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    by_class = Window.partitionBy("band").orderBy("c")
+    beside = lambda step, by: F.when(step("c").over(by_class) == F.col("c") + by, step("blocks").over(by_class))
+    sizes = classed.groupBy("band", "c").agg(blocks.alias("blocks")).withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)})
+    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    zero, c = F.lit(0), F.col("c")
+
+    def cell(low: Column, high: Column, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(low.alias("c"), high.alias("d"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    def each(n: str, body) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(zero, F.col(n) - 1), body)).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<c:int,d:int,i:int,j:int,side:int>>"
+    own = each("blocks", lambda k: cell(c, c, F.least(k, mine), F.greatest(k, mine), F.when(k < mine, 1).otherwise(0)))
+    above = each("above", lambda k: cell(c, c + 1, mine, k, zero))
+    below = each("below", lambda k: cell(c - 1, c, k, mine, F.lit(1)))
+    placed = classed.join(sizes.fillna(0, ["below", "above"]), ["band", "c"])
+    return placed.select("band", "doc", "root", F.inline(F.concat(own, above, below)))
+
+
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -221,7 +263,7 @@ def near_duplicates(
     2. Texts with the same words are one node, named by their smallest id.
     3. In every band's buckets all members are paired with the smallest one only; pairs whose
        signatures can agree are confirmed on full sets, and components are built from them.
-    4. Buckets whose other members still lie in several components compare these in blocks: only pairs
+    4. Buckets whose other members still lie in several components compare these in blocks of like size: only pairs
        across components, signatures first, then full sets, and only links that connect are returned. So
        a group of copies costs links in proportion to its size, and no link between components is lost.
     5. Components of all links.
@@ -239,12 +281,11 @@ def near_duplicates(
     banded = nodes.select("doc", "n_shingles", F.explode("bands").alias("band"))
     shared = written(
         banded.groupBy("band")
-        .agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+        .agg(F.min("doc").alias("least"), F.count("*").alias("n"))
         .where("n > 1"),
         "buckets",
     )
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")
-    members = banded.join(shared, "band").select("band", "doc", "least", blocks.alias("blocks"))
+    members = banded.join(shared, "band").select("band", "doc", "least", "n_shingles")
     members = written(members.distinct(), "members")
     low = written(nodes.select("doc", "low"), "signatures")
     pairs = members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
@@ -267,21 +308,16 @@ def near_duplicates(
     # Pairs with the smallest member are settled, so what is left of a bucket are its other members.
     others = members.where("doc <> least")
     placed = others.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "band", "doc", "blocks", F.coalesce("component", "doc").alias("root")
+        "band", "doc", "n_shingles", F.coalesce("component", "doc").alias("root")
     )
     open_bands = written(
         placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"),
         "open-buckets",
     )
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j")),
-    )
-    waiting = placed.join(open_bands, "band").withColumn("cell", F.explode(cells))
-    waiting = waiting.select("band", "cell.i", "cell.j", "doc", "root").join(low, "doc").join(sets, "doc")
+    met = cells(placed.join(open_bands, "band"), percent).join(low, "doc").join(sets, "doc")
+    columns = ["band", "c", "d", "i", "j"]
     second = sorted_groups(
-        waiting.select("band", "i", "j", "doc", "root", "low", "shingles"), ["band", "i", "j"], ["doc"], linking(cut, percent), LINK
+        met.select(*columns, "doc", "root", "side", "low", "shingles"), columns, ["doc"], linking(cut, percent), LINK
     )
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     final = written(connected_components(links), "components")

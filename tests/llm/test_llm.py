@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,15 @@ def test_shards_are_exact_and_uniform(spark):
     assert sharding.shard_rows(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_sharding_keeps_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 3)
+    names = ["doc_id", "_block", "_first", "_second", "_place", "_sub", "_start", "_within", "_cuts", "_row", "count"]
+    df = spark.createDataFrame([tuple(range(i, i + len(names))) for i in range(100)], ", ".join(f"{n} int" for n in names))
+    rows = sharding.shard_rows(df, ["doc_id"], shards=4, block_rows=5).collect()
+    assert sorted(tuple(r)[:-2] for r in rows) == sorted(map(tuple, df.collect()))
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(4) for i in range(25)]
+
+
 def test_communication_matrix_keeps_sums():
     matrix = sharding.communication_matrix([10, 0, 7, 30], [16, 16, 15], seed=1)
     assert matrix.sum(axis=1).tolist() == [10, 0, 7, 30] and matrix.sum(axis=0).tolist() == [16, 16, 15]
@@ -268,6 +278,7 @@ def test_blocks_lose_no_link():
         {
             "doc": list(range(45)), "root": list(range(45)), "low": pa.array([v.tobytes() for v in low], pa.binary()),
             "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+            **{n: np.zeros(45, dtype=np.int32) for n in ("c", "d", "i", "j", "side")},
         }
     )
     got = near_dedup.linking(0.7, 85)(table, np.array([0]))
@@ -280,6 +291,37 @@ def test_blocks_lose_no_link():
     assert classes(found, range(45)) == classes(links, range(45))
 
 
+def test_every_pair_of_like_size_meets_once(spark, monkeypatch):
+    """Members of a bucket meet in one cell if their sizes allow a link, and never twice."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = random.Random(7)
+    sizes = [rng.choice([1, 2, 10, 11, 12, 13, 40, 47, 55, 300, 301, 340, 1000]) for _ in range(64)]
+    rows = [(band, i, i, n) for band in (1, 2) for i, n in enumerate(sizes)]
+    for percent in (80, 85, 100):
+        df = spark.createDataFrame(rows, "band bigint, doc bigint, root bigint, n_shingles bigint")
+        met = Counter()
+        held = {}
+        for r in near_dedup.cells(df, percent).collect():
+            held.setdefault((r["band"], r["c"], r["d"], r["i"], r["j"]), []).append((r["side"], r["doc"]))
+        for (band, c, d, i, j), members in held.items():
+            for x, y in itertools.combinations(members, 2):
+                if (c, i) == (d, j) or x[0] != y[0]:
+                    met[band, *sorted((x[1], y[1]))] += 1
+        assert max(met.values()) == 1 and max(map(len, held.values())) < 30
+        for x, y in itertools.combinations(range(64), 2):
+            if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
+                assert met[1, x, y] == met[2, x, y] == 1
+    sets = [np.array([1, 2, 3, 4, 5 + i], dtype=np.uint64) for i in range(4)]
+    low = np.zeros((4, near_dedup.HASHES), dtype=np.uint8)
+    table = pa.table(
+        {"doc": [0, 1, 2, 3], "root": [0, 1, 2, 3], "low": pa.array([v.tobytes() for v in low], pa.binary()),
+         "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), "side": np.array([0, 0, 1, 1], dtype=np.int32),
+         **{n: np.full(4, v, dtype=np.int32) for n, v in (("c", 3), ("d", 4), ("i", 0), ("j", 0))}}
+    )
+    found = near_dedup.linking(0.5, 60)(table, np.array([0]))
+    assert {(a < 2, b < 2) for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)} == {(True, False)}
+
+
 def test_language(spark):
     en, de, ru = "the house of the king is the best thing", "das haus und der könig sind nicht mehr da", "это дом короля и всё хорошо"
     rows = [(i, t, lang) for i, (t, lang) in enumerate([(en, "en"), (de, "de"), (ru, "ru")] * 8)]
