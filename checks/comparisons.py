@@ -45,9 +45,9 @@ def analyses(t: Inputs) -> DataFrame:
         return F.struct(F.expr(value).cast("decimal(28,4)").alias("value"), "unit", "currency", F.col("first_line").cast("int").alias("source_page"))
 
     segment = F.struct(F.col("segment").alias("name"), "value", "unit", "currency", "source_page")
-    segments = t.report_segments.groupBy("document_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    segments = t.report_segments.groupBy("company", "fiscal_period").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
     names = ("revenue", "cost_of_revenue", "gross_income", "operating_income", "free_cash_flow")
-    wide = t.report_figures.join(segments, "document_id").select(
+    wide = t.report_figures.join(segments, ["company", "fiscal_period"]).select(
         "document_id", "company", "fiscal_period", "segments",
         figure("revenue").alias("revenue"),
         figure("cost_of_revenue").alias("cost_of_revenue"),

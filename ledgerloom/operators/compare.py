@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.access import scope_to_user
@@ -15,6 +17,8 @@ from ledgerloom.schemas import FINANCIAL_METRICS, METRIC_NAMES
 # Unit names and their factors; comparison size limits.
 UNIT_FACTORS = {"units": 1, "thousands": 1_000, "millions": 1_000_000, "billions": 1_000_000_000}
 MIN_COMPARED, MAX_COMPARED = 2, 5
+# Two reports' figures are compared pair by pair while they are together at most so many.
+PART_FIGURES = 128
 
 
 def growth(base: Column, other: Column) -> Column:
@@ -23,16 +27,16 @@ def growth(base: Column, other: Column) -> Column:
 
 
 def _readable(analyses: DataFrame) -> DataFrame:
-    """Metrics analyses per document whose result is JSON of the wanted shape, as ``r``."""
-    parsed = analyses.filter("type = 'metrics'").withColumn("r", F.from_json("result", FINANCIAL_METRICS))
-    return parsed.filter(F.try_parse_json("result").isNotNull() & F.col("r").isNotNull()).select(
-        "id", "created_at", "r", F.explode("document_ids").alias("document_id")
-    )
+    """Metrics analyses per document whose result is JSON, as text."""
+    # Whatever is JSON becomes a record, if one without figures, so nothing else decides.
+    valid = analyses.filter("type = 'metrics'").filter(F.try_parse_json("result").isNotNull())
+    return valid.select("id", "created_at", "result", F.explode("document_ids").alias("document_id"))
 
 
 def _newest(analyses: DataFrame) -> DataFrame:
-    """The newest analysis of every document among those that can be read."""
-    return latest(_readable(analyses), "document_id", ["created_at", "id"])
+    """The newest analysis of every document among those that can be read; only these are taken apart, as ``r``."""
+    newest = latest(_readable(analyses), "document_id", ["created_at", "id"])
+    return newest.select("document_id", F.from_json("result", FINANCIAL_METRICS).alias("r"))
 
 
 def _entry(metric: str, segment: Column, m: Column) -> Column:
@@ -188,16 +192,65 @@ def metric_deltas(metrics: DataFrame, base_doc: object, other_docs: Sequence[obj
 def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1) -> DataFrame:
     """:func:`metric_deltas` of every report against its own company's report ``lag_periods`` earlier.
 
-    A figure of the earlier report that the later one lacks keeps a row under the later document.
+    A figure of the earlier report that the later one lacks keeps a row under the later document. A report's figures
+    travel together, once, to its company's other reports, where the two lists are compared.
     """
     cols = ("value", "unit", "currency")
-    keys = ["company", "metric", *_segment(metrics), "period_no", "document_id"]
+    named = ["metric", *_segment(metrics)]
     rows = metrics.withColumn("period_no", ordinal)
-    later = rows.select("company", "period_no", "document_id").distinct()
-    base = rows.withColumnRenamed("document_id", "base_document_id").withColumn("period_no", F.col("period_no") + lag_periods)
-    base = base.join(later, ["company", "period_no"]).select(*keys, "base_document_id", *[F.col(c).alias(f"base_{c}") for c in cols])
-    other = rows.select(*keys, *[F.col(c).alias(f"other_{c}") for c in cols])
-    return compare_values(_side_by_side(base, other, keys))
+    # What names no company or period has no earlier report and is none, so it is not brought together at all.
+    placed = F.col("company").isNotNull() & F.col("period_no").isNotNull()
+    where = list(dict.fromkeys(["company", *(c for c in ("fiscal_period",) if c in metrics.columns), "period_no", "document_id"]))
+    listed = rows.filter(placed).groupBy(*where).agg(F.collect_list(F.struct(*named, *cols)).alias("_f")).repartition("company")
+    reports = listed.groupBy("company", "period_no", "document_id").agg(F.flatten(F.collect_list("_f")).alias("_other"))
+    earlier = Window.partitionBy("company").orderBy("period_no").rangeBetween(-lag_periods, -lag_periods)
+    based = F.struct(F.col("document_id").alias("base_document_id"), F.col("_other").alias("f"))
+    own = lambda r: F.transform(r["f"], lambda f: F.struct(r["base_document_id"], *[f[c].alias(c) for c in (*named, *cols)]))
+    both = reports.withColumn("_before", F.collect_list(based).over(earlier))
+    both = both.withColumn("_base", F.flatten(F.transform("_before", own))).drop("_before")
+    met = _met(both, named).select(
+        "company", *[F.coalesce(F.col(f"_o.{c}"), F.col(f"_b.{c}")).alias(c) for c in named], "period_no", "document_id",
+        "_b.base_document_id", *[F.col(f"_b.{c}").alias(f"base_{c}") for c in cols], *[F.col(f"_o.{c}").alias(f"other_{c}") for c in cols],
+    )
+    nowhere = rows.filter(~placed).select(
+        "company", *named, "period_no", "document_id", *[F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("base_document_id", *(f"base_{c}" for c in cols))],
+        *[F.col(c).alias(f"other_{c}") for c in cols],
+    )
+    return compare_values(met.unionByName(nowhere))
+
+
+def _met(both: DataFrame, named: Sequence[str]) -> DataFrame:
+    """Full outer join, within each row, of the lists ``_base`` and ``_other`` on ``named`` (nulls meet), as ``_b`` and ``_o``.
+
+    Long lists are dealt to parts by a hash of their names first, so that few pairs are looked at.
+    """
+    rest = [c for c in both.columns if c not in ("_base", "_other")]
+    parts = F.ceil((F.size("_base") + F.size("_other")) / PART_FIGURES).cast("int")
+    name = lambda f: F.xxhash64(*[f[c] for c in named])
+    share = lambda c, i: F.filter(c, lambda f: F.pmod(name(f), parts) == i).alias(c)
+    whole = F.array(F.struct("_base", "_other"))
+    dealt = F.when(parts <= 1, whole).otherwise(
+        F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(share("_base", i), share("_other", i)))
+    )
+
+    def same(f: Column, g: Column) -> Column:
+        return reduce(and_, [f[c].eqNullSafe(g[c]) for c in named])
+
+    def pairs(part: Column) -> Column:
+        base, other = part["_base"], part["_other"]
+        nobody = lambda side: F.lit(None).cast(both.schema[side].dataType.elementType)
+        there = lambda o: F.filter(base, lambda b: same(o, b))
+        ours = F.transform(
+            other,
+            lambda o: F.transform(
+                F.when(F.exists(base, lambda b: same(o, b)), there(o)).otherwise(F.array(nobody("_base"))),
+                lambda b: F.struct(b.alias("_b"), o.alias("_o")),
+            ),
+        )
+        lost = F.filter(base, lambda b: ~F.exists(other, lambda o: same(o, b)))
+        return F.concat(F.flatten(ours), F.transform(lost, lambda b: F.struct(b.alias("_b"), nobody("_other").alias("_o"))))
+
+    return both.select(*rest, F.explode(dealt).alias("_part")).select(*rest, F.inline(pairs(F.col("_part"))))
 
 
 def quarter_ordinal(period: Column) -> Column:
