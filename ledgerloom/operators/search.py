@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions import dot, l2_norm
 from ledgerloom.operators.access import apply_filters, scope_to_user
-from ledgerloom.operators.topk import SCORE_DIGITS, topk_join, topk_join_sized
+from ledgerloom.operators.topk import SCORE_DIGITS, listed_topk, topk_join, topk_join_sized
+from ledgerloom.session import BROADCAST_ROWS
 
 # How many chunks a question gets, and how many after widening.
 DEFAULT_K = 8
@@ -207,7 +208,10 @@ def build_ivf(
 def ann_search(
     questions: DataFrame, index: IvfIndex, k: int = DEFAULT_K, n_probe: int = 8, **options: int
 ) -> DataFrame:
-    """Approximate :func:`batch_vector_search`: only the ``n_probe`` nearest lists are searched, exactly."""
+    """Approximate :func:`batch_vector_search`: only the ``n_probe`` nearest lists are searched, exactly.
+
+    Few questions (with their lists, as in :func:`topk_join`) are sent to all tasks, many meet ranges of lists.
+    """
     centroids = index.centroids
     take = min(n_probe, len(centroids))
 
@@ -218,10 +222,13 @@ def ann_search(
         near = np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ centroids.T), axis=1, kind="stable")[:, :take]
         return pd.Series(list(near.astype(np.int32)))
 
-    probes = questions.filter("embedding is not null").select(
-        "qid", "user_id", "embedding", "document_ids", F.explode(nearest("embedding")).alias("list_id")
+    asked = questions.filter("embedding is not null").select(
+        "qid", "user_id", "embedding", "document_ids", nearest("embedding").alias("lists")
     )
-    return topk_join(probes, index.vectors, ["user_id", "list_id"], k, **options)
+    if options or asked.limit(BROADCAST_ROWS // take + 1).count() <= BROADCAST_ROWS // take:
+        probes = asked.withColumn("list_id", F.explode("lists")).drop("lists")
+        return topk_join(probes, index.vectors, ["user_id", "list_id"], k, **options)
+    return listed_topk(asked, index.vectors, k, len(centroids))
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -9,11 +9,14 @@ Two ways to bring the blocks together:
   to all tasks and the vector table is scanned once, with no shuffle of vectors at all;
 * many questions: both sides are shuffled on (group, vector block, question block). The number of
   blocks of a group follows from its row count, so a group that holds a third of all rows becomes
-  many blocks of the same size as everybody else's. The row counts read the group columns only.
+  many blocks of the same size as everybody else's. The row counts read the group columns only. A side's rows
+  travel once per block of the other side, so blocks that were asked for smaller than ``VECTOR_BLOCK`` and
+  ``QUESTION_BLOCK`` grow up to these before a group gets more than ``MOST_BLOCKS`` of them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,6 +32,7 @@ from ledgerloom.session import BROADCAST_ROWS, rows_if_bounded
 SCORE_DIGITS = 6
 VECTOR_BLOCK = 20_000
 QUESTION_BLOCK = 2_000
+MOST_BLOCKS = 16
 _TILE_ROWS = 4_096
 _TILE_QUESTIONS = 512
 MAX_SENT_NUMBERS = 2**22  # vector elements sent to every task: 32 MB as doubles
@@ -45,6 +49,14 @@ class _Questions:
         self.scopes = [None if s is None else set(s) for s in rows.column("document_ids").to_pylist()]
         self.scoped = [i for i, s in enumerate(self.scopes) if s is not None]
 
+    def take(self, at: np.ndarray) -> _Questions:
+        """The questions at some places."""
+        some = object.__new__(_Questions)
+        some.qids, some.scopes = [self.qids[i] for i in at], [self.scopes[i] for i in at]
+        some.unit, some.zero = self.unit[at], self.zero[at]
+        some.scoped = [i for i, s in enumerate(some.scopes) if s is not None]
+        return some
+
 
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt((m * m).sum(axis=1))
@@ -73,10 +85,9 @@ def _candidates(
             scores = np.round(q.unit[block] @ unit[rows].T, digits) + 0.0
             scores[:, zero[rows]] = _NO_SCORE
             scores[q.zero[block]] = _NO_SCORE
-            for i in q.scoped:
-                if b <= i < b + _TILE_QUESTIONS:
-                    inside = np.fromiter((n in q.scopes[i] for n in names), bool, len(names))
-                    scores[i - b, ~inside[codes]] = -np.inf
+            for i in q.scoped[bisect_left(q.scoped, b) : bisect_left(q.scoped, b + _TILE_QUESTIONS)]:
+                inside = np.fromiter((n in q.scopes[i] for n in names), bool, len(names))
+                scores[i - b, ~inside[codes]] = -np.inf
             n = scores.shape[1]
             floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
             kept = (scores >= floor[:, None]) & (scores > -np.inf)
@@ -195,22 +206,26 @@ def _scan_with_sent_questions(
 
 
 def _block_join(
-    questions: DataFrame, chunks: DataFrame, on: Sequence[str], k: int, digits: int, v_block: int, q_block: int
+    questions: DataFrame, chunks: DataFrame, on: Sequence[str], k: int, digits: int, v_block: int, q_block: int, lists: bool = False
 ) -> DataFrame:
+    """The k best of every pair of blocks. With ``lists``, vectors carry ``list_id`` and questions ``lists``, those they search."""
     schema, arrow_schema = _out_schemas(questions, chunks)
     on = list(on)
+    # Both may come from one table; columns of their own keep them apart.
+    questions = questions.select(*[F.col(c).alias(c) for c in questions.columns])
 
     def small_if_few(df: DataFrame) -> DataFrame:
         """Broadcast a list of groups that turns out short; a long one is joined like any table."""
         rows = rows_if_bounded(df)
         return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
-    def big_groups(df: DataFrame, size: int, name: str) -> DataFrame:
+    def big_groups(df: DataFrame, size: int, full: int, name: str) -> DataFrame:
         """Groups that need more than one block; at most (rows / size) of them exist."""
-        blocks = F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)
+        rows = F.count(F.lit(1))
+        blocks = F.least(F.ceil(rows / size), F.greatest(F.lit(MOST_BLOCKS), F.ceil(rows / max(size, full)))).cast("int").alias(name)
         return small_if_few(df.groupBy(*on).agg(blocks).filter(F.col(name) > 1))
 
-    v_blocks, q_blocks = big_groups(chunks, v_block, "_nv"), big_groups(questions, q_block, "_nq")
+    v_blocks, q_blocks = big_groups(chunks, v_block, VECTOR_BLOCK, "_nv"), big_groups(questions, q_block, QUESTION_BLOCK, "_nq")
 
     def placed(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         sized = df.join(v_blocks, on, "left").join(q_blocks, on, "left").fillna(1, ["_nv", "_nq"])
@@ -222,8 +237,8 @@ def _block_join(
         )
 
     asked = small_if_few(questions.select(*on).distinct())
-    q_side = placed(questions.select("qid", *on, "embedding", "document_ids"), "qid", "q", "v")
-    columns = ["id", *on, *([] if "document_id" in on else ["document_id"]), "embedding"]
+    q_side = placed(questions.select("qid", *on, "embedding", "document_ids", *(["lists"] if lists else [])), "qid", "q", "v")
+    columns = ["id", *on, *([] if "document_id" in on else ["document_id"]), *(["list_id"] if lists else []), "embedding"]
     v_side = placed(chunks.select(*columns).join(asked, on, "left_semi"), "id", "v", "q")
     keys = [*on, "_v", "_q"]
 
@@ -234,7 +249,15 @@ def _block_join(
         ids = v_rows.column("id").to_pandas().to_numpy()
         docs = v_rows.column("document_id").to_pandas().to_numpy() if q.scoped else None
         vectors = _matrix(_column(v_rows, "embedding"), q.unit.shape[1])
-        found = list(_candidates(q, ids, docs, vectors, k, digits))
+        found: list[pd.DataFrame] = []
+        for some, at in _searched(q_rows, v_rows) if lists else [(None, slice(None))]:
+            part = q if some is None else q.take(some)
+            for piece in _candidates(part, ids[at], None if docs is None else docs[at], vectors[at], k, digits):
+                if some is not None:
+                    piece["q"] = some[piece["q"]]
+                found.append(piece)
+            if sum(map(len, found)) > 4 * k * len(q.qids):
+                found = [_keep_best(found, k)]
         if not found:
             return arrow_schema.empty_table()
         return pa.Table.from_batches([_arrow(_keep_best(found, k), q.qids, arrow_schema)])
@@ -242,6 +265,36 @@ def _block_join(
     return q_side.groupBy(*keys).cogroup(v_side.groupBy(*keys)).applyInArrow(score, schema)
 
 
+def _searched(q_rows: pa.Table, v_rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per list of the vectors that is searched: which questions search it, and its vectors."""
+    asked = _column(q_rows, "lists")
+    who = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+    which = asked.flatten().to_numpy(zero_copy_only=False)
+    by_list = np.argsort(which, kind="stable")
+    held = v_rows.column("list_id").to_numpy()
+    order = np.argsort(held, kind="stable")
+    numbers, first = np.unique(held[order], return_index=True)
+    for n, at in zip(numbers, np.split(order, first[1:])):
+        some = who[by_list[np.searchsorted(which[by_list], n, "left") : np.searchsorted(which[by_list], n, "right")]]
+        if len(some):
+            yield some, at
+
+
+def listed_topk(questions: DataFrame, chunks: DataFrame, k: int, n_lists: int, digits: int = SCORE_DIGITS) -> DataFrame:
+    """:func:`topk_join` by ``user_id`` for many questions that search some lists each: (qid, id, score, rank).
+
+    ``questions`` has ``lists``, an array of those it searches, ``chunks`` has ``list_id``. Neighbouring lists
+    are put together to about a block of vectors, and a question travels to each such range once instead of to each list.
+    """
+    chunks = chunks.dropna(subset=["embedding", "user_id"])
+    ranges = min(n_lists, max(1, -(-chunks.count() // VECTOR_BLOCK)))
+    of = lambda c: F.floor(c * ranges / n_lists).cast("int")
+    asked = questions.dropna(subset=["embedding", "user_id"]).withColumn("_range", F.explode(F.array_distinct(F.transform("lists", of))))
+    asked = asked.withColumn("lists", F.filter("lists", lambda n: of(n) == F.col("_range")))
+    held = chunks.filter("list_id >= 0").withColumn("_range", of(F.col("list_id")))
+    return _best(_block_join(asked, held, ["user_id", "_range"], k, digits, VECTOR_BLOCK, QUESTION_BLOCK, lists=True), k)
+
+
 def topk_join(questions: DataFrame, chunks: DataFrame, on: Sequence[str], k: int, **options: int) -> DataFrame:
     """The rows of :func:`topk_join_sized`."""
     return topk_join_sized(questions, chunks, on, k, **options)[0]
@@ -273,6 +326,10 @@ def topk_join_sized(
         partial = _scan_with_sent_questions(rows, questions, chunks, on, k, digits)
     else:
         partial = _block_join(questions, chunks, on, k, digits, v_block, q_block)
+    return _best(partial, k), rows is not None
+
+
+def _best(partial: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     ranked = partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.withColumn("score", F.when(F.col("score") > _NO_SCORE, F.col("score"))), rows is not None
+    return ranked.withColumn("score", F.when(F.col("score") > _NO_SCORE, F.col("score")))

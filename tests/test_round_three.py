@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare
+from ledgerloom.operators import compare, search, topk
 
 
 def plan_of(df) -> str:
@@ -51,3 +51,37 @@ def test_period_deltas_move_a_report_once(figures):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got)) == sorted(key([*w[:6], *(None if v is None else D(v).quantize(D("1.0000")) for v in w[6:])]) for w in want)
     assert len(want) > 700
+
+
+def test_questions_from_the_table_they_search(spark):
+    """Blocks of questions and vectors that come from one table, as chunks that ask for their like."""
+    rows = spark.range(400).selectExpr("id", "'d' as document_id", "'u' as user_id", "array(cos(id), sin(id)) as embedding")
+    about = rows.selectExpr("id as qid", "user_id", "embedding", "array(document_id) as document_ids")
+    best = search.batch_vector_search(about, rows, 1, payload=False, max_sent=0).collect()
+    assert len(best) == 400 and all(r["qid"] == r["id"] and r["score"] == 1.0 for r in best)
+
+
+def test_small_blocks_grow_with_the_table(spark, monkeypatch):
+    """A row travels to a bounded number of blocks, not to one per hundred rows of the other side."""
+    rows = spark.range(2_000).selectExpr("id", "'d' as document_id", "'u' as user_id", "array(cos(id), sin(id)) as embedding").cache()
+    asked = rows.selectExpr("id as qid", "user_id", "embedding", "cast(null as array<string>) as document_ids")
+    found = topk._block_join(asked, rows, ["user_id"], 3, 6, 10, 5)
+    # At most k rows for each question and vector block; blocks of ten vectors would be 200.
+    assert found.count() <= 2_000 * 3 * topk.MOST_BLOCKS
+    got = topk.topk_join(asked, rows, ["user_id"], 3, max_sent=0, v_block=10, q_block=5).collect()
+    want = topk.topk_join(asked, rows, ["user_id"], 3, max_sent=0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6_000
+
+
+def test_many_questions_search_ranges_of_lists(spark, monkeypatch):
+    rows = spark.range(1_500).selectExpr(
+        "id", "concat('d', id % 5) as document_id", "concat('u', id % 2) as user_id", "if(id = 7, array(0D, 0D, 0D), array(cos(id), sin(id * 3), cos(id * 7))) as embedding"
+    )
+    asked = rows.selectExpr("id as qid", "user_id", "embedding", "if(id % 3 = 0, array('d1', 'd2'), null) as document_ids")
+    index = search.build_ivf(rows, 12, max_iter=3)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 400)
+    found = search.ann_search(asked, index, 4, n_probe=5)
+    one_by_one = search.ann_search(asked, index, 4, n_probe=5, max_sent=0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, one_by_one.collect()))
+    assert "lists" not in found.columns
