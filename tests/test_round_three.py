@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare, search, topk
+from ledgerloom.operators import compare, pq, search, topk
 
 
 def plan_of(df) -> str:
@@ -85,3 +85,19 @@ def test_many_questions_search_ranges_of_lists(spark, monkeypatch):
     one_by_one = search.ann_search(asked, index, 4, n_probe=5, max_sent=0)
     assert sorted(map(str, found.collect())) == sorted(map(str, one_by_one.collect()))
     assert "lists" not in found.columns
+
+
+def test_compressed_lists_are_met_in_ranges(spark, monkeypatch):
+    """The same hits whether all lists are one range, each is its own, or blocks hold a part of a list."""
+    rows = spark.range(900).selectExpr(
+        "id", "concat('d', id % 5) as document_id", "concat('u', id % 2) as user_id", "array(cos(id), sin(id * 3), cos(id * 7), sin(id)) as embedding"
+    )
+    asked = rows.filter("id % 3 = 0").selectExpr("id as qid", "user_id", "embedding", "if(id % 2 = 0, array('d1', 'd2'), null) as document_ids")
+    index = pq.build_pq(rows, n_lists=9)
+    found, moved = [], []
+    for block in (1_000_000, 300, 40):
+        monkeypatch.setattr(pq, "CODE_BLOCK", block)
+        hits = pq.pq_search(asked, index, rows, 4, n_probe=5)
+        moved.append(plan_of(hits).count("FlatMapCoGroupsInArrow"))
+        found.append(sorted(map(str, hits.collect())))
+    assert found[0] == found[1] == found[2] and moved == [1, 1, 1] and len(found[0]) > 1_000
