@@ -61,7 +61,7 @@ def points_in_intervals(
     """All pairs of a point and an interval of the same keys that holds it: ``_from <= _at < _to``, in microseconds.
 
     An interval is covered by cells of time of one length, at most an eighth of its own (so 8 to 33 cells), and a
-    point looks into one cell of each length in use. Pairs that meet without overlapping come from an interval's first and
+    point looks into one cell of each length that its keys use. Pairs that meet without overlapping come from an interval's first and
     last cell only, at most a quarter of its own. Cells with more than ``cell_rows`` points are split among
     tasks, each of which gets the intervals of the cell. Null keys meet nothing.
     """
@@ -72,13 +72,11 @@ def _meeting(points: DataFrame, intervals: DataFrame, keys: list[str], cell_rows
     """Pairs of a point and an interval that share a cell."""
     length = F.floor(F.log2((F.col("_to") - F.col("_from")).cast("double"))).cast("int")
     level = F.greatest(F.lit(0), F.floor((length - COVER_BITS) / 2).cast("int") * 2)
-    covered = intervals.filter("_from < _to").withColumn("_level", level)
-    covered = covered.withColumn("_cell", F.explode(F.expr("sequence(shiftright(_from, _level), shiftright(_to - 1, _level))")))
-    # Every second power of two at most: some 30 rows.
-    levels = sorted(r[0] for r in covered.select("_level").distinct().collect())
-    if not levels:
-        return points.join(intervals, keys).limit(0)
-    probes = points.withColumn("_level", F.explode(F.lit(levels))).withColumn("_cell", F.expr("shiftright(_at, _level)"))
+    placed = intervals.filter("_from < _to").withColumn("_level", level)
+    covered = placed.withColumn("_cell", F.explode(F.expr("sequence(shiftright(_from, _level), shiftright(_to - 1, _level))")))
+    # Every second power of two at most: some 30 levels, and most keys use few of them.
+    used = placed.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    probes = points.join(used, keys).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_cell", F.expr("shiftright(_at, _level)"))
     place = [*keys, "_level", "_cell"]
     held = probes.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_parts")).filter("_parts > 1")
     few = rows_if_bounded(held)

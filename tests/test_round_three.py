@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare, pq, search, topk
+from ledgerloom.operators import compare, pq, search, temporal, topk
 
 
 def plan_of(df) -> str:
@@ -101,3 +101,16 @@ def test_compressed_lists_are_met_in_ranges(spark, monkeypatch):
         moved.append(plan_of(hits).count("FlatMapCoGroupsInArrow"))
         found.append(sorted(map(str, hits.collect())))
     assert found[0] == found[1] == found[2] and moved == [1, 1, 1] and len(found[0]) > 1_000
+
+
+def test_points_look_into_their_own_keys_cells(spark):
+    """A length that one key uses costs the points of other keys nothing."""
+    points = spark.range(300).selectExpr("if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', 'c')) as k", "id * 1000 as _at")
+    lengths = [("a", 0, 1 << n) for n in range(4, 40, 4)] + [("b", 5_000, 90_000), (None, 0, 10), ("b", 9, 9)]
+    intervals = spark.createDataFrame(lengths, "k string, _from bigint, _to bigint")
+    met = temporal._meeting(points, intervals, ["k"], 100_000)
+    assert met.filter("k = 'b'").select("_level").distinct().count() == 1 and met.filter("k = 'c'").count() == 0
+    got = temporal.points_in_intervals(points, intervals, ["k"]).select("k", "_at", "_to").collect()
+    want = [(p["k"], p["_at"], to) for p in points.collect() for k, f, to in lengths if k == p["k"] and f <= p["_at"] < to]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    assert "_levels" in plan_of(met) and temporal.points_in_intervals(points, intervals.limit(0), ["k"]).count() == 0
