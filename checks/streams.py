@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,19 @@ def _stream(t: Inputs, name: str) -> DataFrame:
 
 
 def _closed_stream(t: Inputs, days: int, files: int) -> DataFrame:
-    """All events, dealt to files by chance and read file by file, and a closing row so many days after the last."""
+    """All events, dealt to files by chance and read two by two of ``files``, and a closing row so many days after the last.
+
+    A large table makes each of them several files, which are written and read together.
+    """
     arriving = shared_dir(t.spark, "events")
     events = t.table("events")
-    events.repartition(files, F.xxhash64("event_id")).write.parquet(arriving)
+    several = max(1, math.ceil(events.rdd.getNumPartitions() / files))
+    events.repartition(files * several, F.xxhash64("event_id")).write.parquet(arriving)
     last = events.agg(F.max("ts")).first()[0]
     streaming.write_closing(t.spark, arriving, SCHEMAS["events"], "ts", last + dt.timedelta(days=days))
     session = streaming.stream_session(t.spark)
     stream = session.readStream.schema(streaming.closable(SCHEMAS["events"]))
-    return (stream.option("maxFilesPerTrigger", 2) if files > 1 else stream).parquet(arriving)
+    return (stream.option("maxFilesPerTrigger", 2 * several) if files > 1 else stream).parquet(arriving)
 
 
 @query(

@@ -130,3 +130,24 @@ def test_progress_with_text_ids(spark, at):
     rows = [("a", "d", "store", "processing", None, at(0)), ("b", "d", "metadata", "processing", None, at(5))]
     out = spark.read.parquet(streaming.run_available(streaming.stream_progress(feed(spark, schema, rows)), "progress-text", "update"))
     assert {r["event_id"]: r["previous_stage"] for r in out.collect()} == {"a": None, "b": "store"}
+
+
+def test_many_keys_share_few_states(spark, at):
+    """State rows grow with the groups of keys, not with the keys; null ids and null keys keep their rows."""
+    from ledgerloom.streaming.stateful import GROUPS
+
+    users = 3 * GROUPS
+    schema = "event_id long, k long, ts timestamp"
+    rows = [(i, i % users or None, at(i % 50)) for i in range(2 * users)]
+    out = streaming.run_available(streaming.stream_rate_limit(feed(spark, schema, rows, closed=("ts", at(9000))), "k", 60, 1), "limits")
+    got = spark.read.parquet(out)
+    assert got.count() == 2 * users and got.filter("allowed").count() == users and got.filter("k is null").count() == 2
+    assert streaming.late_rows(spark, out).agg(F.max("state_rows")).first()[0] <= 3 * GROUPS
+    schema = "event_id long, document_id long, stage string, status string, error string, ts timestamp"
+    events = [(None if i == 5 else i, i or None, "store", "processing", None, at(0)) for i in range(users)]
+    stream = feed(spark, schema, events, closed=("ts", at(9000)))
+    out = streaming.run_available(streaming.stream_progress(stream, expire_s=100), "stalled", "update")
+    got = spark.read.parquet(out)
+    assert got.groupBy("status").count().filter(f"count = {users}").count() == 2
+    assert got.filter("document_id is null").count() == 2 and got.filter("document_id = 5 and event_id is null").count() == 2
+    assert streaming.late_rows(spark, out).agg(F.max("state_rows")).first()[0] <= 3 * GROUPS
