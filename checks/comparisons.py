@@ -243,7 +243,7 @@ def f8(t: Inputs) -> DataFrame:
     UNION ALL SELECT document_id, document_id, 'evidence', dimension, CAST(id AS VARCHAR), NULL, NULL, score FROM e""",
 )
 def f9(t: Inputs) -> DataFrame:
-    deltas = compare.period_deltas(t.report_metrics, compare.quarter_ordinal(F.col("fiscal_period"))).withColumn(
+    deltas = compare.period_deltas(t.company_metrics, compare.quarter_ordinal(F.col("fiscal_period")), together=True).withColumn(
         "comparison_id", F.col("document_id")
     )
     evidence = search.retrieve_by_dimension({"risk": VECTOR_A, "guidance": VECTOR_B}, t.vec_chunks, None, 2).selectExpr(
@@ -257,16 +257,19 @@ def f9(t: Inputs) -> DataFrame:
         "evidence array<struct<chunk_id:string,dimension:string,score:double>>",
     )
     read = rows.select("comparison_id", F.array_join("document_ids", ",").alias("document_ids"), record.alias("r"))
-    key = ["comparison_id", "document_ids"]
-    table = read.select(*key, F.explode("r.table").alias("e")).select(
-        *key, F.lit("table").alias("part"), F.col("e.metric").alias("name"), F.col("e.base_document_id").alias("other_document"),
-        *[F.round(F.col(f"e.{c}").cast("double"), 4).alias(n) for c, n in (("base_value", "base_value"), ("other_value", "other_value"), ("delta", "number"))],
-    )
-    chunks = read.select(*key, F.explode("r.evidence").alias("e")).select(
-        *key, F.lit("evidence").alias("part"), F.col("e.dimension").alias("name"), F.col("e.chunk_id").alias("other_document"),
-        F.lit(None).cast("double").alias("base_value"), F.lit(None).cast("double").alias("other_value"), F.col("e.score").alias("number"),
+
+    def entry(part: str, name: F.Column, other: F.Column, **numbers: F.Column) -> F.Column:
+        values = [F.round(numbers[n].cast("double"), 4).alias(n) if n in numbers else F.lit(None).cast("double").alias(n) for n in ("base_value", "other_value")]
+        return F.struct(F.lit(part).alias("part"), name.alias("name"), other.alias("other_document"), *values, numbers["number"].alias("number"))
+
+    table = F.transform(
+        "r.table",
+        lambda e: entry("table", e["metric"], e["base_document_id"], base_value=e["base_value"], other_value=e["other_value"], number=F.round(e["delta"].cast("double"), 4)),
     )
-    return table.unionByName(chunks)
+    chunks = F.transform("r.evidence", lambda e: entry("evidence", e["dimension"], e["chunk_id"], number=e["score"]))
+    # Both lists leave a record at once, so that records are put together once.
+    both = F.flatten(F.array_compact(F.array(table, chunks)))
+    return read.select("comparison_id", "document_ids", F.inline(both))
 
 
 @query(
@@ -280,7 +283,7 @@ def f9(t: Inputs) -> DataFrame:
 )
 def flow_compare(t: Inputs) -> DataFrame:
     chunks = t.vec_chunks.select("id", "document_id", "user_id", "embedding")
-    rows = compare_reports(t.report_metrics, t.fx_rates, chunks, {"risk": VECTOR_A}, compare.quarter_ordinal(F.col("fiscal_period")))
+    rows = compare_reports(t.company_metrics, t.fx_rates, chunks, {"risk": VECTOR_A}, compare.quarter_ordinal(F.col("fiscal_period")), together=True)
     record = F.from_json(
         "result", "table array<struct<metric:string,base_document_id:string,base_value:decimal(28,4),other_value:decimal(28,4),delta:decimal(28,4)>>"
     )

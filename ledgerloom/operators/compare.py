@@ -13,6 +13,7 @@ from ledgerloom.operators.access import scope_to_user
 from ledgerloom.operators.maintenance import latest
 from ledgerloom.operators.rows import with_earlier
 from ledgerloom.schemas import FINANCIAL_METRICS, METRIC_NAMES
+from ledgerloom.session import rows_if_bounded
 
 # Unit names and their factors; comparison size limits.
 UNIT_FACTORS = {"units": 1, "thousands": 1_000, "millions": 1_000_000, "billions": 1_000_000_000}
@@ -114,16 +115,17 @@ def normalize_units(metrics: DataFrame, rates: DataFrame, target: str = "USD") -
     """Scale values to single units and convert them to ``target``.
 
     ``rates`` is (currency, fiscal_period, rate into the target currency). An unknown unit or a
-    missing rate gives a null value and a flag.
+    missing rate gives a null value and a flag. Few rates (one bounded job finds out) are sent to the figures, which
+    would else meet in a handful of tasks, one per currency and period.
     """
     factor: Column = F.lit(None).cast("decimal(12,0)")
     for unit, by in UNIT_FACTORS.items():
         factor = F.when(F.coalesce(F.col("unit"), F.lit("units")) == unit, F.lit(by).cast("decimal(12,0)")).otherwise(factor)
-    priced = metrics.join(
-        rates.select("currency", "fiscal_period", F.col("rate").cast("decimal(18,8)").alias("_rate")),
-        ["currency", "fiscal_period"],
-        "left",
-    ).withColumn("_rate", F.when(F.col("currency") == target, F.lit(1).cast("decimal(18,8)")).otherwise(F.col("_rate")))
+    rated = rates.select("currency", "fiscal_period", F.col("rate").cast("decimal(18,8)").alias("_rate"))
+    few = rows_if_bounded(rated)
+    if few is not None:
+        rated = F.broadcast(metrics.sparkSession.createDataFrame(few, rated.schema))
+    priced = metrics.join(rated, ["currency", "fiscal_period"], "left").withColumn("_rate", F.when(F.col("currency") == target, F.lit(1).cast("decimal(18,8)")).otherwise(F.col("_rate")))
     flag = F.when(F.col("value").isNull(), None).when(factor.isNull(), "unknown_unit").when(
         F.col("_rate").isNull(), "missing_rate"
     )
@@ -189,11 +191,12 @@ def metric_deltas(metrics: DataFrame, base_doc: object, other_docs: Sequence[obj
     return compare_values(_side_by_side(base, other, [*named, "document_id"]))
 
 
-def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1) -> DataFrame:
+def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1, together: bool = False) -> DataFrame:
     """:func:`metric_deltas` of every report against its own company's report ``lag_periods`` earlier.
 
     A figure of the earlier report that the later one lacks keeps a row under the later document. A report's figures
-    travel together, once, to its company's other reports, where the two lists are compared.
+    travel together, once, to its company's other reports, where the two lists are compared. With ``together`` the rows are
+    known to lie by company already (``repartition("company")``, or grouped after it), so that they do not travel at all.
     """
     cols = ("value", "unit", "currency")
     named = ["metric", *_segment(metrics)]
@@ -201,8 +204,12 @@ def period_deltas(metrics: DataFrame, ordinal: Column, lag_periods: int = 1) ->
     # What names no company or period has no earlier report and is none, so it is not brought together at all.
     placed = F.col("company").isNotNull() & F.col("period_no").isNotNull()
     where = list(dict.fromkeys(["company", *(c for c in ("fiscal_period",) if c in metrics.columns), "period_no", "document_id"]))
-    listed = rows.filter(placed).groupBy(*where).agg(F.collect_list(F.struct(*named, *cols)).alias("_f")).repartition("company")
-    reports = listed.groupBy("company", "period_no", "document_id").agg(F.flatten(F.collect_list("_f")).alias("_other"))
+    figure, report = F.collect_list(F.struct(*named, *cols)), ("company", "period_no", "document_id")
+    if together:
+        reports = rows.filter(placed).groupBy(*report).agg(figure.alias("_other"))
+    else:
+        listed = rows.filter(placed).groupBy(*where).agg(figure.alias("_f")).repartition("company")
+        reports = listed.groupBy(*report).agg(F.flatten(F.collect_list("_f")).alias("_other"))
     earlier = Window.partitionBy("company").orderBy("period_no").rangeBetween(-lag_periods, -lag_periods)
     based = F.struct(F.col("document_id").alias("base_document_id"), F.col("_other").alias("f"))
     own = lambda r: F.transform(r["f"], lambda f: F.struct(r["base_document_id"], *[f[c].alias(c) for c in (*named, *cols)]))
@@ -317,7 +324,8 @@ def compare_many(metrics: DataFrame, comparisons: DataFrame) -> DataFrame:
     placed = metrics.select("document_id", "metric", "value").join(comparisons.withColumn("slot", known), "document_id")
 
     def alone(s: int) -> Column:
-        here = F.when(F.col("slot") == s, F.col("document_id"))
+        # Numbers, unlike texts, are kept in place by the aggregation, which then needs no sort.
+        here = F.when(F.col("slot") == s, F.xxhash64("document_id"))
         value = F.max(F.when(F.col("slot") == s, F.col("value")))
         clash = F.raise_error(F.lit("two documents share a comparison's slot")).cast("double")
         return F.when(F.min(here) < F.max(here), clash.cast(value_type)).otherwise(value).alias(f"value_{s}")

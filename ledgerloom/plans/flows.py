@@ -128,9 +128,13 @@ def compare_reports(
     ordinal: Column,
     lag_periods: int = 1,
     n: int = 2,
+    together: bool = False,
 ) -> DataFrame:
-    """Every report against its predecessor: computed deltas plus the best chunks per dimension."""
-    deltas = period_deltas(normalize_units(metrics, rates), ordinal, lag_periods).withColumn(
+    """Every report against its predecessor: computed deltas plus the best chunks per dimension.
+
+    ``together``: the metrics lie by company already (:func:`period_deltas`).
+    """
+    deltas = period_deltas(normalize_units(metrics, rates), ordinal, lag_periods, together).withColumn(
         "comparison_id", F.col("document_id")
     )
     evidence = retrieve_by_dimension(dimensions, chunks, None, n).select(
