@@ -44,12 +44,14 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _ranks(values: pd.Series, numeric: bool) -> list[np.ndarray]:
-    """Keys for ``np.lexsort`` that put values in order, null first."""
+def _ranks(values: pd.Series, numeric: bool, nulls_last: bool = False) -> list[np.ndarray]:
+    """Keys for ``np.lexsort`` that put values in order, null first or last."""
     there = values.notna().to_numpy()
     if numeric:
-        return [np.array([int(v) if ok else 0 for v, ok in zip(values, there)], dtype=np.int64), there]
-    return [pd.factorize(values, sort=True)[0]]
+        rank = np.array([int(v) if ok else 0 for v, ok in zip(values, there)], dtype=np.int64)
+    else:
+        rank = pd.factorize(values, sort=True)[0]
+    return [rank, ~there if nulls_last else there]
 
 
 def _rearm(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
@@ -193,8 +195,9 @@ class _Progress(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        us = _micros(batch["ts"])
-        order = np.lexsort([*_ranks(batch["event_id"], self.numeric), us])
+        # Without expiry an event without a time comes before all others, and leaves without one.
+        us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy() if self.expiry is None else _micros(batch["ts"])
+        order = np.lexsort([*_ranks(batch["event_id"], self.numeric, nulls_last=True), us])
         columns = [batch[c].astype(object).where(batch[c].notna(), None).to_numpy()[order] for c in ("document_id", "event_id", "stage", "status")]
         documents = self._held()
         changes: list[tuple] = []

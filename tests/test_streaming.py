@@ -151,3 +151,10 @@ def test_many_keys_share_few_states(spark, at):
     assert got.groupBy("status").count().filter(f"count = {users}").count() == 2
     assert got.filter("document_id is null").count() == 2 and got.filter("document_id = 5 and event_id is null").count() == 2
     assert streaming.late_rows(spark, out).agg(F.max("state_rows")).first()[0] <= 3 * GROUPS
+
+
+def test_progress_keeps_events_without_a_time(spark, at):
+    schema = "event_id long, document_id string, stage string, status string, error string, ts timestamp"
+    rows = [(1, "d", "store", "processing", None, at(0)), (2, "d", "embed", "processing", None, None), (3, None, "store", "queued", None, at(1))]
+    out = spark.read.parquet(streaming.run_available(streaming.stream_progress(feed(spark, schema, rows)), "progress-null", "update"))
+    assert {(r["event_id"], r["document_id"], r["ts"], r["previous_stage"]) for r in out.collect()} == {(2, "d", None, None), (1, "d", at(0), "embed"), (3, None, at(1), None)}
