@@ -37,11 +37,11 @@ def a1(t: Inputs) -> DataFrame:
 def a2(t: Inputs) -> DataFrame:
     root = shared_dir(t.spark, "objects")
     stored = t.table("documents").select(F.col("source").alias("user"), F.col("doc_id").alias("document"), "text")
-    stored.write.partitionBy("user", "document").text(root)
-    found = objects.scan_objects(t.spark, root, "*.txt", with_content=True, max_bytes=3000, layout=r"^document=([^/]+)/()")
-    owner = F.regexp_extract("path", r"/user=([^/]+)/", 1)
+    objects.store_objects(stored, root)
+    found = objects.scan_objects(t.spark, root, "*.txt", with_content=True, max_bytes=3000)
+    user, document = (F.regexp_extract("path", objects.STORED_PATTERN, n) for n in (1, 2))
     return found.select(
-        owner.alias("user_id"), F.col("user_id").alias("document_id"), "size", F.col("content").isNull().alias("too_big"), F.sha2("content", 256).alias("content_sha256")
+        user.alias("user_id"), document.alias("document_id"), "size", F.col("content").isNull().alias("too_big"), F.sha2("content", 256).alias("content_sha256")
     )
 
 
