@@ -83,16 +83,21 @@ def c3_narrow(t: Inputs) -> DataFrame:
     FROM lines GROUP BY l_orderkey""",
 )
 def c4(t: Inputs) -> DataFrame:
-    lines = t.table("lineitem").withColumn(
+    lines = t.table("lineitem").withColumnRenamed("l_orderkey", "document_id").withColumn(
         "row_no",
-        F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"),
+        F.expr("row_number() over (partition by document_id order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"),
     )
-    cells = lines.selectExpr(
-        "l_orderkey as document_id", "1 as page_no", "1 as table_no", "row_no",
-        "stack(3, 1, concat(l_returnflag, '|', l_linestatus), 2, case when l_discount = 0 then null else cast(l_partkey as string) end, "
-        "3, cast(l_suppkey as string)) as (col_no, value)",
+    rows = lines.selectExpr(
+        "document_id", "1 as page_no", "1 as table_no", "row_no",
+        _cells("concat(l_returnflag, '|', l_linestatus)", "case when l_discount = 0 then null else cast(l_partkey as string) end", "cast(l_suppkey as string)"),
     )
-    return text.tables_to_markdown(cells).select("document_id", F.md5("markdown").alias("markdown_md5"))
+    return text.tables_to_markdown(rows, together=True).select("document_id", F.md5("markdown").alias("markdown_md5"))
+
+
+def _cells(*values: str) -> str:
+    """The cells of a table's row, from the first column on."""
+    named = (f"named_struct('col_no', {n}, 'value', {v})" for n, v in enumerate(values, 1))
+    return f"array({', '.join(named)}) as cells"
 
 
 # Order lines as tables of the suppliers' documents: one table per line number, every second one behind a line of text.
@@ -148,15 +153,16 @@ WINDOW w AS (PARTITION BY document_id, section_no ORDER BY page_no, pos, kind, t
 )
 def c3_tables(t: Inputs) -> DataFrame:
     order = "l_orderkey, l_partkey, l_extendedprice, l_returnflag, l_linestatus, l_discount"
-    lines = t.table("lineitem").withColumn("row_no", F.expr(f"row_number() over (partition by l_suppkey, l_linenumber order by {order})"))
-    table = ["cast(l_suppkey as string) as document_id", "1 + l_linenumber % 3 as page_no", "l_linenumber as table_no",
-             "case when l_linenumber % 2 = 0 then 6 * l_linenumber end as after_line"]
-    cells = lines.selectExpr(
-        *table, "row_no", "stack(3, 1, concat(l_returnflag, '|', l_linestatus), 2, case when l_discount > 0 then cast(l_partkey as string) end, "
-        "3, cast(l_orderkey as string)) as (col_no, value)",
+    lines = t.table("lineitem").selectExpr("cast(l_suppkey as string) as document_id", "l_linenumber as table_no", *order.split(", "))
+    # Numbering the rows brings those of a table together, the one time that they travel; the first brings the header along.
+    lines = lines.withColumn("row_no", F.expr(f"row_number() over (partition by document_id, table_no order by {order})"))
+    line = _cells("concat(l_returnflag, '|', l_linestatus)", "case when l_discount > 0 then cast(l_partkey as string) end", "cast(l_orderkey as string)")
+    row, header = f"struct(row_no, {line})", f"struct(0 as row_no, {_cells("'Flag'", "'Part'", "'Order'")})"
+    rows = lines.selectExpr(
+        "document_id", "1 + table_no % 3 as page_no", "table_no", "case when table_no % 2 = 0 then 6 * table_no end as after_line",
+        f"inline(if(row_no = 1, array({header}, {row}), array({row})))",
     )
-    header = lines.selectExpr(*table).distinct().selectExpr("*", "0 as row_no", "stack(3, 1, 'Flag', 2, 'Part', 3, 'Order') as (col_no, value)")
-    tables = text.tables_to_markdown(cells.unionByName(header))
+    tables = text.tables_to_markdown(rows, together=True)
     return _shown(layout.chunk_with_tables(t.lib_documents, tables, HEADINGS, target=120, overlap=20)).drop("id")
 
 

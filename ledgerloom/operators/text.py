@@ -195,43 +195,57 @@ def chunk_documents(
     return _as_rows(staged, _cut(at, starts, target, overlap), keep)
 
 
-def tables_to_markdown(cells: DataFrame) -> DataFrame:
+# Between the cells of a table's row.
+SEPARATOR = " | "
+
+
+def tables_to_markdown(cells: DataFrame, together: bool = False) -> DataFrame:
     """Cells (document_id, page_no, table_no, row_no, col_no, value) to one Markdown text per table.
 
     The first row is the header. Every row has a place for each ``col_no`` of the table, so an absent cell
     is empty and moves no other. Pipes are escaped, line breaks become blanks, null gives an empty cell;
-    values of cells with the same place stand side by side. A column ``after_line`` (where in the document the table
-    stands) is kept, its least value counts. One shuffle, by table; a table's cells are held by one task.
+    values of cells with the same place stand side by side. Whole rows may be given instead, with an array ``cells`` of
+    (col_no, value) and each ``row_no`` of a table once; they are not taken apart and put together again. A column ``after_line`` (where in
+    the document the table stands) is kept, its least value counts. One shuffle, by table, or none where rows
+    lie by table or document already (``together``); a table's cells are held by one task.
     """
     table = ["document_id", "page_no", "table_no"]
     place = ["after_line"] if "after_line" in cells.columns else []
-    value = F.replace(F.coalesce(F.col("value"), F.lit("")), F.lit("|"), F.lit("\\|"))
-    value = F.regexp_replace(value, r"[\r\n]+", " ")
-    # All three groupings are by the table and more, so the one shuffle by table serves them all.
-    per_cell = (
-        cells.select(*table, *place, "row_no", "col_no", value.alias("value"))
-        .repartition(*table)
-        .groupBy(*table, "row_no", "col_no")
-        .agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("value"), *[F.min(c).alias(c) for c in place])
-    )
-    per_row = per_cell.groupBy(*table, "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("_row"), *[F.min(c).alias(c) for c in place]
-    )
-    whole = per_row.groupBy(*table).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", F.map_entries("_row").alias("cells")))).alias("_rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("_row"))))).alias("_columns"),
+
+    def cell(of: Column) -> Column:
+        value = F.replace(F.coalesce(of["value"], F.lit("")), F.lit("|"), F.lit("\\|"))
+        return F.struct(of["col_no"].alias("col_no"), F.regexp_replace(value, r"[\r\n]+", " ").alias("value"))
+
+    rowwise = "cells" in cells.columns
+    given = F.transform("cells", cell) if rowwise else cell(F.struct("col_no", "value"))
+    rows = cells.select(*table, *place, "row_no", given.alias("_cells"))
+    # All groupings are by the table and more, so the one shuffle by table serves them all.
+    if not together:
+        rows = rows.repartition(*table)
+    if not rowwise:
+        rows = rows.groupBy(*table, "row_no").agg(F.collect_list("_cells").alias("_cells"), *[F.min(c).alias(c) for c in place])
+    # A row travels as one text; as pipes are escaped, it can be told apart again where its table has more columns than it.
+    rows = rows.withColumn("_cells", F.array_sort("_cells"))
+    row = F.struct("row_no", F.col("_cells.col_no").alias("columns"), F.array_join(F.col("_cells.value"), SEPARATOR).alias("text"))
+    whole = rows.groupBy(*table).agg(
+        F.array_sort(F.collect_list(row)).alias("_rows"),
+        # Rows of a table mostly agree in their columns.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("_cells.col_no"))))).alias("_columns"),
         *[F.min(c).alias(c) for c in place],
     )
 
     def text_row(values: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |"))
+        return F.concat(F.lit("| "), values, F.lit(" |"))
+
+    def row_text(r: Column) -> Column:
+        def at(n: Column) -> Column:
+            return F.array_join(F.filter(F.split(r["text"], r" \| "), lambda _, i: F.get(r["columns"], i) == n), " ")
 
-    def row(cells: Column) -> Column:
-        by_column = F.map_from_entries(cells)
-        return bind(by_column, lambda m: text_row(F.transform("_columns", lambda n: F.coalesce(F.try_element_at(m, n), F.lit("")))))
+        spread = F.array_join(F.transform("_columns", at), SEPARATOR)
+        return text_row(F.when(r["columns"] == F.col("_columns"), r["text"]).otherwise(spread))
 
-    rule = text_row(F.transform("_columns", lambda _: F.lit("---")))
-    lines = F.transform("_rows", lambda r, i: F.when(i == 0, F.concat(row(r["cells"]), F.lit("\n"), rule)).otherwise(row(r["cells"])))
+    rule = text_row(F.array_join(F.transform("_columns", lambda _: F.lit("---")), SEPARATOR))
+    lines = F.transform("_rows", lambda r, i: F.when(i == 0, F.concat(row_text(r), F.lit("\n"), rule)).otherwise(row_text(r)))
     return whole.select(*table, *place, F.array_join(lines, "\n").alias("markdown"))
 
 

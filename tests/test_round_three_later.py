@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.inputs import SCHEMAS, Inputs
+from checks.texts import c3_tables, c4
+from ledgerloom.operators.text import tables_to_markdown
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import objects
 
@@ -38,3 +42,37 @@ def test_where_objects_are_stored(spark):
     root = shared_dir(spark, "none")
     objects.store_objects(spark.createDataFrame([], "user string, document long, text string"), root)
     assert objects.scan_objects(spark, root, "*.txt").count() == 0
+
+
+def test_whole_rows_make_the_tables_of_their_cells(spark):
+    """Rows of other columns, repeated and empty cells, pipes, blanks and backslashes beside separators."""
+    deal = random.Random(5)
+    values = ["", "a", " | ", "|", "\\", "\\|", " ", "x\ny", None, "| b |"]
+    rows = [("d", 1, t, r, [(c, deal.choice(values)) for c in deal.choices(range(4), k=deal.randint(1, 5))]) for t in range(3) for r in range(40)]
+    rows += [("d", 1, 9, r, [(c, str(r)) for c in (1, 2, 3)]) for r in range(5)]
+    names = "document_id string, page_no int, table_no int, row_no int"
+    whole = tables_to_markdown(spark.createDataFrame(rows, f"{names}, cells array<struct<col_no: int, value: string>>"))
+    cells = tables_to_markdown(spark.createDataFrame([(*r[:4], *c) for r in rows for c in r[4]], f"{names}, col_no int, value string"))
+    got = {r["table_no"]: r["markdown"] for r in whole.collect()}
+    assert got == {r["table_no"]: r["markdown"] for r in cells.collect()}
+
+    def text(v):
+        return " ".join((v or "").replace("|", "\\|").splitlines())
+
+    for t, markdown in got.items():
+        mine = [r[4] for r in rows if r[2] == t]
+        columns = sorted({c for r in mine for c, _ in r})
+        want = [f"| {' | '.join(' '.join(sorted(text(v) for c, v in r if c == n)) for n in columns)} |" for r in mine]
+        want.insert(1, f"| {' | '.join('---' for _ in columns)} |")
+        assert markdown == "\n".join(want)
+
+
+@pytest.mark.parametrize(("query", "exchanges"), [(c3_tables, 3), (c4, 1)])
+def test_rows_of_tables_travel_once(spark, tmp_path, query, exchanges):
+    """Order lines once; then tables and documents by document."""
+    rows = {"lineitem": [(i, 1, i % 3, i % 4, 1.0, 2.0, 0.0, 0.0, "R", "F", None) for i in range(20)], "documents": [(1, "a\nb c", "en", "s", 5)]}
+    for name, some in rows.items():
+        spark.createDataFrame(some, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = query(Inputs(spark, str(tmp_path)))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= exchanges
+    assert df.count()
