@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.inputs import SQL_VIEWS, Inputs
@@ -81,21 +81,26 @@ def f1(t: Inputs) -> DataFrame:
 # Every report repeats what the quarter before said, a little more where lines came back, and looks ahead in words;
 # after the readable analysis follows a broken one.
 def later_analyses(t: Inputs) -> DataFrame:
-    ordinal = compare.quarter_ordinal(F.col("fiscal_period"))
-    now = t.report_figures.withColumn("period_no", ordinal)
-    before = now.selectExpr("company", "period_no + 1 as period_no", "fiscal_period as prior_period", "revenue as prior_revenue", "unit as prior_unit")
+    # A company's reports lie together, one per quarter, so the quarter before is found in place.
+    now = t.company_figures.withColumn("period_no", compare.quarter_ordinal(F.col("fiscal_period")))
+    before = Window.partitionBy("company").orderBy("period_no")
+    for name in ("period_no", "fiscal_period", "revenue"):
+        now = now.withColumn(f"prior_{name}", F.lag(name).over(before))
+    follows = "company is not null and prior_period_no = period_no - 1"
 
     def figure(value: str) -> F.Column:
         return F.struct(F.expr(value).cast("decimal(28,4)").alias("value"), "unit", "currency", F.col("first_line").cast("int").alias("source_page"))
 
     restated = "prior_revenue + if(return_lines > 0, 1, 0)"
-    rows = now.join(before, ["company", "period_no"], "left").select(
-        "document_id", "company", "fiscal_period", figure("revenue").alias("revenue"),
-        F.when(F.col("prior_period").isNotNull(), F.struct(F.col("prior_period").alias("fiscal_period"), figure(restated).alias("revenue"))).alias("prior"),
-        F.array(F.struct(F.concat(F.lit("expects "), F.col("lines").cast("string"), F.lit(" lines")).alias("text"), F.col("first_line").cast("int").alias("source_page"))).alias("guidance"),
+    good = F.to_json(
+        F.struct(
+            "company", "fiscal_period", figure("revenue").alias("revenue"),
+            F.when(F.expr(follows), F.struct(F.col("prior_fiscal_period").alias("fiscal_period"), figure(restated).alias("revenue"))).alias("prior"),
+            F.array(F.struct(F.concat(F.lit("expects "), F.col("lines").cast("string"), F.lit(" lines")).alias("text"), F.col("first_line").cast("int").alias("source_page"))).alias("guidance"),
+        )
     )
-    good = F.to_json(F.struct("company", "fiscal_period", "revenue", "prior", "guidance"))
-    versions = F.array(F.struct(F.lit(1).alias("v"), good.alias("result")), F.struct(F.lit(2).alias("v"), F.left(good, F.lit(25)).alias("result")))
+    rows = now.select("document_id", good.alias("good"))
+    versions = F.array(F.struct(F.lit(1).alias("v"), F.col("good").alias("result")), F.struct(F.lit(2).alias("v"), F.left("good", F.lit(25)).alias("result")))
     return rows.select("document_id", F.inline(versions)).select(
         F.concat_ws("#", "document_id", "v").alias("id"), F.lit("metrics").alias("type"), F.array("document_id").alias("document_ids"),
         "result", F.timestamp_seconds(F.col("v")).alias("created_at"),

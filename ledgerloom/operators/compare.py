@@ -30,7 +30,9 @@ def growth(base: Column, other: Column) -> Column:
 def _readable(analyses: DataFrame) -> DataFrame:
     """Metrics analyses per document whose result is JSON, as text."""
     # Whatever is JSON becomes a record, if one without figures, so nothing else decides.
-    valid = analyses.filter("type = 'metrics'").filter(F.try_parse_json("result").isNotNull())
+    # An object that is never closed is sorted out by a look, as failing to parse costs more than parsing.
+    closed = analyses.filter("type = 'metrics'").filter(~F.col("result").rlike(r"^\s*\{[^}]*\z"))
+    valid = closed.filter(F.try_parse_json("result").isNotNull())
     return valid.select("id", "created_at", "result", F.explode("document_ids").alias("document_id"))
 
 
@@ -79,9 +81,10 @@ def flatten_comparatives(analyses: DataFrame) -> DataFrame:
 
     ``fiscal_period`` is the earlier period, ``document_id`` the report that repeats it, ``source_page`` where.
     """
-    return _newest(analyses).filter("r.prior.fiscal_period is not null").select(
-        "document_id", F.col("r.company").alias("company"), F.col("r.prior.fiscal_period").alias("fiscal_period"),
-        F.inline(_figures("r.prior")),
+    # A filter would be moved before the parsing and parse on its own.
+    repeated = F.when(F.col("r.prior.fiscal_period").isNotNull(), _figures("r.prior"))
+    return _newest(analyses).select(
+        "document_id", F.col("r.company").alias("company"), F.col("r.prior.fiscal_period").alias("fiscal_period"), F.inline(repeated)
     )
 
 
@@ -97,18 +100,19 @@ def restatements(metrics: DataFrame, comparatives: DataFrame) -> DataFrame:
     """What later reports say of a period against the period's own report: delta, growth, and a flag.
 
     One row per company, period, metric and later report. ``flag`` is ``restated`` where values differ, ``not_reported``
-    where the period has no such figure of its own, else null.
+    where the period has no such figure of its own, else null. A period's own figures are one list, so they stay where they lie by
+    company and period already.
     """
-    keys = ["company", "fiscal_period", "metric"]
-    own = metrics.select(*keys, F.col("document_id").alias("base_document_id"), F.col("value").alias("base_value"))
-    if "segment" in metrics.columns:
-        own = metrics.filter("segment is null").select(*own.columns[:3], F.col("document_id").alias("base_document_id"), F.col("value").alias("base_value"))
-    said = comparatives.select(*keys, "document_id", F.col("value").alias("other_value"))
+    period = ["company", "fiscal_period"]
+    named = metrics.filter("segment is null") if "segment" in metrics.columns else metrics
+    figure = F.struct("metric", F.col("document_id").alias("base_document_id"), F.col("value").alias("base_value"))
+    own = named.dropna(subset=[*period, "metric"]).groupBy(*period).agg(F.collect_list(figure).alias("_own"))
+    said = comparatives.select(*period, "metric", "document_id", F.col("value").alias("other_value"))
+    same = F.filter("_own", lambda o: o["metric"] == F.col("metric"))
+    sides = said.join(own, period, "left").select(*said.columns, F.inline_outer(same).alias("_metric", "base_document_id", "base_value")).drop("_metric")
     base, other = F.col("base_value"), F.col("other_value")
     flag = F.when(base.isNull() & other.isNotNull(), "not_reported").when(base != other, "restated")
-    return (
-        said.join(own, keys, "left").withColumn("flag", flag).withColumn("delta", other - base).withColumn("growth", growth(base, other))
-    )
+    return sides.withColumn("flag", flag).withColumn("delta", other - base).withColumn("growth", growth(base, other))
 
 
 def normalize_units(metrics: DataFrame, rates: DataFrame, target: str = "USD") -> DataFrame:
