@@ -151,10 +151,7 @@ def f2(t: Inputs) -> DataFrame:
       CASE WHEN base_value <> 0 THEN round(CAST(other_value - base_value AS DOUBLE) / abs(CAST(base_value AS DOUBLE)), 6) END AS growth FROM all_pairs""",
 )
 def f3(t: Inputs) -> DataFrame:
-    figures = t.report_metrics.withColumn("segment", F.lit(None).cast("string")).unionByName(
-        t.report_segments.withColumn("metric", F.lit("segment_revenue"))
-    )
-    rows = compare.period_deltas(figures, compare.quarter_ordinal(F.col("fiscal_period")))
+    rows = compare.period_deltas(t.company_all_metrics, compare.quarter_ordinal(F.col("fiscal_period")), together=True)
     return rows.select(
         "company", "metric", "segment", "document_id", money("base_value"), money("other_value"), "flag", money("delta"),
         F.round("growth", 6).alias("growth"),
