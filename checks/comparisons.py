@@ -251,7 +251,7 @@ def f9(t: Inputs) -> DataFrame:
     evidence = search.retrieve_by_dimension({"risk": VECTOR_A, "guidance": VECTOR_B}, t.vec_chunks, None, 2).selectExpr(
         "document_id as comparison_id", "document_id", "id as chunk_id", "dimension", "score"
     )
-    rows = compare.comparison_result(deltas, evidence)
+    rows = compare.comparison_result(deltas, evidence, together=["company"])
     # The records are read back from their JSON, entry by entry.
     record = F.from_json(
         "result",

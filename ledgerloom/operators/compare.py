@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -393,22 +393,43 @@ def missing_metrics(documents: DataFrame, analyses: DataFrame) -> DataFrame:
     return documents.join(done.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def comparison_result(deltas: DataFrame, evidence: DataFrame, by: Sequence[str] = ("comparison_id",)) -> DataFrame:
+def _named_by(by: Sequence[str], names: Sequence[Sequence[object]]) -> Column:
+    """Whether a row has one of the ``names`` in the columns ``by``, or a null there; never null itself."""
+    unnamed = reduce(or_, [F.col(c).isNull() for c in by])
+    if not names:
+        return unnamed
+    if len(by) == 1:
+        return unnamed | F.col(by[0]).isin([n[0] for n in names])
+    return unnamed | reduce(or_, [reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(by, n)]) for n in names])
+
+
+def comparison_result(
+    deltas: DataFrame, evidence: DataFrame, by: Sequence[str] = ("comparison_id",), together: Sequence[str] = ()
+) -> DataFrame:
     """One JSON record per comparison: its table of deltas, its evidence and its documents.
 
     ``deltas`` is (*by, document_id, metric, ...), ``evidence`` (*by, document_id, chunk_id, ...).
     A comparison holds at most five documents, so both lists are bounded. A document that others are compared with
     (``base_document_id`` in ``deltas``) is one of them.
+
+    ``together`` names columns of ``deltas`` by which its rows lie together already (``repartition("company")``, or
+    grouped after it) and of which a comparison with a name has one value. While few comparisons have evidence (one bounded
+    job finds out), only the deltas of these, and those without a name, travel to meet it; the others are put together where they lie.
     """
     by = list(by)
 
-    def packed(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    def packed(df: DataFrame, first: Sequence[str], name: str, where: Sequence[str] = ()) -> DataFrame:
         rest = [c for c in df.columns if c not in (*by, *first)]
-        return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("rows"))
-
-    table = packed(deltas, ["metric", "document_id"]).withColumnRenamed("rows", "table")
-    chunks = packed(evidence, ["document_id", "chunk_id"]).withColumnRenamed("rows", "evidence")
-    both = table.join(chunks, by, "full_outer")
+        return df.groupBy(*where, *by).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias(name)).select(*by, name)
+
+    chunks = packed(evidence, ["document_id", "chunk_id"], "evidence")
+    few = rows_if_bounded(evidence.select(*by).dropna().distinct()) if together else None
+    told = None if few is None else _named_by(by, few)
+    met = deltas if told is None else deltas.filter(told)
+    both = packed(met, ["metric", "document_id"], "table").join(chunks, by, "full_outer")
+    if told is not None:
+        alone = packed(deltas.filter(~told), ["metric", "document_id"], "table", [c for c in together if c not in by])
+        both = both.unionByName(alone.withColumn("evidence", F.lit(None).cast(chunks.schema["evidence"].dataType)))
 
     def taken(c: str) -> Column:
         return F.coalesce(F.array_compact(F.transform("table", lambda r: r[c])), F.expr("cast(array() as array<string>)"))
